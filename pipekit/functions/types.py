@@ -77,39 +77,57 @@ def converted(column: Column, source: T.DataType, target: str, locale: str, stri
     return column.cast(wanted) if strict else column.try_cast(wanted)
 
 
-def as_text(name: str, dtype: T.DataType) -> Column:
+# The expressions below are SQL text: a profile has many per column, and one expression built
+# from text costs the driver one call where a tree of columns costs dozens.
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def text_literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def is_nested(dtype: T.DataType) -> bool:
+    return isinstance(dtype, (T.StructType, T.ArrayType, T.MapType))
+
+
+def as_text(name: str, dtype: T.DataType) -> str:
     """A column as text, nested values as JSON."""
-    column = F.col(f"`{name}`")
-    if isinstance(dtype, (T.StructType, T.ArrayType, T.MapType)):
-        return F.to_json(column)
-    return column.cast("string")
+    column = quoted(name)
+    if isinstance(dtype, T.StringType):
+        return column
+    return f"to_json({column})" if is_nested(dtype) else f"CAST({column} AS STRING)"
 
 
-def filled(name: str, dtype: T.DataType) -> Column:
+def present(name: str, dtype: T.DataType) -> str:
     """True where a value is present: not null, and for text not empty."""
-    column = F.col(f"`{name}`")
-    present = column.isNotNull()
-    return present & (column != "") if isinstance(dtype, T.StringType) else present
+    column = quoted(name)
+    empty = f" AND {column} <> ''" if isinstance(dtype, T.StringType) else ""
+    return f"({column} IS NOT NULL{empty})"
 
 
-def guessed_type(name: str, dtype: T.DataType) -> Column:
-    """Aggregate: the narrowest of integer, number, boolean, string that fits every value."""
+def guessed_type(name: str, dtype: T.DataType) -> str:
+    """Aggregate: the narrowest of integer, number, boolean, string that fits every value.
+
+    The pattern goes before the cast, because a failing cast costs far more than a failing match.
+    """
     if isinstance(dtype, T.IntegralType):
-        return F.lit("integer")
+        return "'integer'"
     if isinstance(dtype, T.NumericType):
-        return F.lit("number")
+        return "'number'"
     if isinstance(dtype, T.BooleanType):
-        return F.lit("boolean")
+        return "'boolean'"
     if not isinstance(dtype, T.StringType):
-        return F.lit("string")
-    text = F.when(filled(name, dtype), F.col(f"`{name}`"))
-    integer = text.rlike(INTEGER_TEXT) & text.try_cast("bigint").isNotNull()
-    return (
-        F.when(F.bool_and(integer), "integer")
-        .when(F.bool_and(text.rlike(NUMBER_TEXT)), "number")
-        .when(F.bool_and(F.lower(text).isin(*BOOLEAN_TEXT)), "boolean")
-        .otherwise("string")
-    )
+        return "'string'"
+    column, some = quoted(name), f"FILTER (WHERE {present(name, dtype)})"
+    return f"""CASE
+        WHEN bool_and({column} RLIKE r'{INTEGER_TEXT}' AND try_cast({column} AS BIGINT) IS NOT NULL) {some}
+            THEN 'integer'
+        WHEN bool_and({column} RLIKE r'{NUMBER_TEXT}') {some} THEN 'number'
+        WHEN bool_and(length({column}) <= 5 AND lower({column}) IN {BOOLEAN_TEXT}) {some} THEN 'boolean'
+        ELSE 'string' END"""
 
 
 # The Spark type each guess stands for.

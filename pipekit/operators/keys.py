@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from pipekit.functions.types import quoted, text_literal
+
 # Rows one task may be handed for a single key before an operator splits the key.
 MAX_GROUP_ROWS = 5_000_000
 
 
 def named(name: str) -> Column:
     """Column reference that also works for names with dots."""
-    return F.col(f"`{name}`")
+    return F.col(quoted(name))
 
 
 def require(df: DataFrame, columns: Sequence[str]) -> None:
@@ -54,10 +56,16 @@ def row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*[named(n) for n in names] or [F.lit(None)])
 
 
-def column_rows(summary: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
-    """Turn the one row of per-column structs `c0`, `c1`, ... into one row per column."""
-    rows = [
-        F.struct(F.lit(f.name).alias("column"), F.lit(i).alias("ordinal"), F.col(f"c{i}.*"))
-        for i, f in enumerate(fields)
-    ]
-    return summary.select(F.inline(F.array(*rows)))
+def column_rows(df: DataFrame, fields: Sequence[T.StructField], facts: Sequence[Mapping[str, str]]) -> DataFrame:
+    """One row per field, `column`, `ordinal` and its `facts`, from one aggregate over `df`.
+
+    The facts are SQL aggregates by name, the same names for every field.
+    """
+    if not fields:
+        raise ValueError("there are no columns to look at")
+    structs = []
+    for i, (field, named_facts) in enumerate(zip(fields, facts)):
+        items = ", ".join(f"{sql} AS {quoted(name)}" for name, sql in named_facts.items())
+        structs.append(F.expr(f"struct({items})").alias(f"c{i}"))
+    rows = ", ".join(f"struct({text_literal(f.name)} AS column, {i} AS ordinal, c{i}.*)" for i, f in enumerate(fields))
+    return df.agg(*structs).select(F.expr(f"inline(array({rows}))"))

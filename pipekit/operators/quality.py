@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from pipekit.functions.types import as_text, filled, guessed_type
+from pipekit.functions.types import as_text, guessed_type, is_nested, present, quoted, text_literal
 from pipekit.operators.clean import duplicate_counts
 from pipekit.operators.keys import column_rows, hashable, named
 
@@ -43,41 +43,50 @@ def profile_columns(
     if unknown:
         raise ValueError(f"unknown stats {unknown}; known: {list(STATS)}")
     source = df if sample is None else df.limit(sample)
-    summaries = []
-    for i, field in enumerate(df.schema):
+    facts = []
+    for field in df.schema:
         known = _stats(field, exact_distinct, sample_values)
-        summaries.append(F.struct(*[known[s].alias(s) for s in stats]).alias(f"c{i}"))
-    return column_rows(source.agg(*summaries), df.schema.fields)
+        facts.append({name: known[name] for name in stats})
+    return column_rows(source, df.schema.fields, facts)
 
 
-def _stats(field: T.StructField, exact_distinct: bool, sample_values: int) -> dict[str, Column]:
+def _stats(field: T.StructField, exact_distinct: bool, sample_values: int) -> dict[str, str]:
     name, dtype = field.name, field.dataType
-    present, text = filled(name, dtype), as_text(name, dtype)
-    rows, nulls = F.count(F.lit(1)), F.count_if(~present)
-    value = F.when(present, named(name) if hashable(dtype) else text)
-    length = F.when(present, F.length(text)) if isinstance(dtype, T.StringType) else F.lit(None).cast("int")
+    there, text = present(name, dtype), as_text(name, dtype)
+    value = quoted(name) if hashable(dtype) else text
+    is_text = isinstance(dtype, T.StringType)
+    lengths = f"(length({text})) FILTER (WHERE {there})" if is_text else "(CAST(NULL AS INT))"
+    distinct = "count(DISTINCT {})" if exact_distinct else "approx_count_distinct({})"
     return {
-        "dtype": F.lit(dtype.simpleString()),
+        "dtype": text_literal(dtype.simpleString()),
         "guessed_type": guessed_type(name, dtype),
-        "row_count": rows,
-        "null_count": nulls,
-        "null_percentage": F.when(rows == 0, F.lit(0.0)).otherwise(F.round(nulls * 100 / rows, 2)),
-        "unique_count": F.count_distinct(value) if exact_distinct else F.approx_count_distinct(value),
-        "max_length": F.max(length),
-        "avg_length": F.avg(length),
-        "sample_values": _sampled(text, present, sample_values),
+        "row_count": "count(1)",
+        "null_count": f"count_if(NOT {there})",
+        "null_percentage": f"coalesce(round(100 * try_divide(count_if(NOT {there}), count(1)), 2), 0D)",
+        "unique_count": distinct.format(f"CASE WHEN {there} THEN {value} END"),
+        "max_length": f"max{lengths}",
+        "avg_length": f"avg{lengths}",
+        "sample_values": _samples(name, dtype, sample_values),
     }
 
 
-def _sampled(text: Column, present: Column, k: int) -> Column:
-    """Aggregate: up to `k` different values, sorted.
+def _samples(name: str, dtype: T.DataType, k: int) -> str:
+    """Aggregate: up to `k` different values as text, sorted.
 
-    Values fall into `k` slots by length and last character and each slot keeps its smallest,
-    so the state is `k` values however many rows there are.
+    Each value belongs to one of `k` slots (integers by remainder, text by length and last
+    character, others by hash) and a slot keeps its smallest, so the state is `k` values
+    however many rows there are.
     """
-    slot = F.pmod(F.length(text) + F.ascii(F.right(text, F.lit(1))), F.lit(k))
-    slots = [F.min(F.when(present & (slot == i), text)) for i in range(k)]
-    return F.array_sort(F.array_compact(F.array(*slots)))
+    value, there = quoted(name), present(name, dtype)
+    if is_nested(dtype) or isinstance(dtype, T.StringType):
+        value = as_text(name, dtype)
+        slot = f"pmod(length({value}) + ascii(right({value}, 1)), {k})"
+    elif isinstance(dtype, T.IntegralType):
+        slot = f"pmod({value}, {k})"
+    else:
+        slot = f"pmod(xxhash64({value}), {k})"
+    slots = [f"CAST(min({value}) FILTER (WHERE {there} AND {slot} = {i}) AS STRING)" for i in range(k)]
+    return f"array_sort(array_compact(array({', '.join(slots)})))"
 
 
 def profile_dataset(df: DataFrame, sample: int | None = None) -> DataFrame:
@@ -91,12 +100,13 @@ def profile_dataset(df: DataFrame, sample: int | None = None) -> DataFrame:
     source = df if sample is None else df.limit(sample)
     width = len(df.columns)
     keys = [
-        named(f.name) if hashable(f.dataType) else as_text(f.name, f.dataType).alias(f.name) for f in df.schema
+        named(f.name) if hashable(f.dataType) else F.expr(as_text(f.name, f.dataType)).alias(f.name)
+        for f in df.schema
     ]
     distinct = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("__copies"))
     rows = F.coalesce(F.sum("__copies"), F.lit(0))
     nulls = [
-        F.coalesce(F.sum(F.when(~filled(f.name, f.dataType), F.col("__copies"))), F.lit(0)) for f in df.schema
+        F.expr(f"coalesce(sum(__copies) FILTER (WHERE NOT {present(f.name, f.dataType)}), 0)") for f in df.schema
     ]
     facts = distinct.agg(
         rows.alias("row_count"),

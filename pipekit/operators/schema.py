@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from pipekit.functions.times import local_clock, month, truncated
-from pipekit.functions.types import GUESS_TYPES, converted, filled, guessed_type
+from pipekit.functions.types import GUESS_TYPES, converted, guessed_type, present, quoted, text_literal
 from pipekit.operators.keys import column_rows, match, named, require
 
 
@@ -19,11 +19,8 @@ def guess_types(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
     rows only.
     """
     source = df if sample_rows is None else df.limit(sample_rows)
-    guesses = [
-        F.struct(guessed_type(f.name, f.dataType).alias("guessed_type")).alias(f"c{i}")
-        for i, f in enumerate(df.schema)
-    ]
-    return column_rows(source.agg(*guesses), df.schema.fields)
+    facts = [{"guessed_type": guessed_type(f.name, f.dataType)} for f in df.schema]
+    return column_rows(source, df.schema.fields, facts)
 
 
 def infer_schema(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
@@ -33,15 +30,15 @@ def infer_schema(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
     whether a value is missing (null or empty).
     """
     source = df if sample_rows is None else df.limit(sample_rows)
-    columns = []
-    for i, f in enumerate(df.schema):
-        kind = F.lit(f.dataType.simpleString())
+    named_types = ", ".join(f"'{guess}', '{name}'" for guess, name in GUESS_TYPES.items())
+    facts = []
+    for f in df.schema:
+        kind = text_literal(f.dataType.simpleString())
         if isinstance(f.dataType, T.StringType):
-            names = F.create_map(*[F.lit(x) for pair in GUESS_TYPES.items() for x in pair])
-            kind = names[guessed_type(f.name, f.dataType)]
-        missing = F.coalesce(F.bool_or(~filled(f.name, f.dataType)), F.lit(False))
-        columns.append(F.struct(kind.alias("type"), missing.alias("nullable")).alias(f"c{i}"))
-    return column_rows(source.agg(*columns), df.schema.fields)
+            kind = f"map({named_types})[{guessed_type(f.name, f.dataType)}]"
+        missing = f"coalesce(bool_or(NOT {present(f.name, f.dataType)}), false)"
+        facts.append({"type": kind, "nullable": missing})
+    return column_rows(source, df.schema.fields, facts)
 
 
 def cast_types(
@@ -61,12 +58,17 @@ def cast_failures(df: DataFrame, casts: Mapping[str, str], locale: str = "en_US"
     """One row `(column, ordinal, target, failures)` per cast: the values it would turn to null."""
     require(df, list(casts))
     fields = [df.schema[c] for c in casts]
-    counts = []
-    for i, f in enumerate(fields):
-        result = converted(named(f.name), f.dataType, casts[f.name], locale, False)
-        failed = F.count_if(named(f.name).isNotNull() & result.isNull())
-        counts.append(F.struct(F.lit(casts[f.name]).alias("target"), failed.alias("failures")).alias(f"c{i}"))
-    return column_rows(df.agg(*counts), fields)
+    trials = df.withColumns(
+        {f"__cast{i}": converted(named(f.name), f.dataType, casts[f.name], locale, False) for i, f in enumerate(fields)}
+    )
+    facts = [
+        {
+            "target": text_literal(casts[f.name]),
+            "failures": f"count_if({quoted(f.name)} IS NOT NULL AND __cast{i} IS NULL)",
+        }
+        for i, f in enumerate(fields)
+    ]
+    return column_rows(trials, fields, facts)
 
 
 def parse_time(

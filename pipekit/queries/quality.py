@@ -69,18 +69,23 @@ def profile_approx(table: Tables) -> DataFrame:
     return quality.profile_columns(table("lineitem"))
 
 
-def _sample_sql(ordinal: int, name: str, text: str) -> str:
-    slots = [f"min(s) FILTER ((length(s) + ascii(right(s, 1))) % 5 = {i})" for i in range(5)]
+def _sample_sql(ordinal: int, name: str, slot: str) -> str:
+    slots = [f"CAST(min({name}) FILTER (({slot}) % 5 = {i}) AS VARCHAR)" for i in range(5)]
     return f"""
     SELECT '{name}' AS "column", {ordinal} AS ordinal,
            array_to_string(list_sort(list_filter([{', '.join(slots)}], lambda x: x IS NOT NULL)), '|') AS samples
-    FROM (SELECT CAST({text} AS VARCHAR) AS s FROM customer)"""
+    FROM customer"""
 
 
-CUSTOMER = ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+CUSTOMER = {
+    "c_custkey": "c_custkey",
+    "c_name": "length(c_name) + ascii(right(c_name, 1))",
+    "c_nationkey": "c_nationkey",
+    "c_mktsegment": "length(c_mktsegment) + ascii(right(c_mktsegment, 1))",
+}
 
 
-@query("profile_samples", " UNION ALL ".join(_sample_sql(i, c, c) for i, c in enumerate(CUSTOMER)))
+@query("profile_samples", " UNION ALL ".join(_sample_sql(i, c, slot) for i, (c, slot) in enumerate(CUSTOMER.items())))
 def profile_samples(table: Tables) -> DataFrame:
     profile = quality.profile_columns(table("customer").select(*CUSTOMER), stats=["sample_values"])
     return profile.select("column", "ordinal", F.array_join("sample_values", "|").alias("samples"))
