@@ -17,8 +17,8 @@ RANK_METHODS = {"row_number": F.row_number, "rank": F.rank, "dense_rank": F.dens
 
 # A top-N this small prunes every map task to N rows per group, however large the groups are.
 PRUNED_TOP_N = 100
-# Most rows a global top-N may gather in one task.
-GATHERED_TOP_N = 100_000
+# Most rows that every map task may send to the one task of a global top-N.
+GATHERED_TOP_N = 1_000
 
 Order = str | tuple[str, str] | Mapping[str, str]
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 AUDIT_SCHEMA = (
     "event string, pipeline string, run_id string, ts timestamp, "
@@ -22,7 +22,10 @@ def log_event(
     metrics: Mapping[str, int] | None = None,
     extra: Mapping[str, str] | None = None,
 ) -> dict:
-    """Append one row to the parquet audit table at `path`; returns the payload."""
+    """Append one row to the parquet audit table at `path`; returns the payload.
+
+    `metrics` are numbers about the run, such as what an `Observation` collected during a write.
+    """
     payload = {"pipeline": pipeline, "run_id": run_id, "metrics": dict(metrics or {}), "extra": dict(extra or {})}
     now = dt.datetime.now(dt.timezone.utc)
     row = (event, pipeline, run_id, now, payload["metrics"], payload["extra"])
@@ -32,10 +35,3 @@ def log_event(
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(AUDIT_SCHEMA).parquet(path)
-
-
-def observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, Observation]:
-    """The table with metrics (default: `rows`) collected while an action reads it."""
-    seen = Observation()
-    wanted = metrics or {"rows": F.count(F.lit(1))}
-    return df.observe(seen, *[column.alias(name) for name, column in wanted.items()]), seen

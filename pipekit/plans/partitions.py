@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pipekit.functions.times import local_clock, truncated
-from pipekit.operators.keys import named
+from pipekit.operators.keys import match, named
 
 # Step units, and date letters with their Spark spelling.
 UNITS = {"d": "day", "h": "hour"}
@@ -47,17 +47,17 @@ def make_partitions(
     return _grid(bounds, every, fmt).select("partition", "starts_at")
 
 
-def _bounds(df: DataFrame, ts_col: str, every: str, tz: str) -> DataFrame:
-    clock = local_clock(named(ts_col), df.schema[ts_col].dataType, tz)
-    _, unit = _step(every)
-    return df.agg(truncated(F.min(clock), unit).alias("first"), F.max(clock).alias("last"))
+def _clock(df: DataFrame, ts_col: str, unit: str, tz: str) -> Column:
+    return truncated(local_clock(named(ts_col), df.schema[ts_col].dataType, tz), unit)
 
 
 def partition_grid(
     df: DataFrame, ts_col: str, every: str = "1d", tz: str = "UTC", fmt: str = "YYYY-MM-DD"
 ) -> DataFrame:
     """Rows `(partition, starts_at)` that cover the times of a table, also where it has none."""
-    return _grid(_bounds(df, ts_col, every, tz), every, fmt).select("partition", "starts_at")
+    clock = _clock(df, ts_col, _step(every)[1], tz)
+    bounds = df.agg(F.min(clock).alias("first"), F.max(clock).alias("last"))
+    return _grid(bounds, every, fmt).select("partition", "starts_at")
 
 
 def partition_counts(
@@ -65,16 +65,16 @@ def partition_counts(
 ) -> DataFrame:
     """Rows `(partition, starts_at, rows)`: `partition_grid` with the table's rows per partition.
 
-    Rows are counted per hour or day before the shuffle, so only counts meet the grid.
+    Rows are counted per hour or day before the shuffle; the grid and its counts both come from
+    these few numbers, so the table is read once.
     """
     number, unit = _step(every)
-    bounds = _bounds(df, ts_col, every, tz)
-    clock = truncated(local_clock(named(ts_col), df.schema[ts_col].dataType, tz), unit)
-    counts = df.groupBy(clock.alias("at")).agg(F.count(F.lit(1)).alias("n")).filter("at is not null")
+    counts = df.groupBy(_clock(df, ts_col, unit, tz).alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    bounds = counts.agg(F.min("at").alias("first"), F.max("at").alias("last"))
     origin = bounds.select("first").scalar()
     units = F.date_diff(F.to_date("at"), F.to_date(origin))
     if unit == "hour":
         units = units * 24 + F.hour("at") - F.hour(origin)
     steps = counts.groupBy(F.floor(units / number).cast("int").alias("step")).agg(F.sum("n").alias("n"))
-    grid = _grid(bounds, every, fmt).join(steps, "step", "left")
+    grid = match(_grid(bounds, every, fmt), steps, ["step"], "left_outer")
     return grid.select("partition", "starts_at", F.coalesce("n", F.lit(0)).cast("bigint").alias("rows"))

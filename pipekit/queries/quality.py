@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pipekit.operators import quality
+from pipekit.plans.analyze import analyze_file
 from pipekit.queries.cleaning import EVENTS_WITH_NULLS, events_with_nulls
 from pipekit.queries.registry import Tables, query
+from pipekit.session import fresh_path
+from pipekit.sinks.files import export_files
 
 
 def _column_sql(ordinal: int, name: str, dtype: str, guess: str, text: bool = False) -> str:
@@ -63,10 +66,26 @@ def profile_documents(table: Tables) -> DataFrame:
     return quality.profile_columns(table("documents"), exact_distinct=True, stats=EXACT)
 
 
-@query("profile_approx")
+LINE_COLUMNS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+
+
+@query(
+    "profile_approx",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count(*) AS row_count, count(*) - count({c}) AS null_count,
+                   TRUE AS unique_close, TRUE AS has_samples FROM lineitem"""
+        for c in LINE_COLUMNS
+    ),
+)
 def profile_approx(table: Tables) -> DataFrame:
-    """The default profile: distinct counts are estimates, so there is nothing exact to compare."""
-    return quality.profile_columns(table("lineitem"))
+    """The default profile; its estimates of distinct values must be within 20 % of the truth."""
+    lines = table("lineitem")
+    exact = quality.profile_columns(lines, exact_distinct=True, stats=["unique_count"])
+    pairs = quality.profile_columns(lines).join(exact.withColumnRenamed("unique_count", "truth"), "column")
+    close = F.abs(F.col("unique_count") / F.col("truth") - 1) < 0.2
+    samples = F.size("sample_values").between(1, 5)
+    return pairs.select("column", "row_count", "null_count", close.alias("unique_close"), samples.alias("has_samples"))
 
 
 def _sample_sql(ordinal: int, name: str, slot: str) -> str:
@@ -143,3 +162,29 @@ def profile_duplicates(table: Tables) -> DataFrame:
 def quality_issues(table: Tables) -> DataFrame:
     events = events_with_nulls(table).select("grp", "event_type", "value").withColumn("origin", F.lit("web"))
     return quality.quality_issues(events, {"null_percentage": 10.0, "max_length": 7.0})
+
+
+@query(
+    "analyze_csv",
+    """
+    WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus,
+                      CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice FROM orders)
+    SELECT 'o_orderkey' AS "column", 0 AS ordinal, 'integer' AS guessed_type, count(*) AS row_count,
+           0 AS null_count, 0.0 AS null_percentage FROM o
+    UNION ALL SELECT 'o_orderstatus', 1, 'string', count(*), count(*) - count(o_orderstatus),
+           round(100 * (count(*) - count(o_orderstatus)) / count(*), 2) FROM o
+    UNION ALL SELECT 'o_totalprice', 2, 'number', count(*), count(*) - count(o_totalprice),
+           round(100 * (count(*) - count(o_totalprice)) / count(*), 2) FROM o
+    """,
+)
+def analyze_csv(table: Tables) -> DataFrame:
+    key = F.col("o_orderkey")
+    orders = table("orders").select(
+        "o_orderkey",
+        F.when(key % 9 != 0, F.col("o_orderstatus")).alias("o_orderstatus"),
+        F.when(key % 7 != 0, F.col("o_totalprice")).alias("o_totalprice"),
+    )
+    path = fresh_path(orders.sparkSession, "analyze")
+    export_files(orders, path, "csv")
+    _, columns = analyze_file(orders.sparkSession, path)
+    return columns.select("column", "ordinal", "guessed_type", "row_count", "null_count", "null_percentage")

@@ -5,10 +5,10 @@ What these queries write goes to fresh folders below the session's shared folder
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from pipekit.operators.aggregate import aggregate
-from pipekit.plans.audit import log_event, observed, read_events
+from pipekit.plans.audit import log_event, read_events
 from pipekit.plans.graph import run_graph
 from pipekit.plans.partitions import partition_counts, partition_grid
 from pipekit.queries.registry import Tables, query
@@ -118,9 +118,10 @@ def sink_check(table: Tables) -> DataFrame:
     """Two loads of the same rows: what the second one wrote, and what the target then holds."""
     orders = _orders(table)
     spark, path = orders.sparkSession, _path(orders, "target")
-    write_datalake(orders, path, storage="local")
+    write_datalake(orders, path, partition_by=["o_orderstatus"], storage="local")
     counts = write_checked(
-        orders, lambda df: write_datalake(df, path, storage="local"), lambda: read_files(spark, path)
+        lambda seen: write_datalake(orders, path, partition_by=["o_orderstatus"], storage="local", seen=seen),
+        lambda: read_files(spark, path),
     )
     return spark.createDataFrame([counts], "rows_written bigint, target_rows bigint")
 
@@ -251,8 +252,7 @@ def counts_wide(table: Tables) -> DataFrame:
 @query(
     "audit_log",
     """
-    SELECT 'load' AS event, 'nightly' AS pipeline, 'run-1' AS run_id, count(*) AS rows,
-           count(DISTINCT o_orderstatus) AS statuses, 'orders' AS target
+    SELECT 'load' AS event, 'nightly' AS pipeline, 'run-1' AS run_id, count(*) AS rows, 'orders' AS target
     FROM orders
     """,
 )
@@ -260,21 +260,13 @@ def audit_log(table: Tables) -> DataFrame:
     """Metrics observed during a write, logged and read back."""
     orders = table("orders").select("o_orderkey", "o_orderstatus")
     spark = orders.sparkSession
-    statuses = F.size(F.collect_set("o_orderstatus"))
-    watched, seen = observed(orders, rows=F.count(F.lit(1)), statuses=statuses)
-    write_datalake(watched, _path(orders, "target"), storage="local")
+    seen = Observation()
+    write_datalake(orders, _path(orders, "target"), storage="local", seen=seen)
     path = fresh_path(spark, "audit")
     log_event(spark, path, "load", "nightly", "run-1", seen.get, {"target": "orders"})
     events = read_events(spark, path)
-    metric, extra = F.col("metrics"), F.col("extra")
-    return events.select(
-        "event",
-        "pipeline",
-        "run_id",
-        metric["rows"].alias("rows"),
-        metric["statuses"].alias("statuses"),
-        extra["target"].alias("target"),
-    )
+    rows, target = F.col("metrics")["rows"], F.col("extra")["target"]
+    return events.select("event", "pipeline", "run_id", rows.alias("rows"), target.alias("target"))
 
 
 @query(

@@ -276,11 +276,15 @@ def aggregate_distinct(table: Tables) -> DataFrame:
     return aggregate(table("lineitem"), ["l_returnflag"], metrics)
 
 
-@query("aggregate_approx_distinct")
+@query("aggregate_approx_distinct", "SELECT l_returnflag, TRUE AS close FROM lineitem GROUP BY ALL")
 def aggregate_approx_distinct(table: Tables) -> DataFrame:
-    """An estimate, so there is nothing exact to compare it with."""
-    metrics = {"orders": {"op": "approx_count_distinct", "col": "l_orderkey"}}
-    return aggregate(table("lineitem"), ["l_returnflag"], metrics)
+    """The estimate must be within 20 % of the exact count."""
+    metrics = {
+        "estimate": {"op": "approx_count_distinct", "col": "l_orderkey"},
+        "truth": {"op": "count_distinct", "col": "l_orderkey"},
+    }
+    counts = aggregate(table("lineitem"), ["l_returnflag"], metrics)
+    return counts.select("l_returnflag", (F.abs(F.col("estimate") / F.col("truth") - 1) < 0.2).alias("close"))
 
 
 @query(
@@ -479,7 +483,10 @@ def sample_head(table: Tables) -> DataFrame:
     return aggregate(head(table("events"), 1000), metrics={"n": {"op": "count"}})
 
 
-@query("sample_fraction")
+@query("sample_fraction", "SELECT TRUE AS fair, count(DISTINCT event_type) AS kinds FROM events")
 def sample_fraction(table: Tables) -> DataFrame:
-    """A random sample, so there is nothing exact to compare it with."""
-    return sample(table("events"), 0.1, seed=7)
+    """A tenth of the rows, give or take, with every kind of event among them."""
+    events = table("events")
+    picked = sample(events, 0.1, seed=7).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_type").alias("kinds"))
+    total = events.agg(F.count(F.lit(1)).alias("total")).scalar()
+    return picked.select(F.col("n").between(total * 0.05, total * 0.15).alias("fair"), "kinds")

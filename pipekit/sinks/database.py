@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 
+from pipekit.sinks.files import counted
 from pipekit.sources.database import jdbc_options
 
 WRITE_MODES = ("append", "overwrite")
@@ -20,12 +21,13 @@ def write_table(
     batch_size: int = 50_000,
     connections: int = 16,
     options: Mapping[str, str] | None = None,
+    seen: Observation | None = None,
 ) -> None:
     """Append to a database table, or replace its rows (`overwrite` keeps the table's definition).
 
     At most `connections` tasks write at once. Each task commits on its own, so a task that is
     lost after its commit and run again writes its rows twice: load into an empty staging table
-    and check the count (`write_checked`) where that matters.
+    and check the count (`write_checked`) where that matters. `seen` gets the number of `rows`.
     """
     if mode not in WRITE_MODES:
         raise ValueError(f"mode must be one of {list(WRITE_MODES)}, not {mode!r}")
@@ -37,4 +39,4 @@ def write_table(
     }
     if mode == "overwrite":
         settings["truncate"] = "true"
-    df.write.format("jdbc").options(**settings).mode(mode).save()
+    counted(df, seen).write.format("jdbc").options(**settings).mode(mode).save()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, functions as F
@@ -22,19 +22,21 @@ def write_datalake(
     partition_by: Sequence[str] = (),
     storage: str = "hdfs",
     mode: str = "append",
+    seen: Observation | None = None,
 ) -> None:
     """Write a lake table, in folders `column=value` if `partition_by` is given.
 
     The rows are rebalanced by the partition columns first: small ones share a file and a hot
     one is split over tasks. `overwrite` replaces only the partitions that are written.
-    `delta` and `iceberg` need their connector on the class path.
+    `delta` and `iceberg` need their connector on the class path. `seen` gets the number of
+    `rows` written.
     """
     if fmt not in LAKE_FORMATS:
         raise ValueError(f"lake format must be one of {list(LAKE_FORMATS)}, not {fmt!r}")
     _check_mode(mode)
     if partition_by:
         df = df.hint("rebalance", *[F.col(f"`{p}`") for p in partition_by])
-    writer = df.write.format(fmt).mode(mode)
+    writer = counted(df, seen).write.format(fmt).mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
         if fmt == "parquet":
@@ -54,13 +56,27 @@ def export_files(
     options: Mapping[str, str] | None = None,
     storage: str = "local",
     mode: str = "error",
+    seen: Observation | None = None,
 ) -> None:
-    """Write CSV (with a header, quotes doubled) or JSON lines, one file per task."""
+    """Write CSV (with a header, quotes doubled) or JSON lines, one file per task.
+
+    `seen` gets the number of `rows` written.
+    """
     if fmt not in EXPORT_FORMATS:
         raise ValueError(f"export format must be one of {list(EXPORT_FORMATS)}, not {fmt!r}")
     _check_mode(mode)
     defaults = {"header": "true", "escape": '"'} if fmt == "csv" else {}
-    df.write.format(fmt).mode(mode).options(**{**defaults, **(options or {})}).save(storage_uri(path, storage))
+    writer = counted(df, seen).write.format(fmt).mode(mode)
+    writer.options(**{**defaults, **(options or {})}).save(storage_uri(path, storage))
+
+
+def counted(df: DataFrame, seen: Observation | None) -> DataFrame:
+    """Count the rows of `df` into `seen` while they are written.
+
+    The count sits in the writing stage itself, after the last shuffle: Spark counts a task of
+    that stage once even if it has to run again, which it does not promise for earlier ones.
+    """
+    return df if seen is None else df.observe(seen, F.count(F.lit(1)).alias("rows"))
 
 
 def _check_mode(mode: str) -> None:
@@ -68,13 +84,13 @@ def _check_mode(mode: str) -> None:
         raise ValueError(f"mode must be one of {list(MODES)}, not {mode!r}")
 
 
-def write_checked(df: DataFrame, write, read) -> dict[str, int]:
-    """Run `write(df)`, then count: the rows written, and the rows of the target `read()`.
+def write_checked(write: Callable[[Observation], None], read: Callable[[], DataFrame]) -> dict[str, int]:
+    """Run `write(seen)`, a sink call that passes `seen` on, and count.
 
-    The first number is observed while the rows pass by, without another scan.
+    Returns the rows written, observed as they pass by, and the rows of the target `read()`.
     """
     seen = Observation()
-    write(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    write(seen)
     return {"rows_written": seen.get["rows"], "target_rows": read().count()}
 
 

@@ -7,6 +7,9 @@ from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from pipekit.operators.schema import infer_schema
+from pipekit.session import fresh_path
+
 # Storage names and file suffixes.
 STORAGE_SCHEMES = {"local": "file", "s3": "s3a", "hdfs": "hdfs", "gcs": "gs"}
 SUFFIX_FORMATS = {
@@ -78,8 +81,8 @@ def read_files(
 ) -> DataFrame:
     """Read a file or folder of `csv`, `json`, `xml` or `parquet`.
 
-    Types are inferred from everything read, or from the first `sample_rows` records, or not at
-    all (`infer=False`: text columns), unless `schema` is given. `bad_rows` says what becomes of
+    Types are inferred from everything read, or from the first `sample_rows` records (of CSV and
+    JSON lines), or not at all (`infer=False`: text columns), unless `schema` is given. `bad_rows` says what becomes of
     a record that does not fit: `null` (its bad fields), `keep` (also its text, in
     `_corrupt_record`) or `fail`. `multiline` lets a CSV field or a JSON document span lines,
     which makes each file one task; None looks whether any line is incomplete on its own.
@@ -124,8 +127,7 @@ def _text_options(fmt: str, bad_rows: str, row_tag: str) -> dict[str, str]:
 
 def _spans_lines(spark: SparkSession, uri: str, fmt: str, settings: Mapping[str, str]) -> bool:
     """Whether some line is not a record on its own; stops at the first one found."""
-    keep = {k: v for k, v in settings.items() if k in ("pathGlobFilter", "recursiveFileLookup", "encoding")}
-    lines = spark.read.options(**keep).text(uri)
+    lines = spark.read.options(**_listing(settings)).text(uri)
     line = F.trim("value")
     if fmt == "csv":
         quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
@@ -140,25 +142,29 @@ def _inferred(
     spark: SparkSession, uri: str, fmt: str, settings: Mapping[str, str], infer: bool, sample_rows: int | None
 ) -> T.StructType:
     reader = spark.read.format(fmt).options(**settings)
-    if fmt == "csv":
-        names = reader.option("inferSchema", "false").load(uri)
-        if not infer:
-            return names.schema
-        if sample_rows is not None:
-            return _sample_schema(names, sample_rows)
-        return reader.option("inferSchema", "true").load(uri).schema
     if not infer:
-        settings = {**settings, "primitivesAsString": "true"}
-        return spark.read.format(fmt).options(**settings).load(uri).schema
-    return reader.load(uri).schema
+        all_text = {"inferSchema": "false"} if fmt == "csv" else {"primitivesAsString": "true"}
+        return reader.options(**all_text).load(uri).schema
+    if sample_rows is not None and fmt == "csv":
+        return _sample_schema(reader.option("inferSchema", "false").load(uri), sample_rows)
+    if sample_rows is not None and fmt == "json" and settings["multiLine"] == "false":
+        # A small copy of the first lines, so that inference sees only them.
+        sample = fresh_path(spark, "sample")
+        spark.read.options(**_listing(settings)).text(uri).limit(sample_rows).write.text(sample)
+        return reader.load(sample).schema
+    return reader.option("inferSchema", "true").load(uri).schema
 
 
-def _sample_schema(rows: DataFrame, sample_rows: int) -> T.StructType:
-    """Types that fit the first `sample_rows` rows of all-text columns; one small aggregate."""
-    from pipekit.operators.schema import infer_schema
+def _listing(settings: Mapping[str, str]) -> dict[str, str]:
+    """The options that say which files to read."""
+    return {k: v for k, v in settings.items() if k in ("pathGlobFilter", "recursiveFileLookup", "basePath")}
 
-    types = {r.column: r.type for r in infer_schema(rows, sample_rows).collect()}
-    return T.StructType([T.StructField(c, T.StructType.fromDDL(f"x {types[c]}")[0].dataType) for c in rows.columns])
+
+def _sample_schema(rows: DataFrame, sample_rows: int) -> T.StructType:
+    """Types that fit the first `sample_rows` rows of text columns; one small aggregate."""
+    found = infer_schema(rows, sample_rows).collect()
+    types = {r.column: T.StructType.fromDDL(f"x {r.type}")["x"].dataType for r in found}
+    return T.StructType([T.StructField(c, types[c]) for c in rows.columns])
 
 
 def bulk_import(
