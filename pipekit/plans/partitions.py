@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from pipekit.functions.times import local_clock, truncated
-from pipekit.operators.keys import match, named
+from pipekit.operators.keys import named
 
 # Step units, and date letters with their Spark spelling.
 UNITS = {"d": "day", "h": "hour"}
@@ -21,13 +21,16 @@ def _step(every: str) -> tuple[int, str]:
     return int(found.group(1)), UNITS[found.group(2)]
 
 
+def _pattern(fmt: str) -> str:
+    return re.sub("|".join(DATE_TOKENS), lambda token: DATE_TOKENS[token.group(0)], fmt)
+
+
 def _grid(bounds: DataFrame, every: str, fmt: str) -> DataFrame:
-    """Rows `(step, starts_at, partition)` from `first` to `last` of the one row `bounds`."""
+    """Rows `(partition, starts_at)` from `first` to `last` of the one row `bounds`."""
     number, unit = _step(every)
-    pattern = re.sub("|".join(DATE_TOKENS), lambda token: DATE_TOKENS[token.group(0)], fmt)
     starts = F.sequence("first", "last", F.expr(f"interval {number} {unit}"))
-    grid = bounds.filter("first <= last").select(F.posexplode(starts).alias("step", "starts_at"))
-    return grid.withColumn("partition", F.date_format("starts_at", pattern))
+    grid = bounds.select(F.explode(F.when(F.col("first") <= F.col("last"), starts)).alias("starts_at"))
+    return grid.select(F.date_format("starts_at", _pattern(fmt)).alias("partition"), "starts_at")
 
 
 def make_partitions(
@@ -44,7 +47,7 @@ def make_partitions(
         return F.lit(text).cast("timestamp_ntz")
 
     bounds = spark.range(1).select(clock(start).alias("first"), clock(end).alias("last"))
-    return _grid(bounds, every, fmt).select("partition", "starts_at")
+    return _grid(bounds, every, fmt)
 
 
 def _clock(df: DataFrame, ts_col: str, unit: str, tz: str) -> Column:
@@ -57,7 +60,7 @@ def partition_grid(
     """Rows `(partition, starts_at)` that cover the times of a table, also where it has none."""
     clock = _clock(df, ts_col, _step(every)[1], tz)
     bounds = df.agg(F.min(clock).alias("first"), F.max(clock).alias("last"))
-    return _grid(bounds, every, fmt).select("partition", "starts_at")
+    return _grid(bounds, every, fmt)
 
 
 def partition_counts(
@@ -65,16 +68,25 @@ def partition_counts(
 ) -> DataFrame:
     """Rows `(partition, starts_at, rows)`: `partition_grid` with the table's rows per partition.
 
-    Rows are counted per hour or day before the shuffle; the grid and its counts both come from
-    these few numbers, so the table is read once.
+    Rows are counted per hour or day before the shuffle. What follows handles one row per hour
+    or day with data: those are put into steps, and each step fills the gap up to the next one.
     """
     number, unit = _step(every)
-    counts = df.groupBy(_clock(df, ts_col, unit, tz).alias("at")).agg(F.count(F.lit(1)).alias("n"))
-    bounds = counts.agg(F.min("at").alias("first"), F.max("at").alias("last"))
-    origin = bounds.select("first").scalar()
-    units = F.date_diff(F.to_date("at"), F.to_date(origin))
+    clock = _clock(df, ts_col, unit, tz).alias("at")
+    counts = df.groupBy(clock).agg(F.count(F.lit(1)).alias("n")).filter("at is not null")
+
+    first = F.min("at").over(Window.partitionBy())
+    units = F.date_diff(F.to_date("at"), F.to_date(first))
     if unit == "hour":
-        units = units * 24 + F.hour("at") - F.hour(origin)
-    steps = counts.groupBy(F.floor(units / number).cast("int").alias("step")).agg(F.sum("n").alias("n"))
-    grid = match(_grid(bounds, every, fmt), steps, ["step"], "left_outer")
-    return grid.select("partition", "starts_at", F.coalesce("n", F.lit(0)).cast("bigint").alias("rows"))
+        units = units * 24 + F.hour("at") - F.hour(first)
+    past = (F.floor(units / number) * number).cast("int")
+    starts = first + (F.make_dt_interval(hours=past) if unit == "hour" else F.make_dt_interval(days=past))
+    steps = counts.select(starts.alias("from"), "n").groupBy("from").agg(F.sum("n").alias("n"))
+
+    step = F.expr(f"interval {number} {unit}")
+    last_empty = F.lead("from").over(Window.orderBy("from")) - step
+    filled = steps.withColumn("upto", F.coalesce(last_empty, "from")).select(
+        "from", "n", F.explode(F.sequence("from", "upto", step)).alias("starts_at")
+    )
+    rows = F.when(F.col("starts_at") == F.col("from"), F.col("n")).otherwise(0)
+    return filled.select(F.date_format("starts_at", _pattern(fmt)).alias("partition"), "starts_at", rows.alias("rows"))

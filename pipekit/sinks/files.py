@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, functions as F
 
@@ -43,8 +44,8 @@ def write_datalake(
             writer = writer.option("partitionOverwriteMode", "dynamic")
     try:
         writer.save(storage_uri(path, storage))
-    except PySparkException as error:
-        if error.getCondition() == "DATA_SOURCE_NOT_FOUND":
+    except (PySparkException, Py4JError) as error:
+        if "DATA_SOURCE_NOT_FOUND" in str(error):
             raise ValueError(f"the {fmt} connector is not on the class path") from error
         raise
 

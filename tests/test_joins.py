@@ -1,0 +1,127 @@
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import final_plan, rows
+from pipekit.operators.joins import join_tables
+from pipekit.operators.keys import largest_group
+
+
+@pytest.fixture
+def left_t(spark):
+    return spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (4, "e")], "k bigint, v string")
+
+
+@pytest.fixture
+def right_t(spark):
+    return spark.createDataFrame([(1, "x"), (2, "y"), (2, "z"), (3, "w"), (None, "n")], "k bigint, v string")
+
+
+INNER = [(1, "a", "x"), (1, "b", "x"), (2, "c", "y"), (2, "c", "z")]
+LEFT_ONLY = [(None, "d", None), (4, "e", None)]
+RIGHT_ONLY = [(None, None, "n"), (3, None, "w")]
+EXPECTED = {
+    "inner": INNER,
+    "left": INNER + LEFT_ONLY,
+    "right": INNER + RIGHT_ONLY,
+    "outer": INNER + LEFT_ONLY + RIGHT_ONLY,
+}
+
+
+@pytest.mark.parametrize("limit", [None, 5_000_000, 0])
+@pytest.mark.parametrize("how", sorted(EXPECTED))
+def test_kinds(left_t, right_t, how, limit):
+    result = join_tables(left_t, right_t, ["k"], how, max_group_rows=limit)
+    assert result.columns == ["k", "v_x", "v_y"]
+    assert sorted(map(str, rows(result))) == sorted(map(str, EXPECTED[how]))
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_null_safe(left_t, right_t, limit):
+    result = join_tables(left_t, right_t, ["k"], "outer", null_safe=True, max_group_rows=limit)
+    wanted = INNER + [(None, "d", "n"), (4, "e", None), (3, None, "w")]
+    assert sorted(map(str, rows(result))) == sorted(map(str, wanted))
+
+
+def test_semi_and_anti(left_t, right_t):
+    assert rows(join_tables(left_t, right_t, ["k"], "left_semi")) == [(1, "a"), (1, "b"), (2, "c")]
+    assert rows(join_tables(left_t, right_t, ["k"], "left_anti")) == [(None, "d"), (4, "e")]
+    assert rows(join_tables(left_t, right_t, ["k"], "left_anti", null_safe=True)) == [(4, "e")]
+
+
+def test_self_join(left_t):
+    result = join_tables(left_t, left_t, ["k"], suffixes=("_1", "_2"))
+    assert result.columns == ["k", "v_1", "v_2"] and result.count() == 6
+
+
+def test_several_keys_and_types(spark):
+    left = spark.createDataFrame([(1, "a", 1.0), (1, "b", 2.0)], "k int, j string, v double")
+    right = spark.createDataFrame([(1, "a", 3.0), (1, "c", 4.0)], "k bigint, j string, w double")
+    joined = join_tables(left, right, ["k", "j"], "outer").orderBy("j").collect()
+    assert [tuple(r) for r in joined] == [(1, "a", 1.0, 3.0), (1, "b", 2.0, None), (1, "c", None, 4.0)]
+
+
+def test_rejections(left_t, right_t):
+    for kind in ("cross", "sideways"):
+        with pytest.raises(ValueError):
+            join_tables(left_t, right_t, ["k"], kind)
+    with pytest.raises(ValueError):
+        join_tables(left_t, right_t, [])
+    with pytest.raises(ValueError):
+        join_tables(left_t, right_t, ["v2"])
+    with pytest.raises(ValueError, match="repeated"):
+        join_tables(left_t, right_t, ["k"], suffixes=("", ""))
+    with pytest.raises(ValueError):
+        join_tables(left_t, right_t, ["k"], broadcast="both")
+
+
+def test_broadcast_only_when_counted_small(spark, monkeypatch):
+    import pipekit.operators.joins as joins
+
+    left, right = spark.range(100).withColumnRenamed("id", "k"), spark.range(50).withColumnRenamed("id", "k")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastHashJoin" in final_plan(join_tables(left, right, ["k"], broadcast="right"))
+        monkeypatch.setattr(joins, "BROADCAST_ROWS", 10)
+        assert "BroadcastHashJoin" not in final_plan(join_tables(left, right, ["k"], broadcast="right"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+SKEW = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4KB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1KB",
+    "spark.sql.shuffle.partitions": "16",
+}
+
+
+@pytest.fixture
+def skewed(spark):
+    """One key holds a third of 30,000 rows."""
+    for key, value in SKEW.items():
+        spark.conf.set(key, value)
+    hot = F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id"))
+    facts = spark.range(0, 30_000, 1, 8).select(hot.alias("k"), F.col("id").alias("v"))
+    names = spark.range(0, 20_000, 1, 8).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+    yield facts, names
+    for key in SKEW:
+        spark.conf.unset(key)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_a_hot_key_is_split(skewed):
+    facts, names = skewed
+    assert largest_group(facts, ["k"]) == 10_001
+    assert "skew=true" in final_plan(join_tables(facts, names, ["k"]))
+    assert "skew=true" in final_plan(join_tables(facts, names, ["k"], "left"))
+
+
+def test_a_hot_key_on_the_fixed_side_of_an_outer_join_is_split(skewed):
+    facts, names = skewed
+    whole = join_tables(names, facts, ["k"], "left", max_group_rows=None)
+    split = join_tables(names, facts, ["k"], "left", max_group_rows=10_000)
+    assert "skew=true" not in final_plan(whole) and "skew=true" in final_plan(split)
+    assert rows(whole) == rows(split)
