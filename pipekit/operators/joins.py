@@ -19,8 +19,9 @@ JOIN_KINDS = {
     "left_anti": "left_anti",
 }
 
-# Largest side, in rows, that `broadcast="right"` accepts.
+# Largest side that `broadcast="right"` accepts, in rows and in bytes of their JSON text.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def join_tables(
@@ -37,7 +38,7 @@ def join_tables(
 
     The result has the key columns once, then the left and the right columns. Null keys match
     nothing unless `null_safe`. `broadcast="right"` asks to ship the right side whole; it is
-    counted first and shipped only up to `BROADCAST_ROWS` rows.
+    measured first and shipped only up to `BROADCAST_ROWS` rows and `BROADCAST_BYTES` bytes.
 
     Adaptive execution splits a hot key on either side of an inner join and on the left side
     of a left join, but not on the other side of an outer join. There the key frequencies are
@@ -57,7 +58,7 @@ def join_tables(
         return left.join(keys, _condition(on, null_safe), how)
 
     left, right = _suffixed(left, right, on, suffixes)
-    if broadcast == "right" and right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if broadcast == "right" and _is_small(right):
         right = F.broadcast(right)
     elif broadcast not in (None, "right"):
         raise ValueError(f"broadcast must be 'right' or None, not {broadcast!r}")
@@ -69,6 +70,13 @@ def join_tables(
     return _plain(left, right, on, how, null_safe)
 
 
+def _is_small(df: DataFrame) -> bool:
+    """Whether the table may be shipped whole; looks at no more than `BROADCAST_ROWS` rows."""
+    size = F.octet_length(F.to_json(F.struct("*")))
+    measured = df.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes")).first()
+    return measured.n <= BROADCAST_ROWS and (measured.bytes or 0) <= BROADCAST_BYTES
+
+
 def _suffixed(
     left: DataFrame, right: DataFrame, on: Sequence[str], suffixes: Sequence[str]
 ) -> tuple[DataFrame, DataFrame]:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pipekit.functions.types import quoted, text_literal
 
 # Rows one task may be handed for a single key before an operator splits the key.
-MAX_GROUP_ROWS = 5_000_000
+MAX_GROUP_ROWS = 1_000_000
 
 
 def named(name: str) -> Column:

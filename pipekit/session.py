@@ -14,6 +14,11 @@ SETTINGS = {
     # Split hot join keys even where the join feeds an operator on the same keys.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Streaming state on disk, with its changes in the checkpoint, instead of on the heap.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 _local_scratch: dict[str, str] = {}

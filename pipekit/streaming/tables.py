@@ -49,16 +49,23 @@ def _event_time(df: DataFrame, ts_col: str, delay: str) -> DataFrame:
 
 
 def stream_deduplicate(
-    df: DataFrame, keys: Sequence[str], ts_col: str, delay: str, keep: str = "first"
+    df: DataFrame, keys: Sequence[str], ts_col: str, delay: str, keep: str = "first", spread: int = 16
 ) -> DataFrame:
     """The first arrival per key; a repeat is recognised for `delay` after it.
 
-    Only `keep="first"`: a row already sent on cannot be taken back.
+    Only `keep="first"`: a row already sent on cannot be taken back. Copies are first dropped
+    within `spread` parts of each key, so that a very frequent key is not one task's work and
+    the second step sees at most `spread` rows of it; `spread=1` does it in one step.
     """
     if keep != "first":
         raise ValueError("a stream can only keep the first row of a key")
     require(df, keys)
-    return _event_time(df, ts_col, delay).dropDuplicatesWithinWatermark(list(keys))
+    timed = _event_time(df, ts_col, delay)
+    if spread > 1:
+        # Which part a row falls into makes no difference to the result.
+        parts = timed.withColumn("__part", F.pmod(F.spark_partition_id(), F.lit(spread)))
+        timed = parts.dropDuplicatesWithinWatermark([*keys, "__part"]).drop("__part")
+    return timed.dropDuplicatesWithinWatermark(list(keys))
 
 
 def stream_aggregate(

@@ -81,8 +81,10 @@ def test_broadcast_only_when_counted_small(spark, monkeypatch):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         assert "BroadcastHashJoin" in final_plan(join_tables(left, right, ["k"], broadcast="right"))
-        monkeypatch.setattr(joins, "BROADCAST_ROWS", 10)
-        assert "BroadcastHashJoin" not in final_plan(join_tables(left, right, ["k"], broadcast="right"))
+        for limit in ("BROADCAST_ROWS", "BROADCAST_BYTES"):
+            with monkeypatch.context() as patched:
+                patched.setattr(joins, limit, 10)
+                assert "BroadcastHashJoin" not in final_plan(join_tables(left, right, ["k"], broadcast="right"))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 

@@ -38,8 +38,9 @@ def late(spark, tmp_path):
     )
 
 
-def test_dedup_keeps_the_first_arrival(spark, late, tmp_path):
-    unique = stream_deduplicate(late(), ["event_id"], "ts", "1 hour")
+@pytest.mark.parametrize("spread", [1, 16])
+def test_dedup_keeps_the_first_arrival(spark, late, tmp_path, spread):
+    unique = stream_deduplicate(late(), ["event_id"], "ts", "1 hour", spread=spread)
     write_stream(unique, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     out = [r.event_id for r in spark.read.parquet(f"{tmp_path}/out").collect()]
     assert len(out) == len(set(out)) and {1, 2, 3, 4, 6, 7} <= set(out)
@@ -47,6 +48,22 @@ def test_dedup_keeps_the_first_arrival(spark, late, tmp_path):
         stream_deduplicate(late(), ["event_id"], "ts", "1 hour", keep="last")
 
 
+def test_a_hot_key_is_spread_before_it_is_one_task(spark, tmp_path):
+    """The second of the two steps sees one row of each key per part, however many there are."""
+    rows_in = spark.range(0, 20_000, 1, 8).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN -1 ELSE id END AS k", "timestamp_seconds(1700000000 + id % 60) AS ts"
+    )
+    rows_in.write.parquet(f"{tmp_path}/in")
+    stream = read_stream(spark, "parquet", f"{tmp_path}/in", "k bigint, ts timestamp")
+    query = write_stream(stream_deduplicate(stream, ["k"], "ts", "1 hour"), f"{tmp_path}/out", f"{tmp_path}/cp")
+    query.awaitTermination()
+    first = next(p for p in query.recentProgress if p["numInputRows"])
+    kept = spark.read.parquet(f"{tmp_path}/out")
+    assert kept.count() == kept.select("k").distinct().count() == 13_334
+    last, spread = (state["numRowsTotal"] for state in first["stateOperators"])
+    assert last == 13_334 and 13_334 <= spread <= 13_333 + 16
+
+
 def test_windows_close_behind_the_watermark(spark, late, tmp_path):
     """Row 5 comes after its window is closed and is dropped; the last window stays open."""
     hourly = stream_aggregate(late(), "ts", "1 hour", {"n": {"op": "count"}}, delay="1 hour")
