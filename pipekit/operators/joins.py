@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -19,6 +19,9 @@ JOIN_KINDS = {
     "left_anti": "left_anti",
 }
 
+# Rows a key may keep on the right side of a semi or anti join.
+KEY_PARTS = 16
+
 # Largest side that `broadcast="right"` accepts, in rows and in bytes of their JSON text.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -33,6 +36,7 @@ def join_tables(
     null_safe: bool = False,
     broadcast: str | None = None,
     max_group_rows: int | None = MAX_GROUP_ROWS,
+    reshuffle: bool = False,
 ) -> DataFrame:
     """Join on the columns `on`, present in both tables; other shared names get `suffixes`.
 
@@ -44,6 +48,10 @@ def join_tables(
     of a left join, but not on the other side of an outer join. There the key frequencies are
     checked, and beyond `max_group_rows` the join runs as an inner join plus the unmatched
     rows. `max_group_rows=None` skips the check.
+
+    A side that already lies by the join keys (an aggregate on them, a bucketed table) is joined
+    where it lies, which saves a shuffle but leaves hot keys whole. `reshuffle=True` shuffles
+    both sides for this join, so that they can be split.
     """
     if how not in JOIN_KINDS:
         raise ValueError(f"how must be one of {sorted(JOIN_KINDS)}, not {how!r}")
@@ -53,10 +61,9 @@ def join_tables(
     require(right, on)
 
     if how in ("left_semi", "left_anti"):
-        # Distinct keys are counted out before the shuffle, so a hot right key is one row.
-        keys = right.select(*[named(k).alias(f"__right_{k}") for k in on]).distinct()
-        return left.join(keys, _condition(on, null_safe), how)
+        return _matching(left, right, on, how, _null_safe if null_safe else _plain_equal)
 
+    equal = _null_safe if null_safe else _not_null if reshuffle else _plain_equal
     left, right = _suffixed(left, right, on, suffixes)
     if broadcast == "right" and _is_small(right):
         right = F.broadcast(right)
@@ -66,14 +73,25 @@ def join_tables(
     if how != "inner" and max_group_rows is not None and not left.isStreaming and not right.isStreaming:
         fixed_sides = {"left": [right], "right": [left], "outer": [left, right]}[how]
         if any(largest_group(side, on) > max_group_rows for side in fixed_sides):
-            return _split_outer(left, right, on, how, null_safe)
-    return _plain(left, right, on, how, null_safe)
+            return _split_outer(left, right, on, how, equal)
+    return _plain(left, right, on, how, equal)
+
+
+def _matching(left: DataFrame, right: DataFrame, on: Sequence[str], how: str, equal: Equal) -> DataFrame:
+    """Semi or anti join, with a hot right key reduced to a few rows before the shuffle.
+
+    Not to one row: distinct keys would already lie where the join wants them, and adaptive
+    execution splits a hot left key only if both sides are shuffled for the join itself.
+    """
+    part = F.pmod(F.spark_partition_id(), F.lit(KEY_PARTS)).alias("__part")
+    parts = right.select(*[named(k).alias(f"__right_{k}") for k in on], part).distinct()
+    return left.join(parts.drop("__part"), _condition(on, equal), how)
 
 
 def _is_small(df: DataFrame) -> bool:
-    """Whether the table may be shipped whole; looks at no more than `BROADCAST_ROWS` rows."""
+    """Whether the table may be shipped whole, from its number of rows and bytes."""
     size = F.octet_length(F.to_json(F.struct("*")))
-    measured = df.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes")).first()
+    measured = df.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes")).first()
     return measured.n <= BROADCAST_ROWS and (measured.bytes or 0) <= BROADCAST_BYTES
 
 
@@ -90,17 +108,29 @@ def _suffixed(
     return left, right
 
 
-def _condition(on: Sequence[str], null_safe: bool) -> Column:
-    def equal(key: str) -> Column:
-        other = named(f"__right_{key}")
-        return named(key).eqNullSafe(other) if null_safe else named(key) == other
+Equal = Callable[[Column, Column], Column]
+
+
+def _plain_equal(key: Column, other: Column) -> Column:
+    return key == other
+
+
+def _null_safe(key: Column, other: Column) -> Column:
+    return key.eqNullSafe(other)
+
+
+def _not_null(key: Column, other: Column) -> Column:
+    """The same as plain equality, in a form for which Spark always shuffles by itself."""
+    return key.eqNullSafe(other) & key.isNotNull()
+
 
-    return reduce(Column.__and__, [equal(k) for k in on])
+def _condition(on: Sequence[str], equal: Equal) -> Column:
+    return reduce(Column.__and__, [equal(named(k), named(f"__right_{k}")) for k in on])
 
 
-def _plain(left: DataFrame, right: DataFrame, on: Sequence[str], how: str, null_safe: bool) -> DataFrame:
+def _plain(left: DataFrame, right: DataFrame, on: Sequence[str], how: str, equal: Equal) -> DataFrame:
     renamed = right.withColumnsRenamed({k: f"__right_{k}" for k in on})
-    joined = left.join(renamed, _condition(on, null_safe), JOIN_KINDS[how])
+    joined = left.join(renamed, _condition(on, equal), JOIN_KINDS[how])
     sources = {
         "inner": lambda k: named(k),
         "left": lambda k: named(k),
@@ -111,13 +141,13 @@ def _plain(left: DataFrame, right: DataFrame, on: Sequence[str], how: str, null_
     return joined.select(*[sources[how](k) for k in on], *[named(c) for c in others])
 
 
-def _split_outer(left: DataFrame, right: DataFrame, on: Sequence[str], how: str, null_safe: bool) -> DataFrame:
+def _split_outer(left: DataFrame, right: DataFrame, on: Sequence[str], how: str, equal: Equal) -> DataFrame:
     """Outer join as an inner join plus unmatched rows: each part can split a hot key."""
-    result = _plain(left, right, on, "inner", null_safe)
+    result = _plain(left, right, on, "inner", equal)
     if how in ("left", "outer"):
-        unmatched = join_tables(left, right.select(*on), on, "left_anti", null_safe=null_safe)
+        unmatched = _matching(left, right, on, "left_anti", equal)
         result = result.unionByName(unmatched, allowMissingColumns=True)
     if how in ("right", "outer"):
-        unmatched = join_tables(right, left.select(*on), on, "left_anti", null_safe=null_safe)
+        unmatched = _matching(right, left, on, "left_anti", equal)
         result = result.unionByName(unmatched, allowMissingColumns=True)
     return result

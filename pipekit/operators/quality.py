@@ -74,18 +74,20 @@ def _samples(name: str, dtype: T.DataType, k: int) -> str:
     """Aggregate: up to `k` different values as text, sorted.
 
     Each value belongs to one of `k` slots (integers by remainder, text by length and last
-    character, others by hash) and a slot keeps its smallest, so the state is `k` values
-    however many rows there are.
+    character, others by hash). A slot keeps its smallest value, or its shortest text, so that
+    tasks send on `k` small values each, however many and however long the values are.
     """
     value, there = quoted(name), present(name, dtype)
-    if is_nested(dtype) or isinstance(dtype, T.StringType):
+    is_text = is_nested(dtype) or isinstance(dtype, T.StringType)
+    if is_text:
         value = as_text(name, dtype)
         slot = f"pmod(length({value}) + ascii(right({value}, 1)), {k})"
     elif isinstance(dtype, T.IntegralType):
         slot = f"pmod({value}, {k})"
     else:
         slot = f"pmod(xxhash64({value}), {k})"
-    slots = [f"CAST(min({value}) FILTER (WHERE {there} AND {slot} = {i}) AS STRING)" for i in range(k)]
+    best = f"(min(struct(length({value}) AS n, {value} AS v)) {{}}).v" if is_text else f"CAST(min({value}) {{}} AS STRING)"
+    slots = [best.format(f"FILTER (WHERE {there} AND {slot} = {i})") for i in range(k)]
     return f"array_sort(array_compact(array({', '.join(slots)})))"
 
 

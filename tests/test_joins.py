@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 from conftest import final_plan, rows
 from pipekit.operators.joins import join_tables
 from pipekit.operators.keys import largest_group
+from pipekit.operators.ordering import rank_rows
+from pipekit.operators.schema import parse_time
 
 
 @pytest.fixture
@@ -27,10 +29,11 @@ EXPECTED = {
 }
 
 
+@pytest.mark.parametrize("reshuffle", [False, True])
 @pytest.mark.parametrize("limit", [None, 5_000_000, 0])
 @pytest.mark.parametrize("how", sorted(EXPECTED))
-def test_kinds(left_t, right_t, how, limit):
-    result = join_tables(left_t, right_t, ["k"], how, max_group_rows=limit)
+def test_kinds(left_t, right_t, how, limit, reshuffle):
+    result = join_tables(left_t, right_t, ["k"], how, max_group_rows=limit, reshuffle=reshuffle)
     assert result.columns == ["k", "v_x", "v_y"]
     assert sorted(map(str, rows(result))) == sorted(map(str, EXPECTED[how]))
 
@@ -121,6 +124,34 @@ def test_a_hot_key_is_split(skewed):
     assert "skew=true" in final_plan(join_tables(facts, names, ["k"], "left"))
 
 
+@pytest.mark.parametrize("how", ["left_semi", "left_anti"])
+def test_a_hot_key_of_a_semi_join_is_split_or_reduced(skewed, how):
+    facts, names = skewed
+    assert "skew=true" in final_plan(join_tables(facts, names, ["k"], how))
+    text = final_plan(join_tables(names, facts, ["k"], how))
+    assert "skew=true" not in text and "HashAggregate" in text
+    found = join_tables(names, facts, ["k"], how).count()
+    assert found == names.join(facts, "k", how).count()
+
+
+def test_a_hot_key_meets_an_aggregate(skewed):
+    facts, _ = skewed
+    totals = facts.groupBy("k").agg(F.sum("v").alias("total"))
+    kept, moved = (join_tables(facts, totals, ["k"], reshuffle=r) for r in (False, True))
+    assert "skew=true" not in final_plan(kept) and "skew=true" in final_plan(moved)
+    assert rows(kept) == rows(moved)
+
+
+def test_a_hot_key_is_split_where_a_minimum_is_joined_back(skewed):
+    facts, _ = skewed
+    times = facts.withColumn("ts", F.timestamp_seconds("v"))
+    assert "skew=true" in final_plan(parse_time(times, "ts", entity="k"))
+    for method in ("row_number", "rank", "dense_rank"):
+        ranked = rank_rows(facts, [("v", "desc")], ["k"], method, max_group_rows=0)
+        assert "skew=true" in final_plan(ranked)
+        assert ranked.filter("k = 7").agg(F.max("rank")).first()[0] == 10_001
+
+
 def test_a_hot_key_on_the_fixed_side_of_an_outer_join_is_split(skewed):
     facts, names = skewed
     whole = join_tables(names, facts, ["k"], "left", max_group_rows=None)
