@@ -39,7 +39,8 @@ INTEGER_TEXT = r"^\s*[+-]?[0-9]+\s*$"
 NUMBER_TEXT = r"(?i)^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity|nan)\s*$"
 BOOLEAN_TEXT = ("true", "false")
 
-NUMERIC_TARGET = re.compile(r"tinyint|smallint|int|bigint|float|double|decimal.*")
+INTEGRAL_TARGETS = ("tinyint", "smallint", "int", "bigint")
+FRACTION_TARGET = re.compile(r"float|double|decimal.*")
 
 
 def spark_type(name: str) -> str:
@@ -48,19 +49,22 @@ def spark_type(name: str) -> str:
     return TYPE_ALIASES.get(lowered, lowered)
 
 
-def plain_number(column: Column, locale: str) -> Column:
-    """Rewrite a number written in `locale` to `1234.5` form; null if its grouping is wrong."""
+def plain_number(column: Column, locale: str, integral: bool = False) -> Column:
+    """Rewrite a number written in `locale` to `1234.5` form; null if it is not one.
+
+    What cannot be an integer is sorted out here as well, because a failing cast costs far more
+    than a failing match.
+    """
     language = locale.split("_")[0].lower()
     if language not in SEPARATORS:
         raise ValueError(f"unknown locale {locale!r}; known languages: {sorted(SEPARATORS)}")
     thousands, decimal = SEPARATORS[language]
     group, point = f"[{re.escape(thousands)}]", re.escape(decimal)
     text = F.trim(column)
-    exponent = r"([eE][+-]?[0-9]+)?"
-    shape = (
-        rf"^[+-]?([0-9]{{1,3}}({group}[0-9]{{3}})+|[0-9]+)?({point}[0-9]*)?{exponent}$"
-        r"|(?i)^[+-]?(inf|infinity|nan)$"
-    )
+    whole = rf"[0-9]{{1,3}}({group}[0-9]{{3}})+|[0-9]+"
+    shape = rf"^[+-]?({whole})$"
+    if not integral:
+        shape = rf"^[+-]?({whole})?({point}[0-9]*)?([eE][+-]?[0-9]+)?$|(?i)^[+-]?(inf|infinity|nan)$"
     bare = F.translate(text, thousands + decimal, "".ljust(len(thousands)) + ".")
     return F.when(text.rlike(shape), F.replace(bare, F.lit(" "), F.lit("")))
 
@@ -68,8 +72,9 @@ def plain_number(column: Column, locale: str) -> Column:
 def converted(column: Column, source: T.DataType, target: str, locale: str, strict: bool) -> Column:
     """`column` as `target`; values that do not fit become null, or an error when `strict`."""
     wanted = spark_type(target)
-    if isinstance(source, T.StringType) and NUMERIC_TARGET.fullmatch(wanted):
-        readable = plain_number(column, locale)
+    integral = wanted in INTEGRAL_TARGETS
+    if isinstance(source, T.StringType) and (integral or FRACTION_TARGET.fullmatch(wanted)):
+        readable = plain_number(column, locale, integral)
         if strict:
             # An unreadable number must reach the cast, so that the cast can fail on it.
             readable = F.coalesce(readable, column)

@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pipekit.functions.text import TEXT_OPS, strip, title_case
-from pipekit.operators.keys import hashable, named, require
+from pipekit.operators.keys import group_keys, hashable, named, require
 
 # Columns the default job title-cases, and its text for missing values.
 STANDARD_COLUMNS = ("email", "city", "department")
@@ -60,7 +60,7 @@ def drop_duplicates(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 
 def duplicate_counts(df: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """One row `(input_rows, kept, removed)` for removing duplicates on `keys` (default: all)."""
-    groups = df.groupBy(*[named(k) for k in keys or df.columns]).agg(F.count(F.lit(1)).alias("n"))
+    groups = df.groupBy(*group_keys(df, keys or df.columns)).agg(F.count(F.lit(1)).alias("n"))
     total, kept = F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))
     return groups.agg(total.alias("input_rows"), kept.alias("kept"), (total - kept).alias("removed"))
 

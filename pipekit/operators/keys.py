@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from pipekit.functions.types import quoted, text_literal
+from pipekit.functions.types import as_text, quoted, text_literal
 
 # Rows one task may be handed for a single key before an operator splits the key.
 MAX_GROUP_ROWS = 1_000_000
@@ -50,6 +50,12 @@ def hashable(dtype: T.DataType) -> bool:
     return not isinstance(dtype, (T.MapType, T.VariantType))
 
 
+def group_keys(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """The columns in a form that can be grouped by: maps as JSON text."""
+    fields = [df.schema[c] for c in columns]
+    return [named(f.name) if hashable(f.dataType) else F.expr(as_text(f.name, f.dataType)).alias(f.name) for f in fields]
+
+
 def row_hash(df: DataFrame) -> Column:
     """A hash of the whole row, for a repeatable order among rows with equal keys."""
     names = [f.name for f in df.schema if hashable(f.dataType)]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pipekit.functions.types import as_text, guessed_type, is_nested, present, quoted, text_literal
 from pipekit.operators.clean import duplicate_counts
-from pipekit.operators.keys import column_rows, hashable, named
+from pipekit.operators.keys import column_rows, group_keys, hashable
 
 STATS = (
     "dtype",
@@ -101,11 +101,7 @@ def profile_dataset(df: DataFrame, sample: int | None = None) -> DataFrame:
     """
     source = df if sample is None else df.limit(sample)
     width = len(df.columns)
-    keys = [
-        named(f.name) if hashable(f.dataType) else F.expr(as_text(f.name, f.dataType)).alias(f.name)
-        for f in df.schema
-    ]
-    distinct = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("__copies"))
+    distinct = source.groupBy(*group_keys(source, source.columns)).agg(F.count(F.lit(1)).alias("__copies"))
     rows = F.coalesce(F.sum("__copies"), F.lit(0))
     nulls = [
         F.expr(f"coalesce(sum(__copies) FILTER (WHERE NOT {present(f.name, f.dataType)}), 0)") for f in df.schema

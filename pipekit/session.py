@@ -21,6 +21,8 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
+MEGABYTE = 1024 * 1024
+
 _local_scratch: dict[str, str] = {}
 
 
@@ -34,6 +36,22 @@ def session(name: str = "pipekit", master: str | None = None, **conf: str) -> Sp
     return builder.getOrCreate()
 
 
+def sized(input_bytes: int) -> dict[str, str]:
+    """Settings for jobs that read and shuffle about `input_bytes`.
+
+    Scans aim at no more than some 100,000 tasks. Shuffles start with about one partition per
+    gigabyte, 20,000 at most; adaptive execution then joins the small ones.
+    """
+    scan = min(max(128 * MEGABYTE, input_bytes // 100_000), 1024 * MEGABYTE)
+    shuffle = min(max(200, input_bytes // (1024 * MEGABYTE)), 20_000)
+    return {
+        "spark.sql.files.maxPartitionBytes": str(scan),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(shuffle),
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * MEGABYTE),
+    }
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the library's settings to a session somebody else made."""
     for key, value in SETTINGS.items():

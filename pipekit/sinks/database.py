@@ -16,7 +16,7 @@ def write_table(
     df: DataFrame,
     engine: str,
     table: str,
-    url: str,
+    url: str | None = None,
     mode: str = "append",
     batch_size: int = 50_000,
     connections: int = 16,
@@ -32,7 +32,7 @@ def write_table(
     if mode not in WRITE_MODES:
         raise ValueError(f"mode must be one of {list(WRITE_MODES)}, not {mode!r}")
     settings = {
-        **jdbc_options(engine, url, options),
+        **jdbc_options(df.sparkSession, engine, url, options),
         "dbtable": table,
         "batchsize": str(batch_size),
         "numPartitions": str(connections),

@@ -29,8 +29,16 @@ SQL_METRICS = {
 PARAMETER = re.compile(r"'(?:[^']|'')*'|(?<!:):([A-Za-z_]\w*)")
 
 
-def jdbc_options(engine: str, url: str, options: Mapping[str, str] | None = None) -> dict[str, str]:
-    """Options common to JDBC reads and writes."""
+def jdbc_options(
+    spark: SparkSession, engine: str, url: str | None = None, options: Mapping[str, str] | None = None
+) -> dict[str, str]:
+    """Options common to JDBC reads and writes.
+
+    Without `url` the session must name one for the engine, in `spark.pipekit.<engine>.url`.
+    """
+    url = url or spark.conf.get(f"spark.pipekit.{engine}.url", None)
+    if not url:
+        raise ValueError(f"engine {engine!r} needs a JDBC url, given or in spark.pipekit.{engine}.url")
     driver = {"driver": DRIVERS[engine]} if engine in DRIVERS else {}
     return {"url": url, **driver, **(options or {})}
 
@@ -83,10 +91,8 @@ def read_query(
     """
     if engine == "spark":
         return spark.sql(sql, args=dict(params or {}))
-    if not url:
-        raise ValueError(f"engine {engine!r} needs a JDBC url")
     bound = bind(sql, params or {})
-    return spark.read.format("jdbc").options(**jdbc_options(engine, url, options), query=bound).load()
+    return spark.read.format("jdbc").options(**jdbc_options(spark, engine, url, options), query=bound).load()
 
 
 def read_table(
@@ -105,9 +111,7 @@ def read_table(
     """
     if engine == "spark":
         return spark.table(table)
-    if not url:
-        raise ValueError(f"engine {engine!r} needs a JDBC url")
-    settings = {**jdbc_options(engine, url, options), "dbtable": table}
+    settings = {**jdbc_options(spark, engine, url, options), "dbtable": table}
     if column:
         if bounds is None:
             raise ValueError("a partition column needs bounds")

@@ -149,6 +149,13 @@ def test_graph_errors(spark, people):
     assert len(NODES) == 21
 
 
+def test_sizes():
+    small, large = sessions.sized(10**9), sessions.sized(10**14)
+    scan, shuffle = "spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    assert (int(small[scan]), int(small[shuffle])) == (128 * 2**20, 200)
+    assert (int(large[scan]), int(large[shuffle])) == (10**9, 20_000)
+
+
 def test_scratch_folder(spark, monkeypatch):
     class Other:
         class conf:

@@ -1,4 +1,5 @@
 import datetime as dt
+import decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,6 +53,12 @@ def test_infer_schema(spark):
 CASTS = [
     ("Int64", "12", 12),
     ("Int64", "1.5", None),
+    ("Int64", "-1,234,567", -1234567),
+    ("Int64", " 42 ", 42),
+    ("Int64", "1e3", None),
+    ("Int64", "9" * 25, None),
+    ("Decimal(9,2)", "1,234.567", decimal.Decimal("1234.57")),
+    ("Float64", "-inf", float("-inf")),
     ("Int8", "300", None),
     ("Float64", "1,234.50", 1234.5),
     ("Float64", "12,34", None),

@@ -112,6 +112,8 @@ def test_stage_cuts_the_lineage(orders):
 class Writer:
     """Stands in for a table, and keeps what a JDBC write would be given."""
 
+    sparkSession = None
+
     def __init__(self):
         self.write, self.seen = self, {}
 

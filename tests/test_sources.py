@@ -160,6 +160,9 @@ def test_bulk_import_partitions_are_pruned(spark, tmp_path):
 class Recorder:
     """Stands in for a session, and keeps what a JDBC read would be given."""
 
+    class conf:
+        get = staticmethod({"spark.pipekit.mine.url": "jdbc:mine://h"}.get)
+
     def __init__(self):
         self.read, self.seen = self, {}
 
@@ -200,6 +203,7 @@ def test_jdbc_options():
     )
     assert table["dbtable"] == "db.t" and table["driver"].startswith("com.clickhouse")
     assert [table[k] for k in ("partitionColumn", "lowerBound", "upperBound", "numPartitions")] == ["id", "0", "100", "8"]
+    assert database.read_query(Recorder(), "mine", "SELECT 1")["url"] == "jdbc:mine://h"
     for call in (
         lambda: database.read_query(Recorder(), "postgres", "SELECT 1"),
         lambda: database.read_table(Recorder(), "postgres", "t"),
