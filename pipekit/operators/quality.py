@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from pipekit.functions.types import as_text, guessed_type, is_nested, present, quoted, text_literal
+from pipekit.functions.types import as_text, guessed_type, present, quoted, text_literal
 from pipekit.operators.clean import duplicate_counts
 from pipekit.operators.keys import column_rows, group_keys, hashable
 
@@ -22,6 +22,9 @@ STATS = (
     "sample_values",
 )
 
+# Where sample values come from: so many rows of each of so many tasks.
+HEAD_TASKS, HEAD_ROWS = 8, 50
+
 # Default limits for `quality_issues`.
 DEFAULT_LIMITS = {"null_percentage": 20.0, "duplicate_percentage": 0.0, "max_length": 10_000.0}
 
@@ -37,7 +40,8 @@ def profile_columns(
 
     Empty text counts as null, and nested values are profiled as JSON text. Lengths are for
     text only. `unique_count` is approximate unless `exact_distinct`, which shuffles the values
-    of every column. `sample` profiles any so many rows instead of all.
+    of every column. `sample` profiles any so many rows instead of all. `sample_values` are up
+    to so many different values from the head of the table, sorted.
     """
     unknown = [s for s in stats if s not in STATS]
     if unknown:
@@ -47,9 +51,17 @@ def profile_columns(
     for field in df.schema:
         known = _stats(field, exact_distinct, sample_values)
         facts.append({name: known[name] for name in stats})
+    if "sample_values" in stats:
+        source = source.withColumn("__head", _is_head())
     return column_rows(source, df.schema.fields, facts)
 
 
+def _is_head() -> Column:
+    """True for the first rows of the first tasks: a fixed number, wherever the table is read."""
+    number = F.monotonically_increasing_id()
+    return (F.shiftright(number, 33) < HEAD_TASKS) & (number.bitwiseAND(F.lit((1 << 33) - 1)) < HEAD_ROWS)
+
+
 def _stats(field: T.StructField, exact_distinct: bool, sample_values: int) -> dict[str, str]:
     name, dtype = field.name, field.dataType
     there, text = present(name, dtype), as_text(name, dtype)
@@ -66,31 +78,10 @@ def _stats(field: T.StructField, exact_distinct: bool, sample_values: int) -> di
         "unique_count": distinct.format(f"CASE WHEN {there} THEN {value} END"),
         "max_length": f"max{lengths}",
         "avg_length": f"avg{lengths}",
-        "sample_values": _samples(name, dtype, sample_values),
+        "sample_values": f"slice(array_sort(collect_set({text}) FILTER (WHERE __head AND {there})), 1, {sample_values})",
     }
 
 
-def _samples(name: str, dtype: T.DataType, k: int) -> str:
-    """Aggregate: up to `k` different values as text, sorted.
-
-    Each value belongs to one of `k` slots (integers by remainder, text by length and last
-    character, others by hash). A slot keeps its smallest value, or its shortest text, so that
-    tasks send on `k` small values each, however many and however long the values are.
-    """
-    value, there = quoted(name), present(name, dtype)
-    is_text = is_nested(dtype) or isinstance(dtype, T.StringType)
-    if is_text:
-        value = as_text(name, dtype)
-        slot = f"pmod(length({value}) + ascii(right({value}, 1)), {k})"
-    elif isinstance(dtype, T.IntegralType):
-        slot = f"pmod({value}, {k})"
-    else:
-        slot = f"pmod(xxhash64({value}), {k})"
-    best = f"(min(struct(length({value}) AS n, {value} AS v)) {{}}).v" if is_text else f"CAST(min({value}) {{}} AS STRING)"
-    slots = [best.format(f"FILTER (WHERE {there} AND {slot} = {i})") for i in range(k)]
-    return f"array_sort(array_compact(array({', '.join(slots)})))"
-
-
 def profile_dataset(df: DataFrame, sample: int | None = None) -> DataFrame:
     """One row: `row_count, column_count, total_nulls, duplicate_rows, completeness_score,
     quality_score, null_counts`.

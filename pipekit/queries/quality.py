@@ -89,23 +89,24 @@ def profile_approx(table: Tables) -> DataFrame:
     return pairs.select("column", "row_count", "null_count", close.alias("unique_close"), samples.alias("has_samples"))
 
 
-def _sample_sql(ordinal: int, name: str, text: bool) -> str:
-    slot = f"(length({name}) + ascii(right({name}, 1))) % 5" if text else f"{name} % 5"
-    order = f"(length({name}), {name})" if text else name
-    slots = [f"CAST(arg_min({name}, {order}) FILTER ({slot} = {i}) AS VARCHAR)" for i in range(5)]
-    return f"""
-    SELECT '{name}' AS "column", {ordinal} AS ordinal,
-           array_to_string(list_sort(list_filter([{', '.join(slots)}], lambda x: x IS NOT NULL)), '|') AS samples
-    FROM documents"""
-
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 
-DOCUMENT = {"doc_id": False, "text": True, "lang": True, "source": True, "n_chars": False}
 
-
-@query("profile_samples", " UNION ALL ".join(_sample_sql(i, c, text) for i, (c, text) in enumerate(DOCUMENT.items())))
+@query(
+    "profile_samples",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", TRUE AS few, count(DISTINCT {c}) > 0 AS known FROM documents""" for c in DOCUMENT
+    ),
+)
 def profile_samples(table: Tables) -> DataFrame:
-    profile = quality.profile_columns(table("documents").select(*DOCUMENT), stats=["sample_values"])
-    return profile.select("column", "ordinal", F.array_join("sample_values", "|").alias("samples"))
+    """Each column has one to five sample values, and all of them are values of that column."""
+    documents = table("documents").select(*[F.col(c).cast("string") for c in DOCUMENT])
+    samples = quality.profile_columns(table("documents"), stats=["sample_values"])
+    values = documents.unpivot([], list(DOCUMENT), "column", "value").distinct()
+    each = samples.select("column", F.explode("sample_values").alias("value"))
+    found = each.join(values.withColumn("known", F.lit(True)), ["column", "value"], "left")
+    known = F.bool_and(F.coalesce("known", F.lit(False)))
+    return found.groupBy("column").agg(F.count(F.lit(1)).between(1, 5).alias("few"), known.alias("known"))
 
 
 @query(
