@@ -298,7 +298,8 @@ def cast_locale(table: Tables) -> DataFrame:
     """Prices written in two ways and read back; the German way is not English."""
     english = F.format_number("l_extendedprice", 2)
     german = F.translate(english, ",.", ".,")
-    lines = table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", german.alias("german"), english.alias("english"))
+    keys = ("l_orderkey", "l_partkey", "l_suppkey")
+    lines = table("lineitem").select(*keys, german.alias("german"), english.alias("english"))
     lines = lines.withColumn("wrong", F.concat(F.lit("1,2,"), "english"))
     lines = schema.cast_types(lines, {"german": "Float64"}, locale="de_DE")
     return schema.cast_types(lines, {"english": "Float64", "wrong": "Float64"})

@@ -89,7 +89,7 @@ def sink_roundtrip_partitioned(table: Tables) -> DataFrame:
     """The filter on the folder column prunes the folders."""
     orders = table("orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
     path = _path(orders, "lake")
-    write_datalake(orders, path, partition_by=["o_orderstatus"], storage="local")
+    write_datalake(orders, path, partition_by=["o_orderstatus"])
     return read_files(orders.sparkSession, path).filter("o_orderstatus = 'F'")
 
 
@@ -104,9 +104,9 @@ def sink_overwrite_partitions(table: Tables) -> DataFrame:
     """Overwriting with the rows of one partition leaves the other partitions alone."""
     orders = table("orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
     path = _path(orders, "lake")
-    write_datalake(orders, path, partition_by=["o_orderstatus"], storage="local")
+    write_datalake(orders, path, partition_by=["o_orderstatus"])
     zeros = orders.filter("o_orderstatus = 'P'").withColumn("o_totalprice", F.lit(0.0))
-    write_datalake(zeros, path, partition_by=["o_orderstatus"], storage="local", mode="overwrite")
+    write_datalake(zeros, path, partition_by=["o_orderstatus"], mode="overwrite")
     return read_files(orders.sparkSession, path)
 
 
@@ -118,9 +118,9 @@ def sink_check(table: Tables) -> DataFrame:
     """Two loads of the same rows: what the second one wrote, and what the target then holds."""
     orders = _orders(table)
     spark, path = orders.sparkSession, _path(orders, "target")
-    write_datalake(orders, path, partition_by=["o_orderstatus"], storage="local")
+    write_datalake(orders, path, partition_by=["o_orderstatus"])
     counts = write_checked(
-        lambda seen: write_datalake(orders, path, partition_by=["o_orderstatus"], storage="local", seen=seen),
+        lambda seen: write_datalake(orders, path, partition_by=["o_orderstatus"], seen=seen),
         lambda: read_files(spark, path),
     )
     return spark.createDataFrame([counts], "rows_written bigint, target_rows bigint")
@@ -133,8 +133,8 @@ def sink_check(table: Tables) -> DataFrame:
 def bulk_import_folders(table: Tables) -> DataFrame:
     events = table("events")
     path = _path(events, "bulk")
-    write_datalake(events, path, partition_by=["event_type"], storage="local")
-    back = bulk_import(events.sparkSession, path, storage="local", partition_by=["event_type"])
+    write_datalake(events, path, partition_by=["event_type"])
+    back = bulk_import(events.sparkSession, path, storage=None, partition_by=["event_type"])
     metrics = {"n": {"op": "count"}, "total": {"op": "sum", "col": "value"}}
     return aggregate(back, ["event_type"], metrics).withColumn("total", F.round("total", 2))
 
@@ -152,7 +152,7 @@ def bulk_import_glob(table: Tables) -> DataFrame:
     write = events.withColumn("folder", F.col("part")).write.partitionBy("folder")
     write.json(f"{path}/in")
     write.mode("append").csv(f"{path}/in")
-    back = bulk_import(spark, path, "in", "**/*.json", storage="local", source_file=True)
+    back = bulk_import(spark, path, "in", "**/*.json", storage=None, source_file=True)
     kind = F.regexp_extract("source_file", r"\.([a-z]+)$", 1).alias("kind")
     return back.groupBy("part", kind).agg(F.count(F.lit(1)).alias("n"))
 
@@ -261,7 +261,7 @@ def audit_log(table: Tables) -> DataFrame:
     orders = table("orders").select("o_orderkey", "o_orderstatus")
     spark = orders.sparkSession
     seen = Observation()
-    write_datalake(orders, _path(orders, "target"), storage="local", seen=seen)
+    write_datalake(orders, _path(orders, "target"), seen=seen)
     path = fresh_path(spark, "audit")
     log_event(spark, path, "load", "nightly", "run-1", seen.get, {"target": "orders"})
     events = read_events(spark, path)

@@ -21,7 +21,7 @@ def write_datalake(
     path: str,
     fmt: str = "parquet",
     partition_by: Sequence[str] = (),
-    storage: str = "hdfs",
+    storage: str | None = None,
     mode: str = "append",
     seen: Observation | None = None,
 ) -> None:
@@ -55,7 +55,7 @@ def export_files(
     path: str,
     fmt: str = "csv",
     options: Mapping[str, str] | None = None,
-    storage: str = "local",
+    storage: str | None = None,
     mode: str = "error",
     seen: Observation | None = None,
 ) -> None:

@@ -27,12 +27,16 @@ COMPRESSIONS = (".gz", ".bz2", ".zst", ".snappy", ".lz4", ".deflate")
 CORRUPT = "_corrupt_record"
 
 
-def storage_uri(path: str, storage: str = "local") -> str:
-    """`path` with the URI scheme of `storage`; a path that has a scheme keeps it."""
+def storage_uri(path: str, storage: str | None = None) -> str:
+    """`path` with the URI scheme of `storage`.
+
+    A path that has a scheme keeps it; without `storage` the session's default file system is
+    meant, which on a cluster is the shared one.
+    """
+    if storage is None or "://" in path or path.startswith("file:"):
+        return path
     if storage not in STORAGE_SCHEMES:
         raise ValueError(f"storage must be one of {sorted(STORAGE_SCHEMES)}, not {storage!r}")
-    if "://" in path or path.startswith("file:"):
-        return path
     scheme = STORAGE_SCHEMES[storage]
     if storage in ("local", "hdfs"):
         if not path.startswith("/"):
@@ -69,7 +73,7 @@ def _suffix(uri: str) -> str:
 def read_files(
     spark: SparkSession,
     path: str,
-    storage: str = "local",
+    storage: str | None = None,
     fmt: str = "auto",
     infer: bool = True,
     sample_rows: int | None = None,
@@ -172,7 +176,7 @@ def bulk_import(
     bucket: str,
     prefix: str = "",
     glob: str = "**/*",
-    storage: str = "s3",
+    storage: str | None = "s3",
     partition_by: Sequence[str] = (),
     fmt: str = "auto",
     source_file: bool = False,

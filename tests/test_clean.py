@@ -28,7 +28,11 @@ def versions(spark):
 
 
 @pytest.mark.parametrize(
-    "keep, expected", [("last", [(None, "x"), ("a", "tie2"), ("b", "only")]), ("first", [(None, "y"), ("a", "old"), ("b", "only")])]
+    "keep, expected",
+    [
+        ("last", [(None, "x"), ("a", "tie2"), ("b", "only")]),
+        ("first", [(None, "y"), ("a", "old"), ("b", "only")]),
+    ],
 )
 def test_deduplicate_by_time(versions, keep, expected):
     result = clean.deduplicate(versions, ["k"], "ts", keep)
@@ -78,6 +82,12 @@ def test_drop_duplicates_and_counts(people):
     assert tuple(clean.duplicate_counts(people.limit(0)).first()) == (0, 0, 0)
 
 
+def test_duplicate_counts_of_maps(spark):
+    df = spark.sql("SELECT map('a', id % 3) AS m, array(id % 3) AS a FROM range(10)")
+    assert tuple(clean.duplicate_counts(df).first()) == (10, 3, 7)
+    assert tuple(clean.duplicate_counts(df, ["m"]).first()) == (10, 3, 7)
+
+
 def test_nulls_drop(people):
     assert rows(clean.handle_nulls(people), "id") == [(1,), (1,)]
     assert clean.handle_nulls(people, {"mode": "drop", "columns": ["email"]}).count() == 5
@@ -108,7 +118,8 @@ def test_fill_by_type(people):
 
 def test_fill_by_type_leaves_complete_integers_alone(spark):
     big = 2**60 + 1
-    df = spark.createDataFrame([(big, 1, True, None), (big + 1, None, None, day(1))], "a bigint, b int, c boolean, d timestamp_ntz")
+    data = [(big, 1, True, None), (big + 1, None, None, day(1))]
+    df = spark.createDataFrame(data, "a bigint, b int, c boolean, d timestamp_ntz")
     filled = clean.fill_by_type(df)
     assert filled.schema["a"].dataType.simpleString() == "bigint"
     assert filled.schema["b"].dataType.simpleString() == "double"

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import final_plan, plan, rows
+from conftest import final_plan, plan
 from pipekit.operators.quality import profile_columns, profile_dataset, quality_issues
 
 

@@ -120,7 +120,8 @@ def test_guards(spark, folder):
 
 
 def test_storage_uris():
-    assert storage_uri("/a/b") == "file:///a/b"
+    assert storage_uri("/a/b", "local") == "file:///a/b"
+    assert storage_uri("a/b") == "a/b" and storage_uri("hdfs:///a", None) == "hdfs:///a"
     assert storage_uri("bucket/a", "s3") == "s3a://bucket/a"
     assert storage_uri("bucket/a", "gcs") == "gs://bucket/a"
     assert storage_uri("/a", "hdfs") == "hdfs:///a"
