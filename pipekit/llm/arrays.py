@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
+from types import ModuleType
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +66,17 @@ def covered(starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
     return np.cumsum(steps[:size]) > 0
 
 
+def resident(name: str, make: Callable[[], Any]) -> Any:
+    """What `make` returns, kept for later tasks of the same Python worker.
+
+    Only for tables derived from `name` alone, of bounded size.
+    """
+    store = sys.modules.setdefault("pipekit_resident", ModuleType("pipekit_resident")).__dict__
+    if name not in store:
+        store[name] = make()
+    return store[name]
+
+
 def chosen(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns under the operator's names; other columns cannot clash with its own."""
     return df.select(*[F.col("`" + source.replace("`", "``") + "`").alias(name) for name, source in columns.items()])

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pipekit.llm import quality_rules, simhash
+from pipekit.llm import bpe, decontaminate, quality_rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,6 +36,60 @@ def query(name: str, sql: str | None = None) -> Callable:
     return register
 
 
+def sha256(column):
+    return F.sha2(column, 256)
+
+
+@query("op1_byte_bpe")
+def byte_bpe(table):
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    done = bpe.round_trip(table("documents"), ranks, public_tokenizers.PATTERN)
+    return done.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        sha256(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"),
+        sha256("decoded").alias("decoded_sha256"),
+    )
+
+
+DECONTAMINATION_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, WORDS AS ws FROM documents),
+items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, WORDS AS ws FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, n, array_to_string(ws[i:i + n - 1], ' ') AS w
+  FROM (SELECT item, ws, least(len(ws), 10) AS n, unnest(range(1, greatest(len(ws) - 8, 2))) AS i FROM items WHERE len(ws) > 0)
+),
+places AS (
+  SELECT r, i, n, array_to_string(ws[i:i + n - 1], ' ') AS w
+  FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM docs), (SELECT DISTINCT n FROM windows)
+  WHERE i + n - 1 <= len(ws)
+),
+hits AS (SELECT r, i, n, item FROM places JOIN windows USING (n, w)),
+words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) GROUP BY r),
+found AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN words USING (r) LEFT JOIN found USING (r)
+""".replace(
+    "WORDS",
+    r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+    r" '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')",
+)
+
+
+@query("op2_decontamination", DECONTAMINATION_SQL)
+def decontamination(table):
+    found = decontaminate.contamination(table("documents"), table("benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        sha256(F.array_join(F.array_sort("items"), ",")).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 @query("op9_quality_rules")
 def quality(table):
     return quality_rules.quality_rules(table("documents"))
