@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from types import ModuleType
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 # Text bytes that a task works on at once; a single longer text is a batch of its own.
 BATCH_BYTES = 4 * 1024 * 1024
@@ -38,7 +38,7 @@ def texts(column: pa.Array) -> list[bytes]:
     return [whole[a:b] for a, b in zip(ends, ends[1:])]
 
 
-def sized_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+def sized_batches(batches: Iterable[pa.RecordBatch], text: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `limit` text bytes at most, one row at least."""
     for batch in batches:
         if batch.num_rows == 0:
@@ -80,3 +80,8 @@ def resident(name: str, make: Callable[[], Any]) -> Any:
 def chosen(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns under the operator's names; other columns cannot clash with its own."""
     return df.select(*[F.col("`" + source.replace("`", "``") + "`").alias(name) for name, source in columns.items()])
+
+
+def extended(df: DataFrame, columns: list[str], ddl: str) -> T.StructType:
+    """The schema of some columns of `df` and further ones; names may hold any characters."""
+    return T.StructType([*[df.schema[c] for c in columns], *T.StructType.fromDDL(ddl).fields])

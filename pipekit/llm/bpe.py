@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from pipekit.llm.arrays import chosen, resident, sized_batches
+from pipekit.llm.arrays import chosen, extended, resident, sized_batches
 
 MAX_STATES, MAX_PIECES = 100_000, 300_000
 NO_TOKEN, GUESSES, END = -1, -1, -2
@@ -311,7 +311,7 @@ def _mapped(df: DataFrame, path: str, pattern: str, key: str, text: str, decoded
             yield pa.RecordBatch.from_pydict(columns)
 
     rows = chosen(df, key=key, text=text)
-    schema = f"key {rows.schema['key'].dataType.simpleString()}, ids array<int>" + ", decoded binary" * decoded
+    schema = extended(rows, ["key"], "ids array<int>" + ", decoded binary" * decoded)
     return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
@@ -326,7 +326,7 @@ def decode(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> D
 
     rows = chosen(df, key=key, ids=ids)
     rows = rows.withColumn("ids", rows["ids"].cast("array<int>"))
-    schema = f"key {rows.schema['key'].dataType.simpleString()}, decoded binary, text string"
+    schema = extended(rows, ["key"], "decoded binary, text string")
     return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pipekit.llm.arrays import chosen, covered, flat, per_text, sized_batches
+from pipekit.llm.arrays import chosen, covered, extended, flat, per_text, sized_batches
 from pipekit.session import saved
 
 WINDOW = 10
@@ -219,7 +219,7 @@ def contamination(
 
 
 def _contamination(rows: DataFrame, benchmark: DataFrame, item: str, item_text: str, window: int) -> DataFrame:
-    kind = rows.schema["key"].dataType.simpleString()
+    schema = extended(rows, ["key"], f"text string, {FOUND}")
     blocks, n = _blocks(benchmark, item, item_text)
     for block in range(n):
         own = blocks.where(F.col("block") == block).select("item", "text").toArrow().to_pydict()
@@ -236,7 +236,7 @@ def _contamination(rows: DataFrame, benchmark: DataFrame, item: str, item_text:
                 columns += [pa.array(found["spans"], SPANS), pa.array(found["items"], pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "text", "n_words", "n_hit", "spans", "items"])
 
-        rows = rows.mapInArrow(run, f"key {kind}, text string, {FOUND}")
+        rows = rows.mapInArrow(run, schema)
         if block < n - 1:
             rows = saved(rows, "marked")
     return rows

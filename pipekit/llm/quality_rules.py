@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pipekit.llm.arrays import chosen, covered, flat, per_text, sized_batches
+from pipekit.llm.arrays import chosen, covered, extended, flat, per_text, sized_batches
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -150,7 +150,7 @@ def quality_rules(
             yield pa.RecordBatch.from_arrays([batch.column("key"), *map(pa.array, found.values())], ["key", *found])
 
     rows = chosen(df, key=key, text=text)
-    done = rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, {RESULT}")
+    done = rows.mapInArrow(run, extended(rows, ["key"], RESULT))
     return done.withColumnRenamed("key", key)
 
 

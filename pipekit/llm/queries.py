@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pipekit.llm import bpe, decontaminate, quality_rules, simhash
+from pipekit.llm import bpe, decontaminate, quality_rules, simhash, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,6 +90,17 @@ def decontamination(table):
     )
 
 
+@query("op3_suffix_dedup")
+def suffixes(table):
+    return suffix_dedup.repeats(table("documents").select("doc_id", "text")).select(
+        "row.doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        sha256("kept").alias("kept_sha256"),
+    )
+
+
 @query("op9_quality_rules")
 def quality(table):
     return quality_rules.quality_rules(table("documents"))

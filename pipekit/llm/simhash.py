@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pipekit.llm.arrays import chosen, sized_batches, texts
+from pipekit.llm.arrays import chosen, extended, sized_batches, texts
 from pipekit.session import saved
 
 SHINGLE, SEED, BITS = 3, 42, 2
@@ -63,7 +63,7 @@ def fingerprinted(df: DataFrame, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["key", "print", "content"])
 
     rows = chosen(df, key=key, text=text).withColumn("content", F.xxhash64("text"))
-    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, print long, content long")
+    return rows.mapInArrow(run, extended(rows, ["key"], "print long, content long"))
 
 
 def _without(slot: int) -> int:
