@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pipekit.llm import bpe, decontaminate, quality_rules, simhash, suffix_dedup
+from pipekit.llm import bpe, decontaminate, licenses, quality_rules, simhash, suffix_dedup, token_counts, warc
+from pipekit.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,6 +102,60 @@ def suffixes(table):
     )
 
 
+@query("op4_license_scan")
+def license_scan(table):
+    scanned = licenses.license_scan(table("documents"))
+    starts = F.transform("base", lambda b: b["start"].cast("long"))
+    labels = F.array_sort(F.array_distinct(F.transform("base", lambda b: b["label"])))
+    found = F.transform("found", lambda d: d["label"])
+    return scanned.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        F.array_join(labels, ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(labels, found)), ",").alias("labels"),
+        F.coalesce(F.array_max(F.transform("found", lambda d: d["weight"])), F.lit(0.0)).alias("score"),
+        F.size("found").cast("long").alias("n_detections"),
+    )
+
+
+@query(
+    "op7_warc",
+    """
+    WITH rows AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+    marked AS (
+      SELECT page_id, payload, strlen(payload) AS payload_bytes, max(page_id) OVER (PARTITION BY payload) AS last FROM rows
+    )
+    SELECT page_id, payload_bytes, sha1(payload) AS payload_digest,
+      CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to
+    FROM marked
+    """,
+)
+def archives(table):
+    pages = table("pages")
+    written = warc.write_archives(pages, fresh_path(pages.sparkSession, "warc"), "page_id", "html", "url")
+    return warc.read_archives(written, payloads=False).select(
+        F.col("key").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        # A record that fails its checks is no record.
+        F.when(F.col("problem").isNull(), F.col("record_type")).alias("record_type"),
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
+TOKEN_LIMIT = 4096
+
+
+@query("op8_token_counts")
+def counts(table):
+    done = token_counts.token_counts(table("documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return done.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 @query("op9_quality_rules")
 def quality(table):
     return quality_rules.quality_rules(table("documents"))
