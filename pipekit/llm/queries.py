@@ -7,7 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pipekit.llm import bpe, decontaminate, licenses, quality_rules, simhash, suffix_dedup, token_counts, warc
+from pipekit.llm import (
+    bpe,
+    decontaminate,
+    licenses,
+    quality_model,
+    quality_rules,
+    simhash,
+    suffix_dedup,
+    token_counts,
+    token_shards,
+    warc,
+)
 from pipekit.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,6 +132,34 @@ def license_scan(table):
     )
 
 
+SEED = 20240101
+
+
+@query("op5_token_shards")
+def shards(table):
+    documents = table("documents")
+    tokenizer = token_shards.tiktoken_ids(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    folder = fresh_path(documents.sparkSession, "shards")
+    written = token_shards.write_shards(documents, folder, tokenizer, seed=SEED)
+    return token_shards.read_shards(written).select(
+        "slot",
+        "shard",
+        F.col("key").alias("doc_id"),
+        "part",
+        F.col("n").alias("n_tokens"),
+        sha256(F.array_join(F.col("tokens").cast("array<string>"), " ")).alias("ids_sha256"),
+    )
+
+
+@query("op6_quality_model")
+def quality_scores(table):
+    documents = table("documents")
+    network = quality_model.train(documents, table("labels"), "doc_id", "text", "quality")
+    scored = quality_model.score(documents, network)
+    held_out = quality_model.held_out(F.col("doc_id"))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query(
     "op7_warc",
     """
