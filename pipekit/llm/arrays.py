@@ -9,7 +9,9 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
+
+from pipekit.operators.keys import named
 
 # Text bytes that a task works on at once; a single longer text is a batch of its own.
 BATCH_BYTES = 4 * 1024 * 1024
@@ -79,7 +81,7 @@ def resident(name: str, make: Callable[[], Any]) -> Any:
 
 def chosen(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns under the operator's names; other columns cannot clash with its own."""
-    return df.select(*[F.col("`" + source.replace("`", "``") + "`").alias(name) for name, source in columns.items()])
+    return df.select(*[named(source).alias(name) for name, source in columns.items()])
 
 
 def extended(df: DataFrame, columns: list[str], ddl: str) -> T.StructType:

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pipekit.llm.arrays import chosen, covered, extended, flat, per_text, sized_batches
+from pipekit.operators.keys import named
 from pipekit.session import saved
 
 WINDOW = 10
@@ -251,7 +252,7 @@ def decontaminate(
     window: int = WINDOW,
 ) -> DataFrame:
     """The rows none of whose words lies in a test item's window, with all their columns."""
-    rows = df.select(F.struct("*").alias("key"), chosen(df, text=text)["text"])
+    rows = df.select(F.struct("*").alias("key"), named(text).alias("text"))
     return _contamination(rows, benchmark, item, item_text, window).where("n_hit = 0").select("key.*")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -31,13 +32,24 @@ SETTINGS = {
 }
 
 
+def configured(function: Callable) -> Callable:
+    """A function of a session and more, run with SETTINGS."""
+
+    @wraps(function)
+    def run(spark: SparkSession, *rest) -> DataFrame:
+        for key, value in SETTINGS.items():
+            spark.conf.set(key, value)
+        return function(spark, *rest)
+
+    return run
+
+
 def query(name: str, sql: str | None = None) -> Callable:
     """Register a function of `table(name)`; `sql` is the same query for the oracle."""
 
     def register(function: Callable) -> Callable:
+        @configured
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            for key, value in SETTINGS.items():
-                spark.conf.set(key, value)
             return function(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
         QUERIES[name] = run
