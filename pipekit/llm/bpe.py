@@ -18,8 +18,9 @@ gives an empty table.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable, Iterator
-from itertools import chain
+import gc
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 
 from pipekit.llm.arrays import chosen, extended, resident, sized_batches
 
-MAX_STATES, MAX_PIECES = 100_000, 300_000
+MAX_STATES, MAX_PIECES = 150_000, 400_000
 NO_TOKEN, GUESSES, END = -1, -1, -2
 
 
@@ -55,100 +56,100 @@ class Transducer:
         self.whole = [NO_TOKEN] * len(node)
         for token, rank in ranks.items():
             self.whole[node[token]] = rank
-        # Prefixes in order: those below node i are the nodes after it, up to last_below[i].
-        self.last_below = list(range(len(node)))
-        for prefix, i in sorted(node.items(), reverse=True):
-            if prefix:
-                above = node[prefix[:-1]]
-                self.last_below[above] = max(self.last_below[above], self.last_below[i])
+        self.longer_ones = [False] * len(node)
+        for key in self.child:
+            self.longer_ones[key >> 8] = True
         self.clear()
 
     def clear(self) -> None:
-        # A state is a dict: next state and output by byte; GUESSES has its guesses and END what
-        # remains to be emitted if the piece ends here.
+        # A state is a dict: next state and output by byte; GUESSES has its guesses and, once asked
+        # for, END what remains to be emitted if the piece ends here. States hold each other.
+        for state in getattr(self, "states", {}).values():
+            state.clear()
         self.states: dict[tuple, dict] = {}
-        self.beside: dict[tuple[int, int], bool] = {}
-        self.ends: dict[tuple[int, bool], list[tuple[bytes, int]]] = {}
-        self.start = self.state(((NO_TOKEN, 0, ()),))
-
-    def state(self, guesses: tuple) -> dict:
-        found = self.states.get(guesses)
-        if found is None:
-            end = next((out for _, begun, out in guesses if not begun), None)
-            found = self.states[guesses] = {GUESSES: guesses, END: end}
-        return found
+        self.beside: dict[int, bool] = {}
+        self.ends: tuple[dict, dict] = ({}, {})
+        guesses = ((NO_TOKEN, 0, ()),)
+        self.start = self.states[guesses] = {GUESSES: guesses}
 
     def spine(self, token: int, right: bool) -> list[tuple[bytes, int]]:
         """The parts at one end of a token while merges make it, and the rank at which each part
         goes into the next one; a merge of lower rank than one before it counts as that one."""
-        known = self.ends.get((token, right))
-        if known is None:
-            parts = [bytes([b]) for b in self.token[token]]
-            known, reached = [], -1
-            while len(parts) > 1:
-                pairs = [self.ranks.get(a + b, self.never) for a, b in zip(parts, parts[1:])]
-                lowest = min(pairs)
-                if lowest == self.never:
-                    break
-                reached = max(reached, lowest)
-                at = pairs.index(lowest)
-                if at == (len(pairs) - 1 if right else 0):
-                    known.append((parts[-1 if right else 0], reached))
-                parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            # A token that merges don't reach stands next to nothing.
-            known = [*known, (parts[0], self.never)] if len(parts) == 1 else []
-            self.ends[token, right] = known
-        return known
+        parts = [bytes([b]) for b in self.token[token]]
+        found, reached = [], -1
+        while len(parts) > 1:
+            pairs = [self.ranks.get(a + b, self.never) for a, b in zip(parts, parts[1:])]
+            lowest = min(pairs)
+            if lowest == self.never:
+                break
+            reached = max(reached, lowest)
+            at = pairs.index(lowest)
+            if at == (len(pairs) - 1 if right else 0):
+                found.append((parts[-1 if right else 0], reached))
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        # A token that merges don't reach stands next to nothing.
+        found = [*found, (parts[0], self.never)] if len(parts) == 1 else []
+        self.ends[right][token] = found
+        return found
 
     def follows(self, last: int, token: int) -> bool:
         """Whether the merges leave `token` after `last` (NO_TOKEN: alone) as they are."""
-        after = self.spine(token, False)
-        if last == NO_TOKEN or not after:
+        after = self.ends[False].get(token)
+        if after is None:
+            after = self.spine(token, False)
+        if last < 0 or not after:
             return bool(after)
-        before = self.spine(last, True)
-        i = j = 0
+        before = self.ends[True].get(last) or self.spine(last, True)
+        rank, never = self.ranks.get, self.never
+        left, right = iter(before), iter(after)
+        x, x_goes = next(left)
+        y, y_goes = next(right)
         while True:
-            (x, x_goes), (y, y_goes) = before[i], after[j]
-            rank = self.ranks.get(x + y, self.never)
-            # Of equal ranks the leftmost pair is merged first.
-            if rank < x_goes and rank <= y_goes and rank < self.never:
+            # Two parts that meet are merged before either goes; of equal ranks the leftmost is first.
+            if x_goes > rank(x + y, never) <= y_goes:
                 return False
-            if x_goes == y_goes == self.never:
-                return True
             if x_goes <= y_goes:
-                i += 1
+                if x_goes == never:
+                    return True
+                x, x_goes = next(left)
             else:
-                j += 1
+                y, y_goes = next(right)
 
     def step(self, state: dict, byte: int) -> tuple[dict, tuple]:
-        guesses, child, beside = [], self.child, self.beside
+        guesses, child, beside, whole, longer_ones = [], self.child, self.beside, self.whole, self.longer_ones
         for last, node, out in state[GUESSES]:
-            longer = child.get(node << 8 | byte)
-            if longer is None:
+            node = child.get(node << 8 | byte)
+            if node is None:
                 continue
-            if self.last_below[longer] > longer:
-                guesses.append((last, longer, out))
-            token = self.whole[longer]
+            if longer_ones[node]:
+                guesses.append((last, node, out))
+            token = whole[node]
             if token >= 0:
-                fits = beside.get((last, token))
+                key = last << 24 | token
+                fits = beside.get(key)
                 if fits is None:
-                    fits = beside[last, token] = self.follows(last, token)
+                    fits = beside[key] = self.follows(last, token)
                 if fits:
                     guesses.append((token, 0, (*out, token)))
         emitted = guesses[0][2]
-        if emitted and len(guesses) > 1:
-            shared = 0
-            for together in zip(*[out for _, _, out in guesses]):
-                if together.count(together[0]) < len(together):
-                    break
-                shared += 1
-            emitted = emitted[:shared]
         if emitted:
-            cut = len(emitted)
-            guesses = [(last, node, out[cut:]) for last, node, out in guesses]
+            if len(guesses) > 1:
+                shared = 0
+                for together in zip(*[out for _, _, out in guesses]):
+                    if together.count(together[0]) < len(together):
+                        break
+                    shared += 1
+                emitted = emitted[:shared]
+            if emitted:
+                cut = len(emitted)
+                guesses = [(last, node, out[cut:]) for last, node, out in guesses]
+        guesses = tuple(guesses)
         if len(self.states) >= MAX_STATES or len(beside) >= 4 * MAX_STATES:
             self.clear()
-        found = state[byte] = self.state(tuple(guesses)), emitted
+        reached = self.states.get(guesses)
+        if reached is None:
+            reached = self.states[guesses] = {GUESSES: guesses}
+        found = state[byte] = reached, emitted
         return found
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
@@ -157,26 +158,32 @@ class Transducer:
             return (whole,)
         state, out = self.start, []
         for byte in piece:
-            try:
-                state, emitted = state[byte]
-            except KeyError:
-                state, emitted = self.step(state, byte)
+            found = state.get(byte)
+            if found is None:
+                found = self.step(state, byte)
+            state, emitted = found
             if emitted:
                 out += emitted
-        return (*out, *state[END])
+        end = state.get(END)
+        if end is None:
+            end = state[END] = next(rest for _, begun, rest in state[GUESSES] if not begun)
+        return (*out, *end)
 
 
 class Pieces(dict):
-    """Token ids by piece of text, of the pieces met last."""
+    """Token ids, as bytes of 32-bit numbers, by piece of text; of the pieces met last."""
 
     def __init__(self, transducer: Transducer):
-        self.transducer = transducer
+        self.transducer, self.older = transducer, {}
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        if len(self) >= MAX_PIECES:
-            self.clear()
-        ids = self.transducer.encode(piece.encode())
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = array("i", self.transducer.encode(piece.encode())).tobytes()
         if len(piece) <= 64:
+            if len(self) >= MAX_PIECES // 2:
+                self.older = dict(self)
+                self.clear()
             self[piece] = ids
         return ids
 
@@ -230,34 +237,42 @@ class Decoder:
     """Ids to bytes, and to text whose broken sequences are replaced."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.token = {rank: token for token, rank in ranks.items()}
-        self.whole = np.zeros(max(self.token, default=0) + 1, bool)
-        for rank, token in self.token.items():
-            self.whole[rank] = token.isascii() or self.complete(token)
+        tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        self.joined = np.frombuffer(b"".join(tokens), np.uint8)
+        self.size = np.array([len(t) for t in tokens], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.whole = np.array([self.complete(t) for t in tokens], bool)
 
     @staticmethod
     def complete(token: bytes) -> bool:
         machine = Utf8()
         return machine.feed(token) + machine.close() == token
 
-    def bytes(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.token.__getitem__, ids))
+    def bytes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All bytes in a row, and where those of each token end."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.size) or not self.size[ids].all()):
+            raise ValueError("an id without a token")
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        at = np.repeat(self.start[ids] - (ends - size), size)
+        at += np.arange(len(at))
+        return self.joined[at], ends
 
     def text(self, ids: np.ndarray) -> bytes:
         """UTF-8; only tokens that hold parts of characters go through the machine byte by byte."""
+        data, ends = self.bytes(ids)
         parts = np.flatnonzero(~self.whole[ids])
         if not len(parts):
-            return self.bytes(ids.tolist())
-        machine, out, at = Utf8(), [], 0
-        listed = ids.tolist()
+            return data.tobytes()
+        out, at = [], 0
         for run in np.split(parts, np.flatnonzero(np.diff(parts) > 1) + 1):
-            out.append(self.bytes(listed[at : run[0]]))
-            at = int(run[-1]) + 1
-            out.append(machine.feed(self.bytes(listed[run[0] : at])))
-            if machine.missing:  # whole characters follow
-                out.append(machine.close())
-                machine.missing = 0
-        return b"".join([*out, self.bytes(listed[at:])])
+            start, end = int(ends[run[0]] - self.size[ids[run[0]]]), int(ends[run[-1]])
+            machine = Utf8()  # whole characters stand around the run
+            out += [data[at:start].tobytes(), machine.feed(data[start:end].tobytes()), machine.close()]
+            at = end
+        return b"".join([*out, data[at:].tobytes()])
 
 
 def _encoder(path: str, pattern: str):
@@ -266,29 +281,28 @@ def _encoder(path: str, pattern: str):
     cut = regex.compile(pattern).findall
 
     def encode(column: pa.Array) -> pa.Array:
-        ids = []
-        for text in column.to_pylist():
-            ids.append(np.fromiter(chain.from_iterable(map(pieces.__getitem__, cut(text or ""))), np.int32))
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])))
+        gc.disable()  # or it looks through all states again and again
+        try:
+            ids = [b"".join(map(pieces.__getitem__, cut(text or ""))) for text in column.to_pylist()]
+        finally:
+            gc.enable()
+        offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))
 
     return encode
 
 
 def _decoder(path: str):
-    """A function from Arrow columns of ids to columns of bytes and of text."""
+    """The decoder, and a function from Arrow columns of ids to columns of bytes."""
     decoder = resident(f"decoder {path}", lambda: Decoder(load_ranks(path)))
 
-    def decode(column: pa.Array) -> tuple[pa.Array, pa.Array]:
-        found, shown = [], []
-        values, offsets = np.asarray(column.flatten()), np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0))])
-        for a, b in zip(offsets, offsets[1:]):
-            ids = values[a:b]
-            found.append(decoder.bytes(ids.tolist()))
-            shown.append(found[-1] if decoder.whole[ids].all() else decoder.text(ids))
-        return pa.array(found, pa.binary()), pa.array(shown, pa.binary()).cast(pa.string())
+    def decode(column: pa.Array) -> pa.Array:
+        sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        data, ends = decoder.bytes(column.flatten().to_numpy())
+        ends = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])].astype(np.int64)
+        return pa.Array.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(ends), pa.py_buffer(data)])
 
-    return decode
+    return decoder, decode
 
 
 def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -303,11 +317,11 @@ def round_trip(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text
 
 def _mapped(df: DataFrame, path: str, pattern: str, key: str, text: str, decoded: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids, to_bytes = _encoder(path, pattern), _decoder(path) if decoded else None
+        to_ids, to_bytes = _encoder(path, pattern), _decoder(path)[1]
         for batch in sized_batches(batches, "text"):
             columns = {"key": batch.column("key"), "ids": to_ids(batch.column("text"))}
             if decoded:
-                columns["decoded"] = to_bytes(columns["ids"])[0]
+                columns["decoded"] = to_bytes(columns["ids"]).cast(pa.binary())
             yield pa.RecordBatch.from_pydict(columns)
 
     rows = chosen(df, key=key, text=text)
@@ -319,9 +333,17 @@ def decode(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> D
     """`key`, `decoded`, the bytes of the ids, and `text`, the same as valid UTF-8."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_bytes = _decoder(path)
+        decoder, to_bytes = _decoder(path)
         for batch in batches:
-            found, shown = to_bytes(batch.column("ids"))
+            ids = batch.column("ids")
+            found = to_bytes(ids).cast(pa.binary())
+            values = ids.flatten().to_numpy()
+            if decoder.whole[values].all():
+                shown = found.cast(pa.string())
+            else:
+                ends = np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                texts = [decoder.text(own) for own in np.split(values, ends[:-1])]
+                shown = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("key"), found, shown], ["key", "decoded", "text"])
 
     rows = chosen(df, key=key, ids=ids)
