@@ -86,18 +86,26 @@ class Finder:
         self.rolling = [Rolling(0), Rolling(1)]
 
     def anchors(self, data: np.ndarray, offsets: np.ndarray) -> Anchors:
-        """Anchors of texts lying one after the other. An anchor that names windows of two
-        blocks is two anchors, one for the windows of each."""
+        """Anchors of texts lying one after the other."""
         ends = np.repeat(offsets[1:], np.diff(offsets)) if len(data) else np.zeros(0, np.int64)
-        parts = [self.block(data, ends, start) for start in range(0, max(1, len(data) - WIDTH + 1), BLOCK)]
+        parts, start, total = [], 0, len(data) - WIDTH + 1
+        while start < total:
+            found, last = self.block(data, ends, start)
+            if last is not None and start + BLOCK < total:
+                # The last anchor may name windows of the next block, which then begins with it.
+                found = Anchors(*(getattr(found, f)[:-1] for f in Anchors.__dataclass_fields__))
+                start = last
+            else:
+                start += BLOCK
+            parts.append(found)
+        parts.append(Anchors(*[np.zeros(0, np.int64)] * 5))
         return Anchors(*(np.concatenate([getattr(p, f) for p in parts]) for f in Anchors.__dataclass_fields__))
 
-    def block(self, data: np.ndarray, ends: np.ndarray, start: int) -> Anchors:
+    def block(self, data: np.ndarray, ends: np.ndarray, start: int) -> tuple[Anchors, int | None]:
+        """Anchors of the windows that begin in a block; if the last window is one, where the first
+        one with the same anchor begins."""
         part = data[start : start + BLOCK + WIDTH - 1]
         n = len(part) - WIDTH + 1
-        if n <= 0:
-            none = np.zeros(0, np.int64)
-            return Anchors(none, none, none, none, none)
         sums = self.rolling[0].sums(part)
         places = np.arange(len(part) - GRAM + 1)
         grams = mixed((sums[GRAM:] - sums[: len(places)]) * self.rolling[0].back[: len(places)])
@@ -111,15 +119,15 @@ class Finder:
         begins = np.flatnonzero(np.arange(start + WIDTH, start + WIDTH + n) <= ends[start : start + n])
         named = named[begins]
         if not len(named):
-            none = np.zeros(0, np.int64)
-            return Anchors(none, none, none, none, none)
+            return Anchors(*[np.zeros(0, np.int64)] * 5), None
         new = np.flatnonzero(np.concatenate([[True], (named[1:] != named[:-1]) | (begins[1:] != begins[:-1] + 1)]))
         at = named[new]
         most = at - begins[new]
         least = at - begins[np.concatenate([new[1:], [len(named)]]) - 1]
         kind = self.rolling[1].hashes(self.rolling[1].sums(part), at - most, at - least + WIDTH)
         kind = mixed(kind + (least * 256 + most).astype(np.uint64))
-        return Anchors(at + start, least, most, grams[at].view(np.int64), kind.view(np.int64))
+        found = Anchors(at + start, least, most, grams[at].view(np.int64), kind.view(np.int64))
+        return found, start + int(begins[new[-1]]) if begins[-1] == n - 1 else None
 
 
 def _spread(key: Column, text: Column, shards: int) -> Column:
@@ -422,8 +430,8 @@ def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length:
     for field in df.schema:
         old = F.col("row").getField(field.name)
         new = kept if field.name == text else F.length(kept).cast(field.dataType)
-        follows = field.name in (text, length)
-        columns.append((F.when(old.isNotNull(), new) if follows else old).alias(field.name))
+        present = F.col("row").getField(text).isNotNull() & old.isNotNull()
+        columns.append((F.when(present, new).otherwise(old) if field.name in (text, length) else old).alias(field.name))
     return repeats(df, key, text, characters=True).select(*columns)
 
 

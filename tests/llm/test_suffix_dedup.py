@@ -1,0 +1,76 @@
+"""Suffix dedup against every window."""
+
+import random
+from collections import defaultdict
+
+import pytest
+import samples
+from conftest import rows
+
+from pipekit.llm import suffix_dedup
+
+
+def expected(texts, width=200):
+    seen = defaultdict(list)
+    data = [(t or "").encode() for t in texts]
+    for i, b in enumerate(data):
+        for at in range(len(b) - width + 1):
+            seen[b[at : at + width]].append((i, at))
+    gone = [bytearray(len(b)) for b in data]
+    for places in seen.values():
+        if len(places) > 1:
+            for i, at in places:
+                gone[i][at : at + width] = b"\1" * width
+    return [(len(b), g.count(1), bytes(x for x, y in zip(b, g) if not y)) for b, g in zip(data, gone)]
+
+
+def texts():
+    r = random.Random(3)
+    base = ["".join(r.choice("abcdefghij éü\n") for _ in range(r.randint(0, 900))) for _ in range(15)]
+    out = [*base, None, "", "a" * 3000, "ab" * 500, "q" * 199, "z" * 200, base[3], base[3], base[5][:200]]
+    for _ in range(40):
+        changed = list(r.choice(base) + r.choice(base))
+        for _ in range(r.randint(0, 6)):
+            if changed:
+                changed[r.randrange(len(changed))] = r.choice("xyzé")
+        out.append("".join(changed))
+    return out
+
+
+@pytest.mark.parametrize("most_kinds", [20_000, 3])
+@pytest.mark.parametrize("shard_bytes", [4 * 1024 * 1024, 5000])
+def test_removed_bytes(spark, monkeypatch, most_kinds, shard_bytes):
+    monkeypatch.setattr(suffix_dedup, "MOST_KINDS", most_kinds)
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard_bytes)
+    of = texts()
+    df = samples.frame(spark, of)
+    want = expected([*of, of[-1], of[-1]])
+    found = suffix_dedup.repeats(df).select("row.doc_id", "n_bytes", "spans", "kept").collect()
+    assert len(found) == len(of) + 2
+    for row in found:
+        n, removed, kept = want[-1 if row.doc_id is None else row.doc_id]
+        assert (row.n_bytes, row.n_bytes - len(row.kept), bytes(row.kept)) == (n, removed, kept)
+        assert sum(s.end - s.start for s in row.spans) == removed
+        assert all(a.end < b.start for a, b in zip(row.spans, row.spans[1:]))
+
+
+def test_anchors_of_many_blocks(spark, monkeypatch):
+    """Wherever the blocks of a batch begin, the same anchors are found."""
+    of = texts()
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 512)
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 5000)
+    found = suffix_dedup.repeats(spark.createDataFrame(list(enumerate(of)), "doc_id long, text string"))
+    want = expected(of)
+    assert all(bytes(r.kept) == want[r.row.doc_id][2] for r in found.collect())
+
+
+def test_cut_texts(spark):
+    shared = "".join(chr(0x4E00 + i) for i in range(100))
+    of = ["one " + shared + " two", "three " + shared[:80] + " four", None]
+    df = samples.frame(spark, of).withColumnRenamed("n", "n_chars").where("doc_id IS NOT NULL").dropDuplicates()
+    cut = suffix_dedup.drop_repeats(df, length="n_chars")
+    assert cut.schema.names == df.schema.names
+    # Both share the letter and the space before the passage.
+    want = [(0, "on" + shared[80:] + " two", 26), (1, "thre four", 9), (2, None, 3)]
+    assert rows(cut, "doc_id", "text", "n_chars") == want
+    assert suffix_dedup.drop_repeats(df.limit(0)).count() == 0
