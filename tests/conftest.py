@@ -9,7 +9,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from pipekit.session import session
 
     spark = session(
@@ -20,6 +20,7 @@ def spark():
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "6g",
+            "spark.checkpoint.dir": tmp_path_factory.mktemp("shared").as_uri(),
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
