@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Observation, functions as F
 
 from pipekit.operators.aggregate import aggregate
 from pipekit.plans.audit import log_event, read_events
+from pipekit.plans.etl import default_job
 from pipekit.plans.graph import run_graph
 from pipekit.plans.partitions import partition_counts, partition_grid
 from pipekit.queries.registry import Tables, query
@@ -53,7 +54,72 @@ def csv_quoted_text(table: Tables) -> DataFrame:
     documents = _documents(table)
     path = _path(documents, "csv")
     export_files(documents, path, "csv")
-    return read_files(documents.sparkSession, path, fmt="csv", schema=documents.schema)
+    return read_files(documents.sparkSession, path, fmt="csv", schema=documents.schema, multiline=True)
+
+
+@query(
+    "json_bad_lines",
+    """
+    SELECT event_type, count(*) FILTER (event_id % 7 <> 0) AS good, count(*) FILTER (event_id % 7 = 0) AS bad
+    FROM events GROUP BY ALL
+    """,
+)
+def json_bad_lines(table: Tables) -> DataFrame:
+    """JSON lines of which every seventh is cut; what is left of them is kept beside the rows."""
+    events = table("events").select("event_id", "event_type")
+    spark, path = events.sparkSession, _path(events, "json")
+    line = F.to_json(F.struct("event_type", "event_id"))
+    cut = F.when(F.col("event_id") % 7 == 0, F.expr("left(line, length(line) - 1)")).otherwise(F.col("line"))
+    events.withColumn("line", line).select(cut.alias("value")).write.text(path)
+    back = read_files(spark, path, fmt="json", schema="event_id bigint, event_type string", bad_rows="keep")
+    bad = F.col("_corrupt_record").isNotNull()
+    kind = F.when(bad, F.regexp_extract("_corrupt_record", '"event_type":"(.*?)"', 1)).otherwise(F.col("event_type"))
+    counts = back.groupBy(kind.alias("event_type"))
+    return counts.agg(F.count_if(~bad).alias("good"), F.count_if(bad).alias("bad"))
+
+
+@query(
+    "csv_sampled_schema",
+    """
+    SELECT event_id, CASE WHEN event_id % 10 = 9 THEN NULL ELSE user_id END AS code,
+           CASE WHEN event_id % 10 = 9 THEN 'x' || user_id END AS misfit
+    FROM events
+    """,
+)
+def csv_sampled_schema(table: Tables) -> DataFrame:
+    """Types from the first nine lines; later values that do not fit them are kept as text."""
+    code = F.when(F.col("event_id") % 10 == 9, F.concat(F.lit("x"), "user_id")).otherwise(F.col("user_id").cast("string"))
+    events = table("events").select(F.col("event_id"), code.alias("code"))
+    spark, path = events.sparkSession, _path(events, "csv")
+    export_files(events.repartition(1).sortWithinPartitions("event_id"), path, "csv")
+    back = read_files(spark, path, sample_rows=9, bad_rows="keep")
+    misfit = F.regexp_extract("_corrupt_record", ",(x[0-9]+)$", 1)
+    return back.select(
+        F.col("event_id").cast("bigint").alias("event_id"),
+        F.col("code").cast("bigint").alias("code"),
+        F.nullif(misfit, F.lit("")).alias("misfit"),
+    )
+
+
+@query(
+    "default_job",
+    """
+    SELECT coalesce(user_id, 0)::DOUBLE AS user_id, event_type AS city,
+           round(coalesce(v, (SELECT avg(v) FROM (SELECT CASE WHEN event_id % 4 > 0 THEN value END AS v FROM events))), 6) AS value,
+           'b-7' AS processing_batch_id
+    FROM (SELECT DISTINCT user_id, upper(event_type[1]) || event_type[2:] AS event_type,
+                 CASE WHEN event_id % 4 > 0 THEN value END AS v FROM events)
+    """,
+)
+def whole_default_job(table: Tables) -> DataFrame:
+    """Files read, filled, de-duplicated, standardised, stamped and written to a lake."""
+    value = F.when(F.col("event_id") % 4 > 0, F.col("value")).alias("value")
+    events = table("events").select("user_id", F.col("event_type").alias("city"), value)
+    spark, source, target = events.sparkSession, _path(events, "source"), _path(events, "target")
+    export_files(events, source, "json")
+    default_job(spark, source, "b-7", lambda df: write_datalake(df, target))
+    back = read_files(spark, target)
+    return back.select("user_id", "city", F.round("value", 6).alias("value"), "processing_batch_id")
 
 
 @query("json_roundtrip", DOCUMENTS_SQL)

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from pipekit.operators.schema import infer_schema
 from pipekit.session import fresh_path
 
 # Storage names and file suffixes.
@@ -78,18 +78,22 @@ def read_files(
     infer: bool = True,
     sample_rows: int | None = None,
     schema: T.StructType | str | None = None,
-    bad_rows: str = "null",
-    multiline: bool | None = None,
+    bad_rows: str = "fail",
+    multiline: bool | None = False,
     row_tag: str = "row",
     options: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Read a file or folder of `csv`, `json`, `xml` or `parquet`.
 
-    Types are inferred from everything read, or from the first `sample_rows` records (of CSV and
+    Types are inferred from everything read, or from the first `sample_rows` lines (of CSV and
     JSON lines), or not at all (`infer=False`: text columns), unless `schema` is given. `bad_rows` says what becomes of
-    a record that does not fit: `null` (its bad fields), `keep` (also its text, in
-    `_corrupt_record`) or `fail`. `multiline` lets a CSV field or a JSON document span lines,
-    which makes each file one task; None looks whether any line is incomplete on its own.
+    a record that does not fit: `fail`, `keep` (with its text in `_corrupt_record`) or `null` (its
+    bad fields are lost).
+
+    A line is a record. `multiline=True` lets a CSV field or a JSON document span lines, which
+    makes each file one task; CSV fields with line breaks need it. `multiline=None` reads JSON
+    files that begin with `[` as documents and the others by lines, file by file, which costs a
+    pass over the text.
     """
     uri = storage_uri(path, storage)
     if fmt == "auto":
@@ -101,17 +105,23 @@ def read_files(
         return (reader.schema(schema) if schema else reader).parquet(uri)
 
     settings = {**_text_options(fmt, bad_rows, row_tag), **(options or {})}
-    if fmt != "xml":
-        if multiline is None:
-            multiline = _spans_lines(spark, uri, fmt, settings)
-        settings["multiLine"] = str(multiline).lower()
-    if schema is None:
-        schema = _inferred(spark, uri, fmt, settings, infer, sample_rows)
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    if bad_rows == "keep" and CORRUPT not in schema.names:
-        schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    return spark.read.format(fmt).options(**settings).schema(schema).load(uri)
+
+    def read(paths: list[str], whole: bool) -> DataFrame:
+        own = settings if fmt == "xml" else {**settings, "multiLine": str(whole).lower()}
+        found = schema or _inferred(spark, paths, fmt, own, infer, sample_rows)
+        if bad_rows == "keep" and CORRUPT not in found.names:
+            found = T.StructType([*found.fields, T.StructField(CORRUPT, T.StringType())])
+        return spark.read.format(fmt).options(**own).schema(found).load(paths)
+
+    if fmt != "json" or multiline is not None:
+        return read([uri], bool(multiline))
+    documents, lines = _split_by_start(spark, uri, settings)
+    parts = [read(paths, whole) for paths, whole in ((documents, True), (lines, False)) if paths]
+    if not parts:
+        return read([uri], False)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def _text_options(fmt: str, bad_rows: str, row_tag: str) -> dict[str, str]:
@@ -129,34 +139,37 @@ def _text_options(fmt: str, bad_rows: str, row_tag: str) -> dict[str, str]:
     return settings
 
 
-def _spans_lines(spark: SparkSession, uri: str, fmt: str, settings: Mapping[str, str]) -> bool:
-    """Whether some line is not a record on its own; stops at the first one found."""
+def _split_by_start(spark: SparkSession, uri: str, settings: Mapping[str, str]) -> tuple[list[str], list[str]]:
+    """The files below `uri` whose first character is a bracket, and the others."""
     lines = spark.read.options(**_listing(settings)).text(uri)
-    line = F.trim("value")
-    if fmt == "csv":
-        quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-        broken = quotes % 2 == 1
-    else:
-        whole = (line.startswith("{") & line.endswith("}")) | (line.startswith("[") & line.endswith("]"))
-        broken = (line != "") & ~whole
-    return not lines.filter(broken).isEmpty()
+    lines = lines.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("at"),
+        F.ltrim("value").alias("text"),
+    )
+    first = F.min_by(F.substring("text", 1, 1), "at").alias("first")
+    found = lines.where("text <> ''").groupBy("file").agg(first).collect()
+    return [r.file for r in found if r.first == "["], [r.file for r in found if r.first != "["]
 
 
 def _inferred(
-    spark: SparkSession, uri: str, fmt: str, settings: Mapping[str, str], infer: bool, sample_rows: int | None
+    spark: SparkSession, paths: list[str], fmt: str, settings: Mapping[str, str], infer: bool, sample_rows: int | None
 ) -> T.StructType:
     reader = spark.read.format(fmt).options(**settings)
     if not infer:
         all_text = {"inferSchema": "false"} if fmt == "csv" else {"primitivesAsString": "true"}
-        return reader.options(**all_text).load(uri).schema
-    if sample_rows is not None and fmt == "csv":
-        return _sample_schema(reader.option("inferSchema", "false").load(uri), sample_rows)
-    if sample_rows is not None and fmt == "json" and settings["multiLine"] == "false":
-        # A small copy of the first lines, so that inference sees only them.
+        return reader.options(**all_text).load(paths).schema
+    if sample_rows is not None and fmt in ("csv", "json") and settings["multiLine"] == "false":
+        # A small copy of the first lines, so that the reader itself infers from them alone.
         sample = fresh_path(spark, "sample")
-        spark.read.options(**_listing(settings)).text(uri).limit(sample_rows).write.text(sample)
-        return reader.load(sample).schema
-    return reader.option("inferSchema", "true").load(uri).schema
+        headed = fmt == "csv" and str(settings.get("header", "false")).lower() == "true"
+        spark.read.options(**_listing(settings)).text(paths).limit(sample_rows + headed).coalesce(1).write.text(sample)
+        own = {k: v for k, v in settings.items() if k not in _listing(settings)}
+        found = spark.read.format(fmt).options(**own).option("inferSchema", "true").load(sample).schema
+        # Columns that the paths name, such as partition folders, are not in the lines.
+        named_by_paths = [f for f in reader.load(paths).schema if f.name not in found.names] if fmt == "csv" else []
+        return T.StructType([*found.fields, *named_by_paths])
+    return reader.option("inferSchema", "true").load(paths).schema
 
 
 def _listing(settings: Mapping[str, str]) -> dict[str, str]:
@@ -164,13 +177,6 @@ def _listing(settings: Mapping[str, str]) -> dict[str, str]:
     return {k: v for k, v in settings.items() if k in ("pathGlobFilter", "recursiveFileLookup", "basePath")}
 
 
-def _sample_schema(rows: DataFrame, sample_rows: int) -> T.StructType:
-    """Types that fit the first `sample_rows` rows of text columns; one small aggregate."""
-    found = infer_schema(rows, sample_rows).collect()
-    types = {r.column: T.StructType.fromDDL(f"x {r.type}")["x"].dataType for r in found}
-    return T.StructType([T.StructField(c, types[c]) for c in rows.columns])
-
-
 def bulk_import(
     spark: SparkSession,
     bucket: str,
@@ -190,6 +196,8 @@ def bulk_import(
     """
     root = storage_uri("/".join(p.strip("/") if i else p.rstrip("/") for i, p in enumerate((bucket, prefix)) if p), storage)
     folder, _, name = glob.rpartition("/")
+    if "**" in folder.removesuffix("**"):
+        raise ValueError(f"'**' must be the last folder of a glob, not {glob!r}")
     options = dict(read_options.pop("options", {}))
     if name not in ("", "*"):
         options["pathGlobFilter"] = name

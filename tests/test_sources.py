@@ -27,7 +27,7 @@ def folder(tmp_path):
 
 
 def test_csv(spark, folder):
-    df = read_files(spark, folder(people_dot_csv=CSV))
+    df = read_files(spark, folder(people_dot_csv=CSV), bad_rows="null")
     assert [t for _, t in df.dtypes] == ["int", "string", "string", "double", "boolean"]
     assert rows(df) == [
         (1, "a@x.org", "New York, NY", 1.5, True),
@@ -41,24 +41,57 @@ def test_csv_without_inference_and_from_a_sample(spark, folder):
     path = folder(people_dot_csv=CSV)
     assert {t for _, t in read_files(spark, path, infer=False).dtypes} == {"string"}
     sampled = read_files(spark, path, sample_rows=1)
-    assert [t for _, t in sampled.dtypes] == ["bigint", "string", "string", "double", "boolean"]
+    assert [t for _, t in sampled.dtypes] == ["int", "string", "string", "double", "boolean"]
 
 
 def test_csv_rows_that_do_not_fit(spark, folder):
     path = folder(a_dot_csv="x,y\n1,a\nzwei,b\n3,c,extra\n")
     kept = read_files(spark, path, schema="x int, y string", bad_rows="keep")
     assert rows(kept) == [(None, "b", "zwei,b"), (1, "a", None), (3, "c", "3,c,extra")]
-    assert rows(read_files(spark, path, schema="x int, y string")) == [(None, "b"), (1, "a"), (3, "c")]
+    assert rows(read_files(spark, path, schema="x int, y string", bad_rows="null")) == [(None, "b"), (1, "a"), (3, "c")]
     with pytest.raises(Exception, match="MALFORMED|malformed|FAILED_READ"):
-        read_files(spark, path, schema="x int, y string", bad_rows="fail").collect()
+        read_files(spark, path, schema="x int, y string").collect()
     with pytest.raises(ValueError):
         read_files(spark, path, bad_rows="drop")
 
 
-def test_csv_line_breaks_are_found(spark, folder):
+def test_csv_line_breaks(spark, folder):
     path = folder(a_dot_csv='x,y\n1,"two\nlines"\n2,b\n')
-    assert rows(read_files(spark, path)) == [(1, "two\nlines"), (2, "b")]
-    assert read_files(spark, path, multiline=False).count() > 2
+    assert rows(read_files(spark, path, multiline=True)) == [(1, "two\nlines"), (2, "b")]
+    with pytest.raises(Exception, match="MALFORMED|malformed|FAILED_READ"):
+        read_files(spark, path, schema="x int, y string").collect()
+    path = folder(b__a_dot_csv="x,y\n1,'two\nlines'\n2,b\n") + "/b"
+    assert rows(read_files(spark, path, multiline=True, options={"quote": "'"})) == [(1, "two\nlines"), (2, "b")]
+
+
+def test_a_sample_never_loses_values(spark, folder):
+    """What does not fit the types of the first lines is an error, or kept beside the row."""
+    path = folder(a_dot_csv="x\n1\n2\n 7 \nnan\nx7\n")
+    assert [r.x for r in read_files(spark, path).collect()] == ["1", "2", " 7 ", "nan", "x7"]
+    with pytest.raises(Exception, match="MALFORMED|malformed|FAILED_READ"):
+        read_files(spark, path, sample_rows=2).collect()
+    kept = read_files(spark, path, sample_rows=2, bad_rows="keep")
+    assert kept.dtypes[0] == ("x", "int")
+    assert rows(kept) == [(None, " 7 "), (None, "nan"), (None, "x7"), (1, None), (2, None)]
+
+
+def test_a_cut_line_loses_only_itself(spark, folder):
+    lines = [f'{{"a": {i}}}' for i in range(100)]
+    path = folder(a_dot_json="\n".join([*lines[:50], '{"a": 5', *lines[50:]]) + "\n", b_dot_json="\n".join(lines))
+    for multiline in (False, None):
+        kept = read_files(spark, path, schema="a int", bad_rows="keep", multiline=multiline)
+        found = rows(kept)
+        assert len(found) == 201 and [r for r in found if r[1]] == [(None, '{"a": 5')]
+    with pytest.raises(Exception, match="MALFORMED|malformed|FAILED_READ|Malformed"):
+        read_files(spark, path, schema="a int").collect()
+
+
+def test_json_documents_and_lines_side_by_side(spark, folder):
+    path = folder(a_dot_json='\n [\n {"a": 1},\n {"a": 2.5}\n]', b_dot_json='{"a": 3}\n{"a": 4, "b": "x"}\n', c_dot_json="")
+    df = read_files(spark, path, multiline=None)
+    assert rows(df, "a", "b") == [(1.0, None), (2.5, None), (3.0, None), (4.0, "x")]
+    with pytest.raises(Exception):
+        read_files(spark, path).collect()
 
 
 @pytest.mark.parametrize(
@@ -70,7 +103,7 @@ def test_csv_line_breaks_are_found(spark, folder):
     ],
 )
 def test_json_lines_and_arrays(spark, folder, text):
-    df = read_files(spark, folder(a_dot_json=text))
+    df = read_files(spark, folder(a_dot_json=text), multiline=None)
     assert df.dtypes == [("a", "bigint"), ("b", "struct<c:boolean>")]
     assert rows(df, "a", "b.c") == [(None, False), (1, True), (2, None)]
 
