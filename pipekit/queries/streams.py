@@ -64,6 +64,24 @@ def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).withColumns({**windows, "total": F.round("total", 2)})
 
 
+@_register(
+    "stream_hourly_append",
+    """
+    WITH late AS (SELECT max(ts) - INTERVAL 1 HOUR AS watermark FROM events)
+    SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n
+    FROM events, late
+    WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= watermark GROUP BY ALL
+    """,
+)
+def stream_hourly_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows come out, and leave the state, once the watermark has passed their end."""
+    hourly = stream_aggregate(_events(spark, sf_dir), "ts", "1 hour", {"n": {"op": "count"}}, ["event_type"])
+    path = fresh_path(spark, "stream")
+    write_stream(hourly, path, fresh_path(spark, "checkpoint")).awaitTermination()
+    start = F.col("window_start").cast("timestamp_ntz").alias("window_start")
+    return spark.read.schema(hourly.schema).parquet(path).select(start, "event_type", "n")
+
+
 @_register(
     "stream_clean",
     """

@@ -53,18 +53,21 @@ def stream_deduplicate(
 ) -> DataFrame:
     """The first arrival per key; a repeat is recognised for `delay` after it.
 
-    Only `keep="first"`: a row already sent on cannot be taken back. Copies are first dropped
-    within `spread` parts of each key, so that a very frequent key is not one task's work and
-    the second step sees at most `spread` rows of it; `spread=1` does it in one step.
+    Only `keep="first"`: a row already sent on cannot be taken back. Copies within one
+    micro-batch are first dropped in `spread` parts of each key, so that a very frequent key is
+    not one task's work and the second step sees at most `spread` rows of it for each batch;
+    `spread=1` does it in one step.
     """
     if keep != "first":
         raise ValueError("a stream can only keep the first row of a key")
     require(df, keys)
     timed = _event_time(df, ts_col, delay)
     if spread > 1:
-        # Which part a row falls into makes no difference to the result.
+        # The batch's time is part of the key: a row of a later batch is never a copy here, so
+        # that only the second step, which knows all rows sent on, decides when a key may return.
         parts = timed.withColumn("__part", F.pmod(F.spark_partition_id(), F.lit(spread)))
-        timed = parts.dropDuplicatesWithinWatermark([*keys, "__part"]).drop("__part")
+        parts = parts.withColumn("__batch", F.current_timestamp())
+        timed = parts.dropDuplicatesWithinWatermark([*keys, "__part", "__batch"]).drop("__part", "__batch")
     return timed.dropDuplicatesWithinWatermark(list(keys))
 
 

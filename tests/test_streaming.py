@@ -48,6 +48,20 @@ def test_dedup_keeps_the_first_arrival(spark, late, tmp_path, spread):
         stream_deduplicate(late(), ["event_id"], "ts", "1 hour", keep="last")
 
 
+@pytest.mark.parametrize("spread", [1, 2, 16])
+def test_a_key_may_return_after_the_delay(spark, tmp_path, spread):
+    """However copies are thinned out, what comes out is what one step would send on."""
+    # The other key moves the watermark on.
+    for k, time in ((1, "10:00"), (1, "10:30"), (2, "12:00"), (2, "12:10"), (1, "12:15"), (1, "12:20")):
+        at = dt.datetime.fromisoformat(f"2024-01-01T{time}")
+        spark.createDataFrame([(k, at)], "k int, ts timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = read_stream(spark, "parquet", f"{tmp_path}/in", "k int, ts timestamp", {"maxFilesPerTrigger": "1"})
+    unique = stream_deduplicate(stream, ["k"], "ts", "1 hour", spread=spread)
+    write_stream(unique, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    out = spark.read.parquet(f"{tmp_path}/out").where("k = 1").select(F.date_format("ts", "HH:mm"))
+    assert rows(out) == [("10:00",), ("12:15",)]
+
+
 def test_a_hot_key_is_spread_before_it_is_one_task(spark, tmp_path):
     """The second of the two steps sees one row of each key per part, however many there are."""
     rows_in = spark.range(0, 20_000, 1, 8).selectExpr(
