@@ -7,6 +7,8 @@ from typing import Any
 
 from pyspark.sql import Column, functions as F
 
+from pipekit.functions.types import quoted
+
 METRIC_OPS = {
     "sum": F.sum,
     "avg": F.avg,
@@ -29,16 +31,16 @@ def metric(spec: Mapping[str, Any]) -> Column:
     """
     op, name, order_by = spec["op"], spec.get("col"), spec.get("order_by")
     if op == "count":
-        return F.count(F.lit(1) if name in (None, "*") else F.col(name))
+        return F.count(F.lit(1) if name in (None, "*") else F.col(quoted(name)))
     if name is None:
         raise ValueError(f"metric op {op!r} needs a column")
-    column = F.col(name)
+    column = F.col(quoted(name))
     if op in ("first", "last"):
         if order_by is None:
             return (F.first if op == "first" else F.last)(column, ignorenulls=True)
         pick = F.min_by if op == "first" else F.max_by
-        usable = column.isNotNull() & F.col(order_by).isNotNull()
-        return pick(column, F.when(usable, F.struct(F.col(order_by), column)))
+        order = F.col(quoted(order_by))
+        return pick(column, F.when(column.isNotNull() & order.isNotNull(), F.struct(order, column)))
     if op not in METRIC_OPS:
         raise ValueError(f"unknown metric op {op!r}; known: {sorted([*METRIC_OPS, 'count', 'first', 'last'])}")
     return METRIC_OPS[op](column)

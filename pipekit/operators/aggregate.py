@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pipekit.functions.metrics import metric
-from pipekit.operators.keys import MAX_GROUP_ROWS, largest_group, match, named, require
+from pipekit.operators.keys import largest_group, match, named, require
 from pipekit.operators.ordering import rank_rows
 
 Metrics = Mapping[str, Mapping[str, Any]]
@@ -18,14 +19,15 @@ def aggregate(
     df: DataFrame,
     group_by: Sequence[str] = (),
     metrics: Metrics = {},
-    max_group_rows: int | None = MAX_GROUP_ROWS,
+    max_group_rows: int | None = None,
 ) -> DataFrame:
     """One row per group (or one in all) with `metrics = {name: {"op", "col"}}`.
 
     Null group keys form a group. All metrics but `median` keep a fixed-size state per group
     and are combined before the shuffle (`count_distinct` after removing duplicates). An exact
-    median must see every value of its group, so groups beyond `max_group_rows` rows get theirs
-    from the middle ranks of a distributed sort.
+    median must see every value of its group. Where groups may be very large, `max_group_rows`
+    asks to count them first, in a job of its own; if one has more rows, medians come from the
+    middle ranks of a distributed sort, with the same type.
     """
     if not metrics:
         raise ValueError("aggregate needs at least one metric")
@@ -47,10 +49,11 @@ def _with_spread_median(result: DataFrame, df: DataFrame, keys: list[str], colum
     groups = [named(k) for k in keys]
     values = df.select(*groups, named(column).alias("__value")).filter("__value is not null")
     places = rank_rows(values, ["__value"], keys, rank_col="__place", max_group_rows=0)
-    counts = values.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"))
+    counts = places.groupBy(*groups).agg(F.max("__place").alias("__n"))
     sized = match(places, counts, keys) if keys else places.withColumn("__n", counts.scalar())
     middle = F.col("__place").between(F.expr("(__n + 1) div 2"), F.expr("__n div 2 + 1"))
-    medians = sized.filter(middle).groupBy(*groups).agg(F.avg("__value").alias(name))
+    kind = df.select(F.median(named(column)).alias("m")).schema["m"].dataType
+    medians = sized.filter(middle).groupBy(*groups).agg(F.avg("__value").cast(kind).alias(name))
     return match(result, medians, keys, "left_outer") if keys else result.withColumn(name, medians.scalar())
 
 
@@ -65,30 +68,50 @@ def pivot(
 ) -> DataFrame:
     """One row per `index`, one column per value of `columns` (joined by `_` if several).
 
-    With several `values` the columns are named `<pivot>_<value>`. Without `pivot_values` a
-    first job finds them; more than `spark.sql.pivotMaxValues` of them is an error. Cells are
-    aggregated by index and pivot value before the shuffle, then laid out side by side.
+    With several `values` the columns are named `<pivot>_<value>`; a null is called `null`. Cells
+    are told apart by the values themselves, and two that would get one name are an error.
+    Without `pivot_values` (for several `columns`, sequences of values) a first job finds them;
+    more than `spark.sql.pivotMaxValues` of them is an error. Cells are aggregated by index and
+    pivot value before the shuffle, then laid out side by side.
     """
     if not (index and columns and values):
         raise ValueError("pivot needs index, columns and values")
     require(df, [*index, *columns, *values])
-    key = named(columns[0]) if len(columns) == 1 else F.concat_ws("_", *[_label(c) for c in columns])
-    keyed = df.withColumn("__pivot", key)
-    grouped = keyed.groupBy(*[named(i) for i in index]).pivot(
-        "__pivot", list(pivot_values) if pivot_values is not None else None
-    )
+    several = len(columns) > 1
+    key = F.concat_ws("_", *[_escaped(c) for c in columns]) if several else named(columns[0])
+    wanted = list(pivot_values) if pivot_values is not None else None
+    if several and wanted is not None:
+        if any(isinstance(v, str) or len(v) != len(columns) for v in wanted):
+            raise ValueError(f"pivot_values must be sequences of {len(columns)} values")
+        wanted = ["_".join(NULL if x is None else _escape(str(x)) for x in v) for v in wanted]
     cells = [metric({"op": aggfunc, "col": v}).alias(v) for v in values]
-    result = grouped.agg(*cells)
+    result = df.withColumn("__pivot", key).groupBy(*[named(i) for i in index]).pivot("__pivot", wanted).agg(*cells)
+    cell_types = list(result.schema)[len(index) :]
+    names = [_unescape(f.name) if several else f.name for f in cell_types]
+    taken = [*index, *names]
+    clashing = sorted({n for n in taken if taken.count(n) > 1})
+    if clashing:
+        raise ValueError(f"different values of {list(columns)} give columns of the same name: {clashing}")
+    result = result.toDF(*taken)
     if fill_value is None:
         return result
     return result.withColumns(
-        {
-            f.name: F.coalesce(named(f.name), F.lit(fill_value).cast(f.dataType))
-            for f in result.schema
-            if f.name not in index
-        }
+        {n: F.coalesce(named(n), F.lit(fill_value).cast(f.dataType)) for n, f in zip(names, cell_types)}
     )
 
 
-def _label(name: str) -> Column:
-    return F.coalesce(named(name).cast("string"), F.lit("null"))
+# How one of several pivot values is written into a key: `\` and `_` are escaped, and null is `\0`.
+NULL = "\\0"
+
+
+def _escape(text: str) -> str:
+    return text.replace("\\", "\\\\").replace("_", "\\_")
+
+
+def _escaped(name: str) -> Column:
+    text = F.replace(named(name).cast("string"), F.lit("\\"), F.lit("\\\\"))
+    return F.coalesce(F.replace(text, F.lit("_"), F.lit("\\_")), F.lit(NULL))
+
+
+def _unescape(key: str) -> str:
+    return re.sub(r"\\(.)", lambda found: "null" if found[1] == "0" else found[1], key)

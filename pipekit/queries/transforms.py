@@ -137,17 +137,15 @@ def join_anti(table: Tables) -> DataFrame:
 @query(
     "join_suffix",
     """
-    SELECT c_nationkey AS nationkey, c_name AS name_cust, c_acctbal AS acctbal_cust,
+    SELECT c_custkey AS "key", c_name AS name_cust, c_acctbal AS acctbal_cust,
            s_name AS name_supp, s_acctbal AS acctbal_supp
-    FROM customer JOIN supplier ON c_nationkey = s_nationkey
-    WHERE c_acctbal > 5000 AND s_acctbal > 5000
+    FROM customer JOIN supplier ON c_custkey = s_suppkey
     """,
 )
 def join_suffix(table: Tables) -> DataFrame:
-    names = ("nationkey", "name", "acctbal")
-    customers = table("customer").filter("c_acctbal > 5000").select(*[F.col(f"c_{n}").alias(n) for n in names])
-    suppliers = table("supplier").filter("s_acctbal > 5000").select(*[F.col(f"s_{n}").alias(n) for n in names])
-    return join_tables(customers, suppliers, ["nationkey"], suffixes=("_cust", "_supp"))
+    customers = table("customer").selectExpr("c_custkey AS key", "c_name AS name", "c_acctbal AS acctbal")
+    suppliers = table("supplier").selectExpr("s_suppkey AS key", "s_name AS name", "s_acctbal AS acctbal")
+    return join_tables(customers, suppliers, ["key"], suffixes=("_cust", "_supp"))
 
 
 @query(
@@ -343,6 +341,28 @@ def pivot_multi_value(table: Tables) -> DataFrame:
     return pivot(table("orders"), ["o_orderpriority"], ["o_orderstatus"], ["o_totalprice", "o_orderkey"], "max")
 
 
+@query(
+    "pivot_labels",
+    """
+    SELECT user_id % 10 AS grp,
+           count(*) FILTER (event_id % 2 = 0 AND event_id % 3 = 0) AS "a_b_c",
+           count(*) FILTER (event_id % 2 = 0 AND event_id % 3 > 0) AS "a_b_d_e",
+           count(*) FILTER (event_id % 2 = 1 AND event_id % 3 = 0) AS "a_c",
+           count(*) FILTER (event_id % 2 = 1 AND event_id % 3 > 0) AS "a_d_e"
+    FROM events GROUP BY ALL
+    """,
+)
+def pivot_labels(table: Tables) -> DataFrame:
+    """Labels that contain the character they are joined by."""
+    events = table("events").select(
+        (F.col("user_id") % 10).alias("grp"),
+        F.when(F.col("event_id") % 2 == 0, "a_b").otherwise("a").alias("one"),
+        F.when(F.col("event_id") % 3 == 0, "c").otherwise("d_e").alias("two"),
+        "event_id",
+    )
+    return pivot(events, ["grp"], ["one", "two"], ["event_id"], "count", fill_value=0)
+
+
 @query(
     "pivot_two_columns",
     """

@@ -78,3 +78,33 @@ def test_too_many_pivot_values_are_an_error(spark):
             pivot(spark.range(10).withColumn("k", F.lit(1)), ["k"], ["id"], ["id"]).collect()
     finally:
         spark.conf.unset("spark.sql.pivotMaxValues")
+
+
+def test_pivot_tells_labels_apart(spark):
+    """Cells are values, not names: what would share a name is an error and never one sum."""
+    df = spark.createDataFrame([(1, "a_b", "c", 1), (1, "a", "b_c", 10)], "k int, x string, y string, v int")
+    with pytest.raises(ValueError, match="a_b_c"):
+        pivot(df, ["k"], ["x", "y"], ["v"])
+    apart = pivot(df, ["k"], ["x", "y"], ["v"], pivot_values=[("a_b", "c"), ("a", "b\\_c")])
+    assert apart.columns == ["k", "a_b_c", "a_b\\_c"] and rows(apart) == [(1, 1, None)]
+    nulls = spark.createDataFrame([(1, None, "z", 1), (1, "null", "z", 10)], "k int, x string, y string, v int")
+    for columns in (["x", "y"], ["x"]):
+        with pytest.raises(ValueError, match="null"):
+            pivot(nulls, ["k"], columns, ["v"])
+    fine = pivot(nulls.where("x IS NULL"), ["k"], ["x", "y"], ["v"])
+    assert fine.columns == ["k", "null_z"] and rows(fine) == [(1, 1)]
+
+
+@pytest.mark.parametrize("kind", ["int", "double", "decimal(10,2)"])
+def test_medians_have_one_type(spark, kind):
+    df = spark.range(9).selectExpr("id % 2 AS g", f"CAST(id AS {kind}) AS v")
+    metrics = {"m": {"op": "median", "col": "v"}}
+    plain, spread = (aggregate(df, ["g"], metrics, max_group_rows=limit) for limit in (None, 0))
+    assert plain.schema["m"].dataType == spread.schema["m"].dataType and rows(plain) == rows(spread)
+
+
+def test_metrics_on_names_with_dots(spark):
+    df = spark.createDataFrame([(1, 2), (1, 4)], "k int, `a.b` int")
+    metrics = {"s": {"op": "sum", "col": "a.b"}, "n": {"op": "count", "col": "a.b"}}
+    metrics["f"] = {"op": "first", "col": "a.b", "order_by": "a.b"}
+    assert rows(aggregate(df, ["k"], metrics)) == [(1, 6, 2, 2)]
