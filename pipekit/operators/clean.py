@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F, types as T
 
 from pipekit.functions.text import TEXT_OPS, strip, title_case
 from pipekit.operators.keys import group_keys, hashable, named, require
@@ -23,34 +23,45 @@ def deduplicate(df: DataFrame, keys: Sequence[str], ts_col: str | None = None, k
     """One row per key: the one with the latest (`last`) or earliest (`first`) `ts_col`.
 
     Ties, and the whole order when there is no `ts_col`, are settled by the remaining columns.
-    A null `ts_col` loses either way. The winner is a max/min over a struct, so every map task
-    sends at most one row per key however often the key occurs.
+    A null `ts_col` loses either way. Spark cuts each map task's rows to the first of each key
+    before the shuffle, however often a key occurs.
     """
+    return _first_of_key(df, keys, ts_col, keep).filter("__n = 1").drop("__n")
+
+
+def _first_of_key(df: DataFrame, keys: Sequence[str], ts_col: str | None, keep: str) -> DataFrame:
+    """The rows with their place `__n` among those of their key."""
     if keep not in ("first", "last"):
         raise ValueError(f"keep must be 'first' or 'last', not {keep!r}")
     if not keys:
         raise ValueError("deduplicate needs at least one key column; see drop_duplicates")
     require(df, [*keys, *([ts_col] if ts_col else [])])
     types = {f.name: f.dataType for f in df.schema}
-    rest = [c for c in df.columns if c not in keys]
-    if not rest:
-        return df.dropDuplicates(list(keys))
-    ordered = ([ts_col] if ts_col in rest else []) + [c for c in rest if c != ts_col]
-    flag = F.lit(True)
+    rest = [c for c in df.columns if c not in keys and hashable(types[c])]
+    ordered = [named(c) for c in ([ts_col] if ts_col in rest else []) + [c for c in rest if c != ts_col]]
     if ts_col in rest:
-        flag = named(ts_col).isNull() if keep == "first" else named(ts_col).isNotNull()
-    if all(hashable(types[c]) for c in rest):
-        # The order carries every column, so its winner is the row as well.
-        best = F.max if keep == "last" else F.min
-        winner = best(F.struct(flag.alias("__flag"), *[named(c) for c in ordered]))
-    else:
-        best = F.max_by if keep == "last" else F.min_by
-        order = F.struct(flag, *[named(c) for c in ordered if hashable(types[c])])
-        winner = best(F.struct(*[named(c) for c in rest]), order)
-    kept = df.groupBy(*[named(k) for k in keys]).agg(winner.alias("__row"))
-    return kept.select(
-        *[named(c) if c in keys else F.col("__row").getField(c).alias(c) for c in df.columns]
+        ordered.insert(0, named(ts_col).isNull() if keep == "first" else named(ts_col).isNotNull())
+    ordered = ordered or [F.lit(1)]
+    window = Window.partitionBy(*[named(k) for k in keys]).orderBy(
+        *[c.desc() if keep == "last" else c.asc() for c in ordered]
     )
+    return df.withColumn("__n", F.row_number().over(window))
+
+
+def deduplicate_counted(
+    df: DataFrame, keys: Sequence[str], ts_col: str | None = None, keep: str = "last"
+) -> tuple[DataFrame, Callable[[], dict[str, int]]]:
+    """`deduplicate`, and a function that tells `input_rows`, `kept` and `removed` once the rows
+    have been used in an action. The rows are counted as they pass, in the same job."""
+    before, after = Observation(), Observation()
+    counted = df.observe(before, F.count(F.lit(1)).alias("n"))
+    rows = deduplicate(counted, keys, ts_col, keep).observe(after, F.count(F.lit(1)).alias("n"))
+
+    def counts() -> dict[str, int]:
+        total, kept = before.get["n"], after.get["n"]
+        return {"input_rows": total, "kept": kept, "removed": total - kept}
+
+    return rows, counts
 
 
 def drop_duplicates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -108,23 +119,20 @@ def handle_nulls(df: DataFrame, strategy: Mapping[str, Any] | None = None) -> Da
 def fill_by_type(df: DataFrame) -> DataFrame:
     """Fill numeric columns with their mean and text columns with `Unknown`.
 
-    NaN counts as missing, and other types keep their nulls. An integer column with nulls
-    becomes double, one without stays as it is (so large ids stay exact). Which is which, and
-    the means, come from one aggregate run first: one row, two numbers per numeric column.
+    NaN counts as missing, and other types keep their nulls. Integer columns become double,
+    whether or not this table has nulls in them, so that the result's types follow from the
+    schema. The means are one aggregate of one row, run together with the query.
     """
     types = {f.name: f.dataType for f in df.schema}
     numeric = [c for c, t in types.items() if isinstance(t, T.NumericType)]
     filled = {c: F.coalesce(named(c), F.lit(UNKNOWN)) for c, t in types.items() if isinstance(t, T.StringType)}
     if numeric:
         known = {c: _known(c, types[c]) for c in numeric}
-        missing = [F.count_if(known[c].isNull()).alias(f"n{i}") for i, c in enumerate(numeric)]
         means = [F.avg(known[c]).cast("double").alias(f"m{i}") for i, c in enumerate(numeric)]
-        found = df.agg(*missing, *means).first()
+        found = df.agg(F.struct(*means).alias("means")).scalar()
         for i, c in enumerate(numeric):
-            if found[f"n{i}"]:
-                target = T.DoubleType() if isinstance(types[c], T.IntegralType) else types[c]
-                mean = F.lit(found[f"m{i}"]).cast(target)
-                filled[c] = F.coalesce(known[c].cast(target), mean)
+            target = T.DoubleType() if isinstance(types[c], T.IntegralType) else types[c]
+            filled[c] = F.coalesce(known[c].cast(target), found.getField(f"m{i}").cast(target))
     return df.withColumns(filled) if filled else df
 
 

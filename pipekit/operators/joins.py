@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pipekit.operators.keys import MAX_GROUP_ROWS, largest_group, named, require
+from pipekit.operators.keys import largest_group, named, require
 
 # Accepted join kinds and Spark's name for each.
 JOIN_KINDS = {
@@ -35,19 +35,24 @@ def join_tables(
     suffixes: Sequence[str] = ("_x", "_y"),
     null_safe: bool = False,
     broadcast: str | None = None,
-    max_group_rows: int | None = MAX_GROUP_ROWS,
+    max_group_rows: int | None = None,
     reshuffle: bool = False,
+    right_unique: bool = False,
 ) -> DataFrame:
     """Join on the columns `on`, present in both tables; other shared names get `suffixes`.
 
     The result has the key columns once, then the left and the right columns. Null keys match
-    nothing unless `null_safe`. `broadcast="right"` asks to ship the right side whole; it is
-    measured first and shipped only up to `BROADCAST_ROWS` rows and `BROADCAST_BYTES` bytes.
+    nothing unless `null_safe`. `broadcast="right"` asks to ship the right side of an inner or
+    left join whole; its rows and bytes are measured first, in a job that stops at the limits
+    `BROADCAST_ROWS` and `BROADCAST_BYTES`, beyond which it is not shipped.
 
     Adaptive execution splits a hot key on either side of an inner join and on the left side
-    of a left join, but not on the other side of an outer join. There the key frequencies are
-    checked, and beyond `max_group_rows` the join runs as an inner join plus the unmatched
-    rows. `max_group_rows=None` skips the check.
+    of a left join, but not on the other side of an outer join. There `max_group_rows` asks to
+    count the key frequencies, in a job of its own; if one is larger, the join runs as an inner
+    join plus the unmatched rows, with the same result.
+
+    A semi or anti join reduces the right side to a few rows of each key before the join
+    shuffles it; `right_unique=True` says that there is only one, which saves that shuffle.
 
     A side that already lies by the join keys (an aggregate on them, a bucketed table) is joined
     where it lies, which saves a shuffle but leaves hot keys whole. `reshuffle=True` shuffles
@@ -60,15 +65,18 @@ def join_tables(
     require(left, on)
     require(right, on)
 
+    if broadcast not in (None, "right"):
+        raise ValueError(f"broadcast must be 'right' or None, not {broadcast!r}")
+    if broadcast and how not in ("inner", "left"):
+        raise ValueError(f"the right side of a {how} join cannot be broadcast here")
+
     if how in ("left_semi", "left_anti"):
-        return _matching(left, right, on, how, _null_safe if null_safe else _plain_equal)
+        return _matching(left, right, on, how, _null_safe if null_safe else _plain_equal, right_unique)
 
     equal = _null_safe if null_safe else _not_null if reshuffle else _plain_equal
     left, right = _suffixed(left, right, on, suffixes)
-    if broadcast == "right" and _is_small(right):
+    if broadcast and _is_small(right):
         right = F.broadcast(right)
-    elif broadcast not in (None, "right"):
-        raise ValueError(f"broadcast must be 'right' or None, not {broadcast!r}")
 
     if how != "inner" and max_group_rows is not None and not left.isStreaming and not right.isStreaming:
         fixed_sides = {"left": [right], "right": [left], "outer": [left, right]}[how]
@@ -77,22 +85,27 @@ def join_tables(
     return _plain(left, right, on, how, equal)
 
 
-def _matching(left: DataFrame, right: DataFrame, on: Sequence[str], how: str, equal: Equal) -> DataFrame:
+def _matching(
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str, equal: Equal, unique: bool = False
+) -> DataFrame:
     """Semi or anti join, with a hot right key reduced to a few rows before the shuffle.
 
     Not to one row: distinct keys would already lie where the join wants them, and adaptive
     execution splits a hot left key only if both sides are shuffled for the join itself.
     """
-    part = F.pmod(F.spark_partition_id(), F.lit(KEY_PARTS)).alias("__part")
-    parts = right.select(*[named(k).alias(f"__right_{k}") for k in on], part).distinct()
+    keys = right.select(*[named(k).alias(f"__right_{k}") for k in on])
+    if unique:
+        return left.join(keys, _condition(on, equal), how)
+    parts = keys.withColumn("__part", F.pmod(F.spark_partition_id(), F.lit(KEY_PARTS))).distinct()
     return left.join(parts.drop("__part"), _condition(on, equal), how)
 
 
 def _is_small(df: DataFrame) -> bool:
     """Whether the table may be shipped whole, from its number of rows and bytes."""
-    size = F.octet_length(F.to_json(F.struct("*")))
-    measured = df.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes")).first()
-    return measured.n <= BROADCAST_ROWS and (measured.bytes or 0) <= BROADCAST_BYTES
+    # Rows first, from few of them; bytes only of a table that has no more.
+    if df.select(F.lit(1)).limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return False
+    return (df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0) <= BROADCAST_BYTES
 
 
 def _suffixed(

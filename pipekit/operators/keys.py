@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pipekit.functions.types import as_text, quoted, text_literal
 
-# Rows one task may be handed for a single key before an operator splits the key.
-MAX_GROUP_ROWS = 1_000_000
+# Rows that may be gathered in one task because a caller asked for so many.
+GATHERED_ROWS = 1_000_000
 
 
 def named(name: str) -> Column:
@@ -24,6 +24,13 @@ def require(df: DataFrame, columns: Sequence[str]) -> None:
         raise ValueError(f"no such columns: {missing}; have {df.columns}")
 
 
+def first_rows(df: DataFrame, n: int) -> DataFrame:
+    """Any `n` rows, gathered in one task; more than `GATHERED_ROWS` is an error."""
+    if n > GATHERED_ROWS:
+        raise ValueError(f"{n} rows are too many for one task; take a fraction with `sample`")
+    return df.limit(n)
+
+
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     """Rows of the most frequent key (of the whole table without keys).
 

@@ -1,16 +1,20 @@
 """Sorting, ranking and top-N.
 
-A rank over few rows per group is a window. A window hands each group to one task, so beyond
-`max_group_rows` the rows are range-sorted instead and numbered from per-partition counts.
+A rank within groups is a window, which hands each group to one task. A rank of the whole table, and
+one of groups that are known or counted to be very large, is a range sort instead: each sorted
+partition numbers its own rows, and one row per partition says what comes before it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from pipekit.operators.keys import MAX_GROUP_ROWS, largest_group, match, named, require, row_hash
+from pipekit.operators.keys import first_rows, largest_group, named, require, row_hash
 from pipekit.session import saved
 
 RANK_METHODS = {"row_number": F.row_number, "rank": F.rank, "dense_rank": F.dense_rank}
@@ -71,17 +75,18 @@ def rank_rows(
     partition_by: Sequence[str] = (),
     method: str = "row_number",
     rank_col: str = "rank",
-    max_group_rows: int | None = MAX_GROUP_ROWS,
+    max_group_rows: int | None = None,
 ) -> DataFrame:
     """Add the rank of each row in its group (or in the whole table).
 
-    `method` is `row_number`, `rank` or `dense_rank`. Group sizes are counted first to choose
-    between a window and the range-sorted way; `max_group_rows=None` takes the window unseen.
+    `method` is `row_number`, `rank` or `dense_rank`. Without groups the table is range-sorted and
+    written once, when this is called. With groups, `max_group_rows` asks to count them first; if
+    one has more rows the same is done, with the same result.
     """
     if method not in RANK_METHODS:
         raise ValueError(f"method must be one of {sorted(RANK_METHODS)}, not {method!r}")
     require(df, [*partition_by, *[name for name, _ in order_columns(order_by)]])
-    if max_group_rows is None or largest_group(df, partition_by) <= max_group_rows:
+    if partition_by and (max_group_rows is None or largest_group(df, partition_by) <= max_group_rows):
         return df.withColumn(rank_col, _window_rank(df, order_by, partition_by, method))
     return _spread_rank(df, order_by, list(partition_by), method, rank_col)
 
@@ -92,47 +97,107 @@ def _window_rank(df: DataFrame, order_by: Sequence[Order], partition_by: Sequenc
     return RANK_METHODS[method]().over(window).cast("bigint")
 
 
+def _identity(columns: Sequence[str], seed: int) -> Column:
+    """A hash by which neighbours of a sort are told apart; nulls count by their place."""
+    parts = [part for c in columns for part in (named(c).isNull(), named(c))]
+    return F.xxhash64(F.lit(seed), *parts)
+
+
+# What a sorted partition (slot) knows of each of its rows: hashes of group and order key, the number
+# of the row, of its tie and of its order key within the group's part of the slot, and whether the
+# group and the tie are the first of the slot.
+LOCAL = (
+    "slot int, place long, group_one long, group_two long, tie_one long, tie_two long, "
+    "row_number long, rank long, dense_rank long, first_group boolean, first_tie boolean"
+)
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    slot, place = TaskContext.get().partitionId(), 0
+    last = None  # hashes of the row before; then where its group and tie began, and its dense rank
+    group_at = tie_at = dense = 0
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        keys = np.stack([np.asarray(batch.column(c)) for c in ("group_one", "group_two", "tie_one", "tie_two")])
+        before = np.concatenate([keys[:, :1] if last is None else last[:, None], keys[:, :-1]], axis=1)
+        new_group = (keys[:2] != before[:2]).any(axis=0)
+        new_group[0] |= last is None
+        new_tie = new_group | (keys[2:] != before[2:]).any(axis=0)
+        at = place + np.arange(n)
+        groups = np.maximum(np.maximum.accumulate(np.where(new_group, at, 0)), group_at)
+        ties = np.maximum(np.maximum.accumulate(np.where(new_tie, at, 0)), tie_at)
+        # Order keys so far, less those before the group.
+        seen = dense + np.cumsum(new_tie)
+        opened = np.maximum.accumulate(np.where(new_group, seen - 1, 0))
+        ranks = seen - opened
+        columns = {
+            "row": batch.column("row"),
+            "slot": pa.array(np.full(n, slot, np.int32)),
+            "place": pa.array(at),
+            **{c: batch.column(c) for c in ("group_one", "group_two", "tie_one", "tie_two")},
+            "row_number": pa.array(at - groups + 1),
+            "rank": pa.array(ties - groups + 1),
+            "dense_rank": pa.array(ranks),
+            "first_group": pa.array(groups == 0),
+            "first_tie": pa.array(ties == 0),
+        }
+        yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+        place, last = place + n, keys[:, -1]
+        group_at, tie_at, dense = int(groups[-1]), int(ties[-1]), int(ranks[-1])
+
+
 def _spread_rank(
     df: DataFrame, order_by: Sequence[Order], partition_by: list[str], method: str, rank_col: str
 ) -> DataFrame:
-    names = [name for name, _ in order_columns(order_by)]
-    tied = list(dict.fromkeys([*partition_by, *names]))
-    if method == "dense_rank":
-        distinct = _row_numbers(df.select(*[named(c) for c in tied]).distinct(), order_by, partition_by, rank_col)
-        return match(df, distinct, tied)
-    numbered = _row_numbers(df, order_by, partition_by, rank_col)
-    if method == "row_number":
-        return numbered
-    starts = numbered.groupBy(*[named(c) for c in tied]).agg(F.min(rank_col).alias(rank_col))
-    return match(numbered.drop(rank_col), starts, tied)
-
-
-def _row_numbers(df: DataFrame, order_by: Sequence[Order], partition_by: list[str], rank_col: str) -> DataFrame:
-    """Row numbers from a range sort by group and order.
-
-    `monotonically_increasing_id` holds the sort partition above bit 33 and the row's place in
-    it below. The sorted rows are written once, so that both reads see the same ids.
+    """Ranks from a range sort by group and order, written once and read twice.
+
+    Groups and ties lie in one piece, so a slot has to learn only about its first group and tie.
     """
+    names = [name for name, _ in order_columns(order_by)]
     groups = [named(p).asc_nulls_last() for p in partition_by]
-    ordered = _spread_sort(df, [*groups, *sort_keys(order_by)])
-    ordered = saved(ordered.withColumn("__id", F.monotonically_increasing_id()), "ordered")
-    slot = F.shiftright("__id", 33)
-    # One row per sort partition, so the offsets are small whatever the table's size.
-    sizes = ordered.groupBy(slot.alias("__slot")).agg(F.count(F.lit(1)).alias("__rows"))
-    before = Window.orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("__slot", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
-    place = F.col("__before") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
-    placed = (
-        ordered.withColumn("__slot", slot)
-        .join(F.broadcast(offsets), "__slot")
-        .withColumn(rank_col, place)
-        .drop("__slot", "__before", "__id")
+    ordered = _spread_sort(df, [*groups, *sort_keys(order_by)]).select(
+        F.struct("*").alias("row"),
+        *[_identity(partition_by, seed).alias(f"group_{word}") for seed, word in ((1, "one"), (2, "two"))],
+        *[_identity(names, seed).alias(f"tie_{word}") for seed, word in ((3, "one"), (4, "two"))],
+    )
+    schema = T.StructType([ordered.schema["row"], *T.StructType.fromDDL(LOCAL).fields])
+    local = saved(ordered.mapInArrow(_numbered, schema), "ordered")
+
+    facts = F.struct("group_one", "group_two", "tie_one", "tie_two", "row_number", "rank", "dense_rank", "first_group")
+    slots = local.groupBy("slot").agg(F.min_by(facts, "place").alias("first"), F.max_by(facts, "place").alias("last"))
+    # Each slot tells of its last group, and asks about its first one. Two rows for each slot.
+    nothing = F.lit(0).cast("long")
+    asked = slots.select("slot", F.lit(False).alias("tells"), "first.*").withColumns({"row_number": nothing, "dense_rank": nothing})
+    told = slots.select("slot", F.lit(True).alias("tells"), "last.*")
+    rows = asked.drop("rank", "first_group").unionByName(told, allowMissingColumns=True)
+    by_group = Window.partitionBy("group_one", "group_two").orderBy("slot", "tells")
+    so_far = by_group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    same_tie = (F.lag("tie_one").over(by_group) == F.col("tie_one")) & (F.lag("tie_two").over(by_group) == F.col("tie_two"))
+    goes_on = F.coalesce(same_tie, F.lit(False)) & ~F.col("tells")
+    # A tie that goes on in the next slot is one order key.
+    rows = rows.withColumn("dense_rank", F.col("dense_rank") - goes_on.cast("long")).withColumn("goes_on", goes_on)
+    rows = rows.withColumns({"rows": F.sum("row_number").over(so_far), "keys": F.sum("dense_rank").over(so_far)})
+    # Where the tie began: in the slot that tells of it first, after what came before that slot.
+    carried = F.when(F.col("first_group"), F.col("rows") - F.col("row_number")).otherwise(0)
+    rows = rows.withColumn("start", F.when(F.col("tells"), F.col("rank") + carried))
+    by_tie = Window.partitionBy("group_one", "group_two", "tie_one", "tie_two")
+    rows = rows.withColumn("start", F.min("start").over(by_tie))
+    carry = rows.where(~F.col("tells")).select(
+        "slot", "rows", "keys", F.when(F.col("goes_on"), F.col("start")).alias("start")
     )
-    if not partition_by:
-        return placed
-    starts = placed.groupBy(*[named(p) for p in partition_by]).agg(F.min(rank_col).alias("__start"))
-    ranked = match(placed, starts, partition_by)
-    return ranked.withColumn(rank_col, F.col(rank_col) - F.col("__start") + 1).drop("__start")
+
+    placed = local.join(F.broadcast(carry), "slot")
+    more = {
+        "row_number": F.col("row_number") + F.when(F.col("first_group"), F.col("rows")).otherwise(0),
+        "dense_rank": F.col("dense_rank") + F.when(F.col("first_group"), F.col("keys")).otherwise(0),
+        "rank": F.coalesce(
+            F.when(F.col("first_tie"), F.col("start")),
+            F.col("rank") + F.when(F.col("first_group"), F.col("rows")).otherwise(0),
+        ),
+    }
+    return placed.select(*[F.col("row").getField(c).alias(c) for c in df.columns], more[method].alias(rank_col))
 
 
 def top_n(
@@ -142,7 +207,7 @@ def top_n(
     partition_by: Sequence[str] = (),
     method: str = "row_number",
     rank_col: str = "rank",
-    max_group_rows: int | None = MAX_GROUP_ROWS,
+    max_group_rows: int | None = None,
 ) -> DataFrame:
     """The first `n` rows of the table, or of each group with their rank.
 
@@ -182,8 +247,8 @@ def sort_rank(
 
 
 def head(df: DataFrame, n: int) -> DataFrame:
-    """Any `n` rows, whichever are read first."""
-    return df.limit(n)
+    """Any `n` rows, whichever are read first; `GATHERED_ROWS` at most, as one task gathers them."""
+    return first_rows(df, n)
 
 
 def sample(df: DataFrame, fraction: float, seed: int = 0) -> DataFrame:

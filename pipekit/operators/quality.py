@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pipekit.functions.types import as_text, guessed_type, present, quoted, text_literal
 from pipekit.operators.clean import duplicate_counts
-from pipekit.operators.keys import column_rows, group_keys, hashable
+from pipekit.operators.keys import column_rows, first_rows, group_keys, hashable
 
 STATS = (
     "dtype",
@@ -22,8 +22,8 @@ STATS = (
     "sample_values",
 )
 
-# Where sample values come from: so many rows of each of so many tasks.
-HEAD_TASKS, HEAD_ROWS = 8, 50
+# Parts that the values of a column are dealt to by hash; each offers its least value as a sample.
+SAMPLE_PARTS = 8
 
 # Default limits for `quality_issues`.
 DEFAULT_LIMITS = {"null_percentage": 20.0, "duplicate_percentage": 0.0, "max_length": 10_000.0}
@@ -41,47 +41,68 @@ def profile_columns(
     Empty text counts as null, and nested values are profiled as JSON text. Lengths are for
     text only. `unique_count` is approximate unless `exact_distinct`, which shuffles the values
     of every column. `sample` profiles any so many rows instead of all. `sample_values` are up
-    to so many different values from the head of the table, sorted.
+    to so many different values of the whole column, sorted; there is one if there is any value.
     """
     unknown = [s for s in stats if s not in STATS]
     if unknown:
         raise ValueError(f"unknown stats {unknown}; known: {list(STATS)}")
-    source = df if sample is None else df.limit(sample)
+    source = df if sample is None else first_rows(df, sample)
     facts = []
     for field in df.schema:
         known = _stats(field, exact_distinct, sample_values)
         facts.append({name: known[name] for name in stats})
-    if "sample_values" in stats:
-        source = source.withColumn("__head", _is_head())
     return column_rows(source, df.schema.fields, facts)
 
 
-def _is_head() -> Column:
-    """True for the first rows of the first tasks: a fixed number, wherever the table is read."""
-    number = F.monotonically_increasing_id()
-    return (F.shiftright(number, 33) < HEAD_TASKS) & (number.bitwiseAND(F.lit((1 << 33) - 1)) < HEAD_ROWS)
-
-
-def _stats(field: T.StructField, exact_distinct: bool, sample_values: int) -> dict[str, str]:
+def _stats(field: T.StructField, exact_distinct: bool, sample_values: int, copies: str | None = None) -> dict[str, str]:
+    """Aggregates by name; `copies` is a column that says how often a row counts."""
     name, dtype = field.name, field.dataType
     there, text = present(name, dtype), as_text(name, dtype)
     value = quoted(name) if hashable(dtype) else text
     is_text = isinstance(dtype, T.StringType)
-    lengths = f"(length({text})) FILTER (WHERE {there})" if is_text else "(CAST(NULL AS INT))"
+    longest = f"max(length({text})) FILTER (WHERE {there})" if is_text else "CAST(NULL AS INT)"
+    rows, some = "count(1)", f"count_if({there})"
+    average = f"avg(length({text})) FILTER (WHERE {there})" if is_text else "CAST(NULL AS DOUBLE)"
+    if copies:
+        rows, some = f"coalesce(sum({copies}), 0L)", f"coalesce(sum({copies}) FILTER (WHERE {there}), 0L)"
+        if is_text:
+            average = f"try_divide(sum({copies} * length({text})) FILTER (WHERE {there}), {some})"
     distinct = "count(DISTINCT {})" if exact_distinct else "approx_count_distinct({})"
+    part = f"pmod(xxhash64({text}), {SAMPLE_PARTS})"
+    samples = ", ".join(f"min({text}) FILTER (WHERE {there} AND {part} = {i})" for i in range(SAMPLE_PARTS))
     return {
         "dtype": text_literal(dtype.simpleString()),
         "guessed_type": guessed_type(name, dtype),
-        "row_count": "count(1)",
-        "null_count": f"count_if(NOT {there})",
-        "null_percentage": f"coalesce(round(100 * try_divide(count_if(NOT {there}), count(1)), 2), 0D)",
+        "row_count": rows,
+        "null_count": f"({rows} - {some})",
+        "null_percentage": f"coalesce(round(100 * try_divide({rows} - {some}, {rows}), 2), 0D)",
         "unique_count": distinct.format(f"CASE WHEN {there} THEN {value} END"),
-        "max_length": f"max{lengths}",
-        "avg_length": f"avg{lengths}",
-        "sample_values": f"slice(array_sort(collect_set({text}) FILTER (WHERE __head AND {there})), 1, {sample_values})",
+        "max_length": longest,
+        "avg_length": average,
+        "sample_values": f"slice(array_sort(array_compact(array({samples}))), 1, {sample_values})",
     }
 
 
+def profile_table(df: DataFrame, sample: int | None = None, stats: Sequence[str] = STATS) -> DataFrame:
+    """One row: the facts of `profile_dataset`, and `columns`, an array with those of
+    `profile_columns`, from one pass.
+
+    Copies of a row are counted together, and everything else is taken from the distinct rows.
+    """
+    source = df if sample is None else first_rows(df, sample)
+    distinct = source.groupBy(*group_keys(source, source.columns)).agg(F.count(F.lit(1)).alias("__copies"))
+    structs = []
+    for i, field in enumerate(df.schema):
+        known = _stats(field, False, 5, "__copies")
+        if not hashable(field.dataType):  # it is JSON text now
+            known = _stats(T.StructField(field.name, T.StringType()), False, 5, "__copies")
+            known |= {"dtype": text_literal(field.dataType.simpleString()), "guessed_type": "'string'"}
+            known |= {"max_length": "CAST(NULL AS INT)", "avg_length": "CAST(NULL AS DOUBLE)"}
+        facts = {"column": text_literal(field.name), "ordinal": str(i)} | {name: known[name] for name in stats}
+        structs.append(F.expr("struct(" + ", ".join(f"{sql} AS {quoted(n)}" for n, sql in facts.items()) + ")"))
+    return _dataset_facts(distinct, df.schema, [F.array(*structs).alias("columns")])
+
+
 def profile_dataset(df: DataFrame, sample: int | None = None) -> DataFrame:
     """One row: `row_count, column_count, total_nulls, duplicate_rows, completeness_score,
     quality_score, null_counts`.
@@ -90,17 +111,22 @@ def profile_dataset(df: DataFrame, sample: int | None = None) -> DataFrame:
     the same number. Copies of a row are counted together before the shuffle, and the nulls
     are summed over the distinct rows, so one pass gives both.
     """
-    source = df if sample is None else df.limit(sample)
-    width = len(df.columns)
+    source = df if sample is None else first_rows(df, sample)
     distinct = source.groupBy(*group_keys(source, source.columns)).agg(F.count(F.lit(1)).alias("__copies"))
+    return _dataset_facts(distinct, df.schema, [])
+
+
+def _dataset_facts(distinct: DataFrame, schema: T.StructType, more: Sequence[Column]) -> DataFrame:
+    width, extra = len(schema), [F.col("columns")] * bool(more)
     rows = F.coalesce(F.sum("__copies"), F.lit(0))
     nulls = [
-        F.expr(f"coalesce(sum(__copies) FILTER (WHERE NOT {present(f.name, f.dataType)}), 0)") for f in df.schema
+        F.expr(f"coalesce(sum(__copies) FILTER (WHERE NOT {present(f.name, f.dataType)}), 0)") for f in schema
     ]
     facts = distinct.agg(
         rows.alias("row_count"),
         (rows - F.count(F.lit(1))).alias("duplicate_rows"),
         F.array(*nulls).alias("nulls"),
+        *more,
     ).withColumn("total_nulls", F.aggregate("nulls", F.lit(0).cast("bigint"), lambda total, n: total + n))
     cells = F.col("row_count") * width
     score = F.when(cells == 0, F.lit(100.0)).otherwise(100 * (1 - F.col("total_nulls") / cells))
@@ -111,7 +137,8 @@ def profile_dataset(df: DataFrame, sample: int | None = None) -> DataFrame:
         "duplicate_rows",
         score.alias("completeness_score"),
         score.alias("quality_score"),
-        F.map_from_arrays(F.array(*[F.lit(c) for c in df.columns]), "nulls").alias("null_counts"),
+        F.map_from_arrays(F.array(*[F.lit(c) for c in schema.names]), "nulls").alias("null_counts"),
+        *extra,
     )
 
 

@@ -139,7 +139,8 @@ def nulls_fill_any(table: Tables) -> DataFrame:
     "nulls_fill_by_type",
     f"""
     WITH e AS ({EVENTS_WITH_NULLS})
-    SELECT event_id, ts, grp, coalesce(event_type, 'Unknown') AS event_type,
+    SELECT CAST(event_id AS DOUBLE) AS event_id, ts, CAST(grp AS DOUBLE) AS grp,
+           coalesce(event_type, 'Unknown') AS event_type,
            round(coalesce(value, (SELECT avg(value) FROM e)), 6) AS value
     FROM e
     """,
