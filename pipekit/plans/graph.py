@@ -14,7 +14,7 @@ from pipekit.sources import database, files
 
 Params = Mapping[str, Any]
 
-# Node parameters whose function argument has another name.
+# Node parameters whose function argument has another name.
 RENAMED = {"format": "fmt", "infer_schema": "infer", "sql_params": "params", "top_n": "top_n_rows"}
 INPUTS = ("from", "left", "right")
 
@@ -28,8 +28,14 @@ def _aggregate(spark: SparkSession, df: DataFrame | None, engine: str | None = N
 def _profile(
     spark: SparkSession, df: DataFrame | None, engine: str | None = None, table: str | None = None, **params: Any
 ) -> DataFrame:
+    """Rows per column; with `path`, the whole profile is written there as JSON and is the result."""
     source = {k: params.pop(k) for k in ("url", "options") if k in params}
-    return quality.profile_columns(database.read_table(spark, engine, table, **source) if engine else df, **params)
+    path = params.pop("path", None)
+    df = database.read_table(spark, engine, table, **source) if engine else df
+    if path is None:
+        return quality.profile_columns(df, **params)
+    quality.profile_table(df, **params).write.mode("overwrite").json(path)
+    return spark.read.json(path)
 
 
 def _infer(spark: SparkSession, df: DataFrame | None, source_ref: str | None = None, **params: Any) -> DataFrame:
@@ -37,11 +43,20 @@ def _infer(spark: SparkSession, df: DataFrame | None, source_ref: str | None = N
 
 
 def _audit(spark: SparkSession, df: DataFrame | None, **params: Any) -> DataFrame | None:
+    """Log an event; after a sink, with the number of `rows` it wrote."""
+    if df is not None and df.columns == ["rows_written"]:
+        written = df.first().rows_written
+        params["metrics"] = {**({} if written is None else {"rows": written}), **(params.get("metrics") or {})}
     audit.log_event(spark, **params)
     return df
 
 
-# What each node type calls, given the session and its input table.
+def _written(spark: SparkSession, rows: int | None) -> DataFrame:
+    """What a sink node gives to later ones: the number of rows it wrote."""
+    return spark.createDataFrame([(rows,)], "rows_written bigint")
+
+
+# Node types. What each calls, given the session and its input table.
 NODES: dict[str, Callable[..., DataFrame | None]] = {
     "Source.FileRead": lambda spark, df, **p: files.read_files(spark, **p),
     "Source.CloudStorage": lambda spark, df, **p: files.bulk_import(spark, **p),
@@ -58,9 +73,9 @@ NODES: dict[str, Callable[..., DataFrame | None]] = {
     "Transform.SortRank": lambda spark, df, **p: ordering.sort_rank(df, **p),
     "Transform.Filter": lambda spark, df, **p: clean.filter_rows(df, **p),
     "DQ.Profile": _profile,
-    "Sink.DBWrite": lambda spark, df, **p: database_sink.write_table(df, **p),
-    "Sink.DataLake": lambda spark, df, **p: file_sink.write_datalake(df, **p),
-    "Sink.Files": lambda spark, df, **p: file_sink.export_files(df, **p),
+    "Sink.DBWrite": lambda spark, df, **p: _written(spark, database_sink.write_table(df, **p)),
+    "Sink.DataLake": lambda spark, df, **p: _written(spark, file_sink.write_datalake(df, **p)),
+    "Sink.Files": lambda spark, df, **p: _written(spark, file_sink.export_files(df, **p)),
     "Orch.Partitioning": lambda spark, df, **p: partitions.make_partitions(spark, **p),
     "Orch.Trigger": lambda spark, df, **p: df,
     "Audit.Log": _audit,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pipekit.functions.times import local_clock, truncated
 from pipekit.operators.keys import named
@@ -13,6 +13,8 @@ from pipekit.operators.keys import named
 UNITS = {"d": "day", "h": "hour"}
 DATE_TOKENS = {"YYYY": "yyyy", "MM": "MM", "DD": "dd", "HH": "HH", "mm": "mm", "ss": "ss"}
 
+BLOCK = 1000  # steps that one row is exploded into
+
 
 def _step(every: str) -> tuple[int, str]:
     found = re.fullmatch(r"(\d+)([dh])", every)
@@ -25,12 +27,32 @@ def _pattern(fmt: str) -> str:
     return re.sub("|".join(DATE_TOKENS), lambda token: DATE_TOKENS[token.group(0)], fmt)
 
 
+def _starts(bounds: DataFrame, every: str) -> DataFrame:
+    """Rows `starts_at` from `first` to `last` of the one row `bounds`.
+
+    The steps come out of two short sequences, not out of one long array.
+    """
+    number, unit = _step(every)
+    # Whole units from first to last: the last one counts only if its clock has come as far.
+    units = F.date_diff(F.to_date("last"), F.to_date("first"))
+    clock = "HHmmssSSSSSS"
+    if unit == "hour":
+        units, clock = units * 24 + F.hour("last") - F.hour("first"), "mmssSSSSSS"
+    units = units - (F.date_format("last", clock) < F.date_format("first", clock)).cast("int")
+    # Not below zero even where the filter comes later: a sequence must not run backwards.
+    steps = F.greatest(F.floor(units / number), F.lit(0).cast("long"))
+    steps = bounds.where("first <= last").select("first", steps.alias("steps"))
+    blocks = steps.select("first", "steps", F.explode(F.sequence(F.lit(0).cast("long"), "steps", F.lit(BLOCK).cast("long"))).alias("block"))
+    last = F.least(F.col("block") + BLOCK - 1, F.col("steps"))
+    each = blocks.select("first", F.explode(F.sequence("block", last)).alias("step"))
+    past = (F.col("step") * number).cast("int")
+    interval = F.make_dt_interval(hours=past) if unit == "hour" else F.make_dt_interval(days=past)
+    return each.select((F.col("first") + interval).alias("starts_at"))
+
+
 def _grid(bounds: DataFrame, every: str, fmt: str) -> DataFrame:
     """Rows `(partition, starts_at)` from `first` to `last` of the one row `bounds`."""
-    number, unit = _step(every)
-    starts = F.sequence("first", "last", F.expr(f"interval {number} {unit}"))
-    grid = bounds.select(F.explode(F.when(F.col("first") <= F.col("last"), starts)).alias("starts_at"))
-    return grid.select(F.date_format("starts_at", _pattern(fmt)).alias("partition"), "starts_at")
+    return _starts(bounds, every).select(F.date_format("starts_at", _pattern(fmt)).alias("partition"), "starts_at")
 
 
 def make_partitions(
@@ -68,25 +90,18 @@ def partition_counts(
 ) -> DataFrame:
     """Rows `(partition, starts_at, rows)`: `partition_grid` with the table's rows per partition.
 
-    Rows are counted per hour or day before the shuffle. What follows handles one row per hour
-    or day with data: those are put into steps, and each step fills the gap up to the next one.
+    Rows are counted per hour or day before the shuffle, and the steps are matched with the grid.
     """
     number, unit = _step(every)
-    clock = _clock(df, ts_col, unit, tz).alias("at")
-    counts = df.groupBy(clock).agg(F.count(F.lit(1)).alias("n")).filter("at is not null")
-
-    first = F.min("at").over(Window.partitionBy())
+    clock = _clock(df, ts_col, unit, tz)
+    counts = df.groupBy(clock.alias("at")).agg(F.count(F.lit(1)).alias("n")).filter("at is not null")
+    bounds = counts.agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    first = counts.agg(F.min("at")).scalar()
     units = F.date_diff(F.to_date("at"), F.to_date(first))
     if unit == "hour":
         units = units * 24 + F.hour("at") - F.hour(first)
     past = (F.floor(units / number) * number).cast("int")
     starts = first + (F.make_dt_interval(hours=past) if unit == "hour" else F.make_dt_interval(days=past))
-    steps = counts.select(starts.alias("from"), "n").groupBy("from").agg(F.sum("n").alias("n"))
-
-    step = F.expr(f"interval {number} {unit}")
-    last_empty = F.lead("from").over(Window.orderBy("from")) - step
-    filled = steps.withColumn("upto", F.coalesce(last_empty, "from")).select(
-        "from", "n", F.explode(F.sequence("from", "upto", step)).alias("starts_at")
-    )
-    rows = F.when(F.col("starts_at") == F.col("from"), F.col("n")).otherwise(0)
-    return filled.select(F.date_format("starts_at", _pattern(fmt)).alias("partition"), "starts_at", rows.alias("rows"))
+    steps = counts.select(starts.alias("starts_at"), "n").groupBy("starts_at").agg(F.sum("n").alias("n"))
+    rows = F.coalesce("n", F.lit(0).cast("long")).alias("rows")
+    return _grid(bounds, every, fmt).join(steps, "starts_at", "left").select("partition", "starts_at", rows)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,9 +24,6 @@ SETTINGS = {
 
 MEGABYTE = 1024 * 1024
 
-_local_scratch: dict[str, str] = {}
-
-
 def session(name: str = "pipekit", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the library's settings; `conf` entries win over them."""
     builder = SparkSession.builder.appName(name)
@@ -62,21 +60,30 @@ def tune(spark: SparkSession) -> SparkSession:
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by `spark.checkpoint.dir`.
 
-    A local session without the setting gets a fresh temporary folder; a cluster without it
-    is an error, because a machine-local folder is lost with its executor.
+    Only a session on one machine (`local`) without the setting gets one, a temporary folder of
+    its own that is then its setting. On a cluster a missing setting is an error, because a
+    machine-local folder is lost with its executor.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return _local_scratch.setdefault(context.applicationId, tempfile.mkdtemp(prefix="pipekit-"))
+    if not configured:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        configured = Path(tempfile.mkdtemp(prefix="pipekit-")).as_uri()
+        spark.conf.set("spark.checkpoint.dir", configured)
+    return configured.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that nothing has used yet."""
-    return f"{scratch_dir(spark)}/pipekit-{label}-{uuid.uuid4().hex}"
+    return f"{scratch_dir(spark)}/pipekit-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def remove_scratch(spark: SparkSession) -> bool:
+    """Delete what this application wrote to the shared folder; call it when nothing reads it."""
+    jvm, hadoop = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/pipekit-{spark.sparkContext.applicationId}")
+    return folder.getFileSystem(hadoop).delete(folder, True)
 
 
 def saved(df: DataFrame, label: str = "table") -> DataFrame:

@@ -22,9 +22,11 @@ def write_table(
     connections: int = 16,
     options: Mapping[str, str] | None = None,
     seen: Observation | None = None,
-) -> None:
+) -> int:
     """Append to a database table, or replace its rows (`overwrite` keeps the table's definition).
 
+    Returns the number of rows written.
+
     At most `connections` tasks write at once. Each task commits on its own, so a task that is
     lost after its commit and run again writes its rows twice: load into an empty staging table
     and check the count (`write_checked`) where that matters. `seen` gets the number of `rows`.
@@ -39,4 +41,8 @@ def write_table(
     }
     if mode == "overwrite":
         settings["truncate"] = "true"
-    counted(df, seen).write.format("jdbc").options(**settings).mode(mode).save()
+    seen = seen or Observation()
+    # Spark would run the whole last stage in so few tasks; a shuffle leaves what comes before alone.
+    spread = df.repartition(connections)
+    counted(spread, seen).write.format("jdbc").options(**settings).mode(mode).save()
+    return seen.get["rows"]

