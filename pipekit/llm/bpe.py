@@ -31,6 +31,7 @@ from pipekit.llm.arrays import chosen, extended, resident, sized_batches
 
 MAX_STATES, MAX_PIECES = 150_000, 400_000
 NO_TOKEN, GUESSES, END = -1, -1, -2
+LONG = 4 * 1024 * 1024  # characters
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -278,12 +279,20 @@ class Decoder:
 def _encoder(path: str, pattern: str):
     """A function from Arrow text columns to columns of ids."""
     pieces = resident(f"pieces {path}", lambda: Pieces(Transducer(load_ranks(path))))
-    cut = regex.compile(pattern).findall
+    compiled = regex.compile(pattern)
+
+    def of(text: str) -> bytes:
+        if len(text) < LONG:
+            return b"".join(map(pieces.__getitem__, compiled.findall(text)))
+        out = bytearray()  # never all pieces of a long text at once
+        for piece in compiled.finditer(text):
+            out += pieces[piece[0]]
+        return bytes(out)
 
     def encode(column: pa.Array) -> pa.Array:
         gc.disable()  # or it looks through all states again and again
         try:
-            ids = [b"".join(map(pieces.__getitem__, cut(text or ""))) for text in column.to_pylist()]
+            ids = [of(text or "") for text in column.to_pylist()]
         finally:
             gc.enable()
         offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)

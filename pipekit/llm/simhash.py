@@ -15,6 +15,7 @@ and passed through by `keep_one`.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -27,26 +28,42 @@ from pipekit.llm.arrays import chosen, extended, sized_batches, texts
 from pipekit.session import saved
 
 SHINGLE, SEED, BITS = 3, 42, 2
+LONG = 4 * 1024 * 1024  # bytes of a text whose words are held at once
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
 LEFT_OUT = list(combinations(range(8), 2))  # byte positions, 0 the lowest
 COMPARED = 128  # longer lists are searched by flips
 FLIPS = np.array([(1 << i) ^ (1 << j) if i != j else 1 << i for i in range(16) for j in range(i, 16)], np.int64)
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
+def _shingle_hashes(text: bytes) -> Iterator[np.ndarray]:
+    """The hashes of a text's shingles, about LONG bytes of it at a time."""
+    held: list[bytes] = []  # the last words, which begin shingles that go on
+    start = seen = 0
+    while start < len(text):
+        found = SPACE.search(text, start + LONG) if len(text) - start > LONG else None
+        stop = found.start() if found else len(text)
+        words = held + text[start:stop].split()
+        start, joined = stop, b" ".join(words)
+        last, n = start == len(text), len(words)
+        if n >= SHINGLE:
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
+            spans = zip(np.concatenate([[0], ends[:-1]]).tolist(), (ends[SHINGLE - 1 :] - 1).tolist())
+            yield np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans], np.uint64)
+            seen, held = 1, words[n - SHINGLE + 1 :]
+        else:
+            held = words
+        if last and n and not seen:
+            yield np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+
+
 def fingerprints(column: pa.Array) -> np.ndarray:
     """The fingerprint of each text, as signed 64-bit numbers."""
-    hashes, counts = [], []
-    for text in texts(column):
-        words = text.lower().split()
-        joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = np.concatenate([[0], ends[:-1]]).tolist()
-        stops = (ends[SHINGLE - 1 :] - 1).tolist() if len(words) >= SHINGLE else [len(joined)] * bool(words)
-        counts.append(len(stops))
-        hashes += [xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, stops)]
-    n, counts = len(counts), np.array(counts, np.int64)
+    parts = [list(_shingle_hashes(text.lower())) for text in texts(column)]
+    n, counts = len(parts), np.array([sum(map(len, own)) for own in parts], np.int64)
     rows = np.repeat(np.arange(n) * 256, counts)
-    values = np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8)
+    values = np.concatenate([np.zeros(0, ">u8"), *[p for own in parts for p in own]]).astype(">u8")
+    values = values.view(np.uint8).reshape(-1, 8)
     bits = np.zeros((n, 64), bool)
     for byte in range(8):
         tally = np.bincount(rows + values[:, byte], minlength=n * 256).reshape(n, 256)

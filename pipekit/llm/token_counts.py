@@ -28,6 +28,8 @@ from pipekit.llm.arrays import chosen, extended, flat, resident, sized_batches
 MARK = "▁"  # what the library makes of a space
 NEVER = np.int32(2**31 - 1)
 MAX_KNOWN = 400_000  # counts of pre-tokens that are remembered
+LONG = 4 * 1024 * 1024  # characters that are cut into pre-tokens at once
+WORD_START = re.compile(f"(?<=[^{MARK}]){MARK}")
 RUNS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -142,14 +144,24 @@ class Counter:
 
     def counts(self, texts: list[str | None]) -> np.ndarray:
         normal = self.model.library.normalize
-        cut: list[list[str]] = []
         out = np.zeros(len(texts), np.int64)
+        part: list[list[str]] = []  # pre-tokens, and whose they are
+        of: list[int] = []
         for i, text in enumerate(texts):
-            words = normal(text).split(MARK) if text else [""]
-            if words[0]:  # no mark before the first word
-                out[i] = self.model.counts(words[:1])[0]
-            # Elsewhere a word stands for itself and its mark; several marks in a row are kept.
-            cut.append(RUNS.findall(MARK + MARK.join(words[1:])) if "" in words[1:] else words[1:])
+            for piece in _pieces(normal(text)) if text else ():
+                words = piece.split(MARK)
+                if words[0]:  # no mark before the first word
+                    out[i] += self.model.counts(words[:1])[0]
+                # Elsewhere a word stands for itself and its mark; several marks in a row are kept.
+                part.append(RUNS.findall(MARK + MARK.join(words[1:])) if "" in words[1:] else words[1:])
+                of.append(i)
+                if len(piece) >= LONG:
+                    self._add(out, part, of)
+                    part, of = [], []
+        self._add(out, part, of)
+        return out
+
+    def _add(self, out: np.ndarray, cut: list[list[str]], of: list[int]) -> None:
         new = list(set().union(*cut) - self.known.keys())
         if len(self.known) + len(new) > MAX_KNOWN:
             self.known.clear()
@@ -158,7 +170,16 @@ class Counter:
             marked = [w if w.startswith(MARK) else MARK + w for w in new]
             self.known.update(zip(new, self.model.counts(marked).tolist()))
         known = self.known.__getitem__
-        return out + np.fromiter((sum(map(known, words)) for words in cut), np.int64, len(cut))
+        np.add.at(out, of, np.fromiter((sum(map(known, words)) for words in cut), np.int64, len(cut)))
+
+
+def _pieces(text: str) -> Iterator[str]:
+    """A normalised text in pieces of about LONG characters, cut before a word's first mark."""
+    start = 0
+    while len(text) - start > LONG and (found := WORD_START.search(text, start + LONG)):
+        yield text[start : found.start()]
+        start = found.start()
+    yield text[start:]
 
 
 def token_counts(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -31,6 +31,7 @@ def random_texts():
 
 @pytest.mark.parametrize("limit", [150_000, 50])
 def test_encode(library, monkeypatch, limit):
+    monkeypatch.setattr(bpe, "LONG", limit)
     monkeypatch.setattr(bpe, "MAX_STATES", limit)
     monkeypatch.setattr(bpe, "MAX_PIECES", limit)
     texts = [t or "" for t in samples.documents()] + list(random_texts()) + ["x" * 20_000 + "ab" * 9_000]

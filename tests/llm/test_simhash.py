@@ -36,7 +36,9 @@ def grouped(prints):
     return [find(i) for i in range(len(prints))]
 
 
-def test_fingerprints():
+@pytest.mark.parametrize("long", [simhash.LONG, 7])
+def test_fingerprints(monkeypatch, long):
+    monkeypatch.setattr(simhash, "LONG", long)
     texts = samples.documents()
     found = simhash.fingerprints(pa.array(texts)).view(np.uint64).tolist()
     assert found == [expected(t) for t in texts]

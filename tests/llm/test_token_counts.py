@@ -39,6 +39,8 @@ def test_counts(library, counter, monkeypatch):
     texts += ["x" * 30_000 + " " + "qwertzuiopasdfgh" * 2000, " " * 5000]
     want = [len(ids) for ids in library.encode(texts)]
     assert counter.counts(texts).tolist() == want
+    monkeypatch.setattr(token_counts, "LONG", 20)
+    assert counter.counts(texts).tolist() == want
     monkeypatch.setattr(token_counts, "MAX_KNOWN", 10)
     assert np.concatenate([counter.counts([t]) for t in texts[:50]]).tolist() == want[:50]
 
