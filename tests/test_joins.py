@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import final_plan, rows
+from conftest import final_plan, plan, rows
 from pipekit.operators.joins import join_tables
 from pipekit.operators.keys import largest_group
 from pipekit.operators.ordering import rank_rows
@@ -158,3 +158,29 @@ def test_a_hot_key_on_the_fixed_side_of_an_outer_join_is_split(skewed):
     split = join_tables(names, facts, ["k"], "left", max_group_rows=10_000)
     assert "skew=true" not in final_plan(whole) and "skew=true" in final_plan(split)
     assert rows(whole) == rows(split)
+
+
+@pytest.mark.parametrize("how", ["left_semi", "left_anti"])
+def test_a_unique_right_side_is_shuffled_once(skewed, how):
+    facts, names = skewed
+    names = names.withColumn("k", F.col("k") + 0)  # Spark knows how a range lies
+    plain, unique = (plan(join_tables(facts, names, ["k"], how, right_unique=u)).count("Exchange ") for u in (False, True))
+    assert (plain, unique) == (3, 2)
+    assert join_tables(facts, names, ["k"], how, right_unique=True).count() == facts.join(names, "k", how).count()
+
+
+def test_broadcasts_are_checked_first(left_t, right_t):
+    for how, side in (("left_semi", "right"), ("outer", "right"), ("right", "right"), ("left_anti", "left"), ("inner", "left")):
+        with pytest.raises(ValueError, match="broadcast"):
+            join_tables(left_t, right_t, ["k"], how, broadcast=side)
+
+
+def test_planning_runs_no_job(spark, skewed):
+    facts, names = skewed
+    spark.sparkContext.setJobGroup("planning", "")
+    joined = facts
+    for how in ("left", "left", "right", "outer", "left_semi"):
+        joined = join_tables(joined, names.select("k"), ["k"], how)
+    rank_rows(joined, ["v"], ["k"])
+    spark.sparkContext.setJobGroup("after", "")
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("planning")) == []

@@ -188,3 +188,24 @@ def test_scratch_is_removed_on_request(spark, people):
     people.write.parquet(path)
     assert sessions.remove_scratch(spark) and not folder.exists() and not sessions.remove_scratch(spark)
     kept.rename(folder)
+
+
+def test_sinks_and_profiles_in_a_graph(spark, people, tmp_path):
+    nodes = [
+        {"id": "lake", "op": "Sink.DataLake", "params": {"from": "people", "path": f"{tmp_path}/lake"}},
+        {"id": "log", "op": "Audit.Log", "params": {"from": "lake", "path": f"{tmp_path}/audit", "event": "load"}},
+        {"id": "columns", "op": "DQ.Profile", "params": {"from": "people"}},
+        {"id": "report", "op": "DQ.Profile", "params": {"from": "people", "path": f"{tmp_path}/report"}},
+    ]
+    done = run_graph(spark, nodes, people=people)
+    assert audit.read_events(spark, f"{tmp_path}/audit").first().metrics == {"rows": 6}
+    assert done["columns"].count() == 6
+    report = done["report"].first()
+    assert (report.row_count, report.duplicate_rows, len(report.columns)) == (6, 1, 6)
+
+
+def test_grids_of_many_steps(spark):
+    """Two times far apart are no single array."""
+    df = times(spark, "1900-01-01 00:30:00", "2100-01-01 00:00:00")
+    assert partition_grid(df, "ts", "1h").count() == (dt.date(2100, 1, 1) - dt.date(1900, 1, 1)).days * 24 + 1
+    assert names(make_partitions(spark, "2025-01-01 05:00:00", "2025-01-03 04:59:59")) == ["2025-01-01", "2025-01-02"]

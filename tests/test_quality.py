@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import final_plan, plan
+from conftest import final_plan, plan, rows
+from pipekit.operators import quality
 from pipekit.operators.quality import profile_columns, profile_dataset, quality_issues
 
 
@@ -98,3 +99,20 @@ def test_issues(people):
         ("source", "constant", 1.0),
     }
     assert len(found) == 6
+
+
+def test_one_pass_gives_columns_and_table(spark, people):
+    """The whole profile is what the two profiles say apart, also with copies, nulls and maps."""
+    for df in (people, people.limit(0), people.withColumn("m", F.expr("map('k', age)")).drop("salary")):
+        both = quality.profile_table(df)
+        stats = ["dtype", "guessed_type", "row_count", "null_count", "null_percentage", "unique_count", "max_length"]
+        stats += ["avg_length", "sample_values"]
+        assert rows(both.select(F.inline("columns")), *stats) == rows(profile_columns(df), *stats)
+        assert both.drop("columns").collect() == quality.profile_dataset(df).collect()
+
+
+def test_samples_come_from_all_rows(spark):
+    late = spark.range(0, 10_000, 1, 16).selectExpr("if(id < 9990, NULL, id) AS v")
+    found = profile_columns(late, stats=["unique_count", "sample_values"], sample_values=20).first()
+    assert found.unique_count == 10 and 1 <= len(found.sample_values) <= 8
+    assert set(found.sample_values) <= {str(i) for i in range(9990, 10_000)}
