@@ -203,9 +203,11 @@ def with_revisits(df: DataFrame, key: str, payload: str, url: str, least: int =
     """`key`, `url`, `payload` (binary) and `refers_to`, the key of the response of a revisit."""
     rows = chosen(df, key=key, url=url, payload=payload)
     rows = rows.withColumn("payload", F.coalesce(F.col("payload").cast("binary"), F.lit(b"")))
-    # Only payloads that may be revisited have a hash; null matches nothing.
-    rows = rows.withColumn("same", F.when(F.octet_length("payload") >= least, F.sha2("payload", 256)))
-    first = rows.where("same IS NOT NULL").groupBy("same").agg(F.max("key").alias("first"), F.count(F.lit(1)).alias("n"))
+    # A payload that may be revisited goes by its hash; the others are spread and meet nothing.
+    long = F.octet_length("payload") >= least
+    alone = F.concat(F.lit("-"), F.xxhash64("key", "payload").cast("string"))
+    rows = rows.withColumn("same", F.when(long, F.sha2("payload", 256)).otherwise(alone))
+    first = rows.where(long).groupBy("same").agg(F.max("key").alias("first"), F.count(F.lit(1)).alias("n"))
     rows = rows.join(first.where("n > 1").select("same", "first"), "same", "left")
     other = F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first"))
     return rows.select("key", "url", "payload", F.when(other, F.col("first")).alias("refers_to"))
