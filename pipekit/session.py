@@ -24,6 +24,9 @@ SETTINGS = {
 
 MEGABYTE = 1024 * 1024
 
+# Folders of sessions on one machine that name none, by application.
+_own_folders: dict[str, str] = {}
+
 def session(name: str = "pipekit", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the library's settings; `conf` entries win over them."""
     builder = SparkSession.builder.appName(name)
@@ -61,16 +64,17 @@ def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by `spark.checkpoint.dir`.
 
     Only a session on one machine (`local`) without the setting gets one, a temporary folder of
-    its own that is then its setting. On a cluster a missing setting is an error, because a
-    machine-local folder is lost with its executor.
+    its own. On a cluster a missing setting is an error, because a machine-local folder is lost
+    with its executor.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
+        context = spark.sparkContext
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        configured = Path(tempfile.mkdtemp(prefix="pipekit-")).as_uri()
-        spark.conf.set("spark.checkpoint.dir", configured)
+        if context.applicationId not in _own_folders:
+            _own_folders[context.applicationId] = Path(tempfile.mkdtemp(prefix="pipekit-")).as_uri()
+        configured = _own_folders[context.applicationId]
     return configured.rstrip("/")
 
 

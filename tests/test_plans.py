@@ -174,10 +174,9 @@ def test_scratch_folder(spark, monkeypatch):
         Other.sparkContext.master = cluster
         with pytest.raises(ValueError, match="checkpoint"):
             sessions.scratch_dir(Other)
-    settings = {}
-    Other.conf.get, Other.conf.set = staticmethod(lambda key, default: settings.get(key)), staticmethod(settings.__setitem__)
     Other.sparkContext.master = "local[2]"
-    assert sessions.scratch_dir(Other) == sessions.scratch_dir(Other) == settings["spark.checkpoint.dir"]
+    monkeypatch.setattr(sessions, "_own_folders", {})
+    assert sessions.scratch_dir(Other) == sessions.scratch_dir(Other) == sessions._own_folders["app"]
 
 
 def test_scratch_is_removed_on_request(spark, people):
