@@ -9,7 +9,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 from pipekit.operators.keys import named
 
@@ -68,6 +68,13 @@ def covered(starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
     return np.cumsum(steps[:size]) > 0
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """`path` as a URI with the scheme that Spark takes it to have, for files that tasks write."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(found).toUri().toString()
+    return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and "://" not in whole else whole
+
+
 def resident(name: str, make: Callable[[], Any]) -> Any:
     """What `make` returns, kept for later tasks of the same Python worker.
 

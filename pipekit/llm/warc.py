@@ -30,7 +30,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from pipekit.llm.arrays import chosen
+from pipekit.llm.arrays import chosen, qualified
 from pipekit.session import saved
 
 # Fixed values of the format.
@@ -215,6 +215,7 @@ def with_revisits(df: DataFrame, key: str, payload: str, url: str, least: int =
 
 def write_archives(df: DataFrame, path: str, key: str, payload: str, url: str, least: int = LEAST) -> DataFrame:
     """Write all rows below `path`; the manifest has `file` and `n_records`."""
+    path = qualified(df.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, folder = pafs.FileSystem.from_uri(path)

@@ -36,6 +36,14 @@ def test_round_trip(spark):
     assert "payload" not in warc.read_archives(written, payloads=False).columns
 
 
+def test_paths_without_a_scheme(spark, tmp_path):
+    """They belong to Spark's default file system."""
+    df = spark.createDataFrame(pages()[:3], SCHEMA)
+    written = warc.write_archives(df, str(tmp_path / "a b"), "page_id", "html", "url")
+    assert all(r.file.startswith("file:///") for r in written.collect())
+    assert warc.read_archives(written).where("problem IS NULL").count() == 3
+
+
 def test_no_pages(spark):
     df = spark.createDataFrame([], SCHEMA)
     written = warc.write_archives(df, fresh_path(spark, "warc"), "page_id", "html", "url")
