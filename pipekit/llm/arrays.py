@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 from pipekit.operators.keys import named
 
 # Text bytes that a task works on at once; a single longer text is a batch of its own.
-BATCH_BYTES = 4 * 1024 * 1024
+BATCH_BYTES = 2 * 1024 * 1024
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

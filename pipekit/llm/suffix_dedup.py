@@ -35,7 +35,7 @@ from pipekit.session import saved
 WIDTH, GRAM = 200, 100
 NAMED = WIDTH - GRAM + 1  # substrings of a window
 SHARD_BYTES = 4 * 1024 * 1024
-BLOCK = 1 << 20  # window starts that are hashed at once
+BLOCK = 1 << 18  # window starts that are hashed at once, and about the bytes of a part of a shard
 MOST_KINDS = 20_000
 
 _PLACE = np.uint64(2 * BLOCK - 1)
@@ -137,7 +137,7 @@ def _spread(key: Column, text: Column, shards: int) -> Column:
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each kind of anchor of a shard, in the texts of a batch."""
     finder = Finder()
-    for batch in sized_batches(batches, "text"):
+    for batch in sized_batches(batches, "text", 4 * BLOCK):
         data, offsets = flat(batch.column("text"))
         found = finder.anchors(data, offsets)
         shard = np.asarray(batch.column("shard"))[np.searchsorted(offsets, found.at, side="right") - 1]
@@ -153,7 +153,7 @@ def _blocks(table: pa.Table, text: str) -> Iterator[tuple[pa.RecordBatch, pa.Arr
     """The rows of a shard in parts of bounded size, with their texts."""
     for batch in table.combine_chunks().to_batches():
         columns = [batch.column("row"), batch.column("row").field(text)]
-        for part in sized_batches([pa.RecordBatch.from_arrays(columns, ["row", "text"])], "text"):
+        for part in sized_batches([pa.RecordBatch.from_arrays(columns, ["row", "text"])], "text", 4 * BLOCK):
             yield part, part.column("text")
 
 
