@@ -1,4 +1,8 @@
+import os
+import pathlib
 import random
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import Window, functions as F
@@ -156,3 +160,19 @@ def test_spread_ranks_over_many_sorted_parts(spark, method, groups):
 def test_heads_are_bounded(table):
     with pytest.raises(ValueError, match="too many"):
         ordering.head(table("events"), 2_000_000)
+
+
+def test_workers_need_not_import_the_library(tmp_path):
+    """A driver that finds the package by its own path only, as a notebook might."""
+    root = str(pathlib.Path(ordering.__file__).parents[2])
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pipekit.operators.ordering import rank_rows
+from pipekit.session import session
+spark = session("w", "local[1]", **{{"spark.ui.enabled": "false", "spark.checkpoint.dir": {tmp_path.as_uri()!r}}})
+print(rank_rows(spark.range(5), [("id", "desc")]).where("rank = 1").first().id)
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert done.stdout.strip() == "4", done.stderr[-2000:]
