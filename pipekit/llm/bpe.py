@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 
 from pipekit.llm.arrays import chosen, extended, resident, sized_batches
 
-MAX_STATES, MAX_PIECES = 150_000, 400_000
+MAX_STATES, MAX_PIECES = 120_000, 300_000
 NO_TOKEN, GUESSES, END = -1, -1, -2
 LONG = 4 * 1024 * 1024  # characters
 
@@ -145,7 +145,9 @@ class Transducer:
                 cut = len(emitted)
                 guesses = [(last, node, out[cut:]) for last, node, out in guesses]
         guesses = tuple(guesses)
-        if len(self.states) >= MAX_STATES or len(beside) >= 4 * MAX_STATES:
+        if len(beside) >= 2 * MAX_STATES:
+            beside.clear()
+        if len(self.states) >= MAX_STATES:
             self.clear()
         reached = self.states.get(guesses)
         if reached is None:

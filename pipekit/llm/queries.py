@@ -27,8 +27,8 @@ ORACLES: dict[str, str] = {}
 
 # Whole texts reach Python workers in small batches; a batch holds one text at least.
 SETTINGS = {
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 
