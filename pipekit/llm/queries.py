@@ -153,13 +153,13 @@ def shards(table):
     tokenizer = token_shards.tiktoken_ids(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     folder = fresh_path(documents.sparkSession, "shards")
     written = token_shards.write_shards(documents, folder, tokenizer, seed=SEED)
-    return token_shards.read_shards(written).select(
+    return token_shards.read_shards(written, packed=True).select(
         "slot",
         "shard",
         F.col("key").alias("doc_id"),
         "part",
         F.col("n").alias("n_tokens"),
-        sha256(F.array_join(F.col("tokens").cast("array<string>"), " ")).alias("ids_sha256"),
+        sha256("tokens").alias("tokens_sha256"),
     )
 
 

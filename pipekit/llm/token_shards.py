@@ -7,7 +7,7 @@ Shard s holds slots s * slots to (s + 1) * slots, record after record, so that a
 at byte (x - first) * stride and can go on from anywhere.
 
 A shard is one file of one task attempt; the manifest lists the files of the attempts that Spark
-committed. On the way to their shard, records of one batch travel as one compressed block.
+committed. On the way to their shard, many records of a task travel as one compressed block.
 
 Defined results: a null or empty text has no sequences; a null key is kept; equal rows have
 sequences of their own; an empty table gives an empty manifest; other columns are ignored. Token ids
@@ -26,17 +26,27 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from pipekit.llm.arrays import chosen, resident, sized_batches
+from pipekit.llm.arrays import chosen, qualified, resident, sized_batches
 from pipekit.session import fresh_path, saved
 
 LENGTH, SLOTS = 256, 32_768
 ROUNDS = 6
 NO_KEY = np.int64(-(2**63))
 READ_RECORDS = 4096
+DEALT = 65_536  # records that a task deals out to the shards at once
+# What lies on disk beside the shards costs more than the time to pack it; large pages pack better.
+LEVEL = 9
+PACKED = {
+    "compression": "zstd",
+    "parquet.compression.codec.zstd.level": LEVEL,
+    "parquet.page.size": 8 * 1024 * 1024,
+    "parquet.page.row.count.limit": 1_000_000,
+    "parquet.enable.dictionary": "false",
+}
 
 
 def record_type(length: int) -> np.dtype:
-    return np.dtype([("key", "<i8"), ("part", "<i4"), ("n", "<i4"), ("tokens", "<u2", (length,))])
+    return np.dtype([("key", "<i8"), ("part", "<u4"), ("n", "<u2"), ("tokens", "<u2", (length,))])
 
 
 def _round(half: np.ndarray, key: int) -> np.ndarray:
@@ -94,7 +104,7 @@ def sequences(df: DataFrame, tokenizer: Callable, key: str, text: str, length: i
     rows = chosen(df, key=key, text=text)
     cut = rows.withColumn("key", F.col("key").cast("long")).mapInArrow(run, "key long, part int, n int, tokens binary")
     path = fresh_path(df.sparkSession, "sequences")
-    cut.write.option("compression", "zstd").parquet(path)
+    cut.write.options(**PACKED).parquet(path)
     return df.sparkSession.read.schema(cut.schema).parquet(path)
 
 
@@ -109,7 +119,7 @@ def write_shards(
     seed: int = 0,
 ) -> DataFrame:
     """Write all sequences below `path`; the manifest has `shard`, `file`, `first` slot and `n` slots."""
-    kind = record_type(length)
+    kind, path = record_type(length), qualified(df.sparkSession, path)
     cut = sequences(df, tokenizer, key, text, length)
     cut = cut.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     # One row for each written file: where its sequences begin.
@@ -120,11 +130,19 @@ def write_shards(
     shards = -(-n // per_shard)
     placed = cut.join(F.broadcast(begins), "file").withColumn("index", F.col("begin") + F.col("row"))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            if not batch.num_rows:
-                continue
+            held += [batch] * (batch.num_rows > 0)
+            if sum(b.num_rows for b in held) >= DEALT:
+                yield pa.concat_batches(held)
+                held = []
+        if held:
+            yield pa.concat_batches(held)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=LEVEL)
+        for batch in gathered(batches):
             records = np.zeros(batch.num_rows, kind)
             records["key"] = batch.column("key").fill_null(int(NO_KEY))
             records["part"], records["n"] = batch.column("part"), batch.column("n")
@@ -173,13 +191,14 @@ def write_shards(
         yield from close()
 
     blocks = placed.select("key", "part", "n", "tokens", "index").mapInArrow(deal, "shard int, slots binary, records binary")
-    ranges = blocks.repartition(max(1, shards), "shard").sortWithinPartitions("shard")
+    ranges = blocks.repartitionById(max(1, shards), "shard")
     return saved(ranges.mapInArrow(write, "shard int, file string, first long, n long"), "manifest")
 
 
-def read_shards(manifest: DataFrame, length: int = LENGTH, start: int = 0) -> DataFrame:
+def read_shards(manifest: DataFrame, length: int = LENGTH, start: int = 0, packed: bool = False) -> DataFrame:
     """`slot`, `shard`, `key`, `part`, `n` and `tokens` of all records from slot `start` on, each
-    shard read from its first wanted record to its end by one task."""
+    shard read from its first wanted record to its end by one task. With `packed`, tokens are the
+    bytes of the record, two for each token, the low one first."""
     kind = record_type(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,21 +213,26 @@ def read_shards(manifest: DataFrame, length: int = LENGTH, start: int = 0) -> Da
                     while data := stream.read(READ_RECORDS * kind.itemsize):
                         records = np.frombuffer(data, kind)
                         keys = np.ascontiguousarray(records["key"])
-                        offsets = np.concatenate([[0], np.cumsum(records["n"])]).astype(np.int32)
-                        tokens = records["tokens"][np.arange(length) < records["n"][:, None]].astype(np.int32)
+                        offsets = np.concatenate([[0], np.cumsum(records["n"], dtype=np.int64)]).astype(np.int32)
+                        tokens = records["tokens"][np.arange(length) < records["n"][:, None]]
+                        if packed:
+                            buffers = [None, pa.py_buffer(2 * offsets), pa.py_buffer(tokens)]
+                            tokens = pa.Array.from_buffers(pa.binary(), len(records), buffers)
+                        else:
+                            tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens.astype(np.int32)))
                         columns = {
                             "slot": pa.array(slot + np.arange(len(records))),
                             "shard": pa.array(np.full(len(records), row["shard"], np.int32)),
                             "key": pa.array(keys, mask=keys == NO_KEY),
-                            "part": pa.array(np.ascontiguousarray(records["part"])),
-                            "n": pa.array(np.ascontiguousarray(records["n"])),
-                            "tokens": pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens)),
+                            "part": pa.array(records["part"].astype(np.int32)),
+                            "n": pa.array(records["n"].astype(np.int32)),
+                            "tokens": tokens,
                         }
                         yield pa.RecordBatch.from_pydict(columns)
                         slot += len(records)
 
     wanted = manifest.where(F.col("first") + F.col("n") > start).select("shard", "file", "first", "n")
-    ddl = "slot long, shard int, key long, part int, n int, tokens array<int>"
+    ddl = "slot long, shard int, key long, part int, n int, tokens " + ("binary" if packed else "array<int>")
     return wanted.repartition(max(1, wanted.count())).mapInArrow(run, ddl)
 
 

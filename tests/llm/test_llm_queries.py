@@ -11,7 +11,7 @@ COLUMNS = {
     2: "doc_id n_words n_hit n_items items_sha256 contaminated",
     3: "doc_id n_bytes n_removed n_spans kept_sha256",
     4: "doc_id n_words n_base first_word last_word base_labels labels score",
-    5: "slot shard doc_id part n_tokens ids_sha256",
+    5: "slot shard doc_id part n_tokens tokens_sha256",
     6: "doc_id held_out score predicted",
     7: "page_id payload_bytes payload_digest record_type refers_to",
     8: "doc_id n_bytes n_tokens over_limit",

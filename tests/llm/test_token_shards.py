@@ -34,6 +34,8 @@ def test_round_trip_and_resume(spark):
         ids = by_character()([text or ""])[0]
         want += [(str(i), part, ids[part * 16 : part * 16 + 16]) for part in range(-(-len(ids) // 16))]
     assert sorted((str(r.key), r.part, r.tokens) for r in found) == sorted(want)
+    packed = ts.read_shards(written, length=16, packed=True).collect()
+    assert {r.slot: np.frombuffer(r.tokens, "<u2").tolist() for r in packed} == {r.slot: r.tokens for r in found}
     rest = ts.read_shards(written, length=16, start=157).collect()
     assert sorted(rest, key=lambda r: r.slot) == found[157:]
 
