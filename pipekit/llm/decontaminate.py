@@ -7,7 +7,8 @@ the next ones. The array is sorted no deeper than the searches go. A test item's
 strings of `window` words, or the whole item if it has fewer; each occurrence of a window marks the
 document's words, and marked runs are the longest verbatim matches.
 
-The test set is taken in blocks of a bounded number of text bytes; with more than one, the marks
+Each test item is taken once, in blocks of a bounded number of bytes, which are counted before a
+block is collected; a single larger item is a block of its own. With more than one block, the marks
 found so far travel with the rows and are written between the blocks.
 
 Defined results: null and empty texts have no words, and neither match nor are matched; a null item
@@ -192,13 +193,27 @@ def examine(column: pa.Array, tests: Tests, spans: list[list[dict]] | None = Non
     }
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str) -> tuple[DataFrame, int]:
-    """The test items with a block number, and how many blocks there are."""
+def _blocks(benchmark: DataFrame, item: str, text: str) -> tuple[DataFrame, list[int]]:
+    """The distinct test items with a block number, and the numbers there are.
+
+    No block has more than BLOCK_BYTES of ids and text, unless it is a single item.
+    """
     rows = chosen(benchmark, item=item, text=text)
-    rows = rows.select(F.coalesce(F.col("item").cast("string"), F.lit("")).alias("item"), "text")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = math.ceil(2 * size / BLOCK_BYTES) or 1
-    return rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n))), n
+    rows = rows.select(F.coalesce(F.col("item").cast("string"), F.lit("")).alias("item"), "text").distinct()
+    rows = saved(rows.withColumn("block", F.lit(0).cast("long")), "items")
+    bytes_ = F.sum(F.octet_length("item") + F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes")
+    last = level = 0
+    while True:
+        sizes = rows.groupBy("block").agg(bytes_, F.count(F.lit(1)).alias("n")).collect()
+        large = [row for row in sizes if row.bytes > BLOCK_BYTES and row.n > 1]
+        if not large:
+            return rows, sorted(row.block for row in sizes) or [0]
+        level, block = level + 1, F.col("block")
+        for row in large:
+            parts = max(2, math.ceil(2 * row.bytes / BLOCK_BYTES))
+            part = last + 1 + F.pmod(F.xxhash64("item", "text", F.lit(level)), F.lit(parts))
+            block, last = F.when(F.col("block") == row.block, part).otherwise(block), last + parts
+        rows = saved(rows.withColumn("block", block), "items")
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -221,12 +236,12 @@ def contamination(
 
 def _contamination(rows: DataFrame, benchmark: DataFrame, item: str, item_text: str, window: int) -> DataFrame:
     schema = extended(rows, ["key"], f"text string, {FOUND}")
-    blocks, n = _blocks(benchmark, item, item_text)
-    for block in range(n):
+    blocks, numbers = _blocks(benchmark, item, item_text)
+    for i, block in enumerate(numbers):
         own = blocks.where(F.col("block") == block).select("item", "text").toArrow().to_pydict()
         tests = Tests(list(zip(own["item"], own["text"])), window)
 
-        def run(batches: Iterator[pa.RecordBatch], tests: Tests = tests, more: bool = block > 0) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], tests: Tests = tests, more: bool = i > 0) -> Iterator[pa.RecordBatch]:
             for batch in sized_batches(batches, "text"):
                 spans = batch.column("spans").to_pylist() if more else None
                 found = examine(batch.column("text"), tests, spans)
@@ -238,7 +253,7 @@ def _contamination(rows: DataFrame, benchmark: DataFrame, item: str, item_text:
                 yield pa.RecordBatch.from_arrays(columns, ["key", "text", "n_words", "n_hit", "spans", "items"])
 
         rows = rows.mapInArrow(run, schema)
-        if block < n - 1:
+        if i < len(numbers) - 1:
             rows = saved(rows, "marked")
     return rows
 

@@ -55,3 +55,15 @@ def test_affected_rows_go(spark):
     assert kept.schema == df.schema and rows(kept, "doc_id") == [(None,), (1,), (2,), (3,), (3,)]
     assert decontaminate.decontaminate(df, benchmark.limit(0)).count() == df.count()
     assert decontaminate.contamination(df.limit(0), benchmark).count() == 0
+
+
+def test_blocks_of_repeated_items_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 300)
+    items = [("again", "one two three four five")] * 500 + [(str(i), f"w{i} " * (i % 9)) for i in range(90)]
+    items += [("long", "word " * 100), (None, None)]
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    blocks, numbers = decontaminate._blocks(benchmark, "item_id", "text")
+    found = {n: [(r["item"], r.text) for r in blocks.where(f"block = {n}").collect()] for n in numbers}
+    assert sorted((str(r) for own in found.values() for r in own)) == sorted({str((i or "", t)) for i, t in items})
+    assert all(len(own) == 1 or sum(len(i) + len(t or "") for i, t in own) <= 300 for own in found.values())
+    assert len(found) < 90
