@@ -273,7 +273,10 @@ class Decoder:
         for run in np.split(parts, np.flatnonzero(np.diff(parts) > 1) + 1):
             start, end = int(ends[run[0]] - self.size[ids[run[0]]]), int(ends[run[-1]])
             machine = Utf8()  # whole characters stand around the run
-            out += [data[at:start].tobytes(), machine.feed(data[start:end].tobytes()), machine.close()]
+            cuts = [start, *ends[run].tolist()]
+            out.append(data[at:start].tobytes())
+            out += [machine.feed(data[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]  # token by token
+            out.append(machine.close())
             at = end
         return b"".join([*out, data[at:].tobytes()])
 
@@ -316,23 +319,36 @@ def _decoder(path: str):
     return decoder, decode
 
 
+def _shown(decoder: Decoder, ids: pa.Array, found: pa.Array) -> pa.Array:
+    """The rows of ids as UTF-8; `found`, their bytes, where all tokens are whole characters."""
+    values = ids.flatten().to_numpy()
+    parts = np.flatnonzero(~decoder.whole[values])
+    if not len(parts):
+        return found
+    ends = np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    out = found.to_pylist()
+    for i in np.unique(np.searchsorted(ends, parts, side="right")).tolist():
+        out[i] = decoder.text(values[ends[i - 1] if i else 0 : ends[i]])
+    return pa.array(out, pa.binary())
+
+
 def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`key` and `ids`, the token ids of the text, each match of `pattern` encoded by itself."""
     return _mapped(df, path, pattern, key, text, decoded=False)
 
 
 def round_trip(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`key`, `ids`, and `decoded`, the bytes that the ids stand for, in one pass."""
+    """`key`, `ids`, and `decoded`, the UTF-8 that the ids are decoded to, in one pass."""
     return _mapped(df, path, pattern, key, text, decoded=True)
 
 
 def _mapped(df: DataFrame, path: str, pattern: str, key: str, text: str, decoded: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids, to_bytes = _encoder(path, pattern), _decoder(path)[1]
+        to_ids, (decoder, to_bytes) = _encoder(path, pattern), _decoder(path)
         for batch in sized_batches(batches, "text"):
             columns = {"key": batch.column("key"), "ids": to_ids(batch.column("text"))}
             if decoded:
-                columns["decoded"] = to_bytes(columns["ids"]).cast(pa.binary())
+                columns["decoded"] = _shown(decoder, columns["ids"], to_bytes(columns["ids"]).cast(pa.binary()))
             yield pa.RecordBatch.from_pydict(columns)
 
     rows = chosen(df, key=key, text=text)
@@ -348,13 +364,7 @@ def decode(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> D
         for batch in batches:
             ids = batch.column("ids")
             found = to_bytes(ids).cast(pa.binary())
-            values = ids.flatten().to_numpy()
-            if decoder.whole[values].all():
-                shown = found.cast(pa.string())
-            else:
-                ends = np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-                texts = [decoder.text(own) for own in np.split(values, ends[:-1])]
-                shown = pa.array(texts, pa.binary()).cast(pa.string())
+            shown = _shown(decoder, ids, found).cast(pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("key"), found, shown], ["key", "decoded", "text"])
 
     rows = chosen(df, key=key, ids=ids)

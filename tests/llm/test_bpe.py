@@ -90,3 +90,29 @@ def test_frames(spark, library):
     odd = spark.createDataFrame([(1, [bpe.load_ranks(PATH)[b"\xc3"]]), (2, None), (3, [])], "doc_id int, ids array<long>")
     assert {r.doc_id: r.text for r in bpe.decode(odd, PATH).collect()} == {1: "�", 2: "", 3: ""}
     assert bpe.round_trip(df.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_round_trip_decodes_through_the_machine(monkeypatch):
+    """What the machine emits is returned, and a character over several tokens reaches it in parts."""
+    fed, decoder, (_, to_bytes) = [], bpe.Decoder(bpe.load_ranks(PATH)), bpe._decoder(PATH)
+
+    class Loud(bpe.Utf8):
+        def feed(self, data):
+            fed.append(data)
+            return super().feed(data).replace("🦫".encode(), b"beaver")
+
+    class Rows:  # runs the function of the tasks in this process
+        def mapInArrow(self, run, schema):
+            (self.found,) = run([pa.RecordBatch.from_pydict({"key": [*range(5)], "text": ["plain", None, "x 🦫 y", "", "漢字🩻"]})])
+            return self
+
+        def withColumnRenamed(self, *names):
+            return self.found.to_pydict()
+
+    monkeypatch.setattr(bpe, "Utf8", Loud)
+    monkeypatch.setattr(bpe, "_decoder", lambda path: (decoder, to_bytes))
+    monkeypatch.setattr(bpe, "chosen", lambda df, **columns: Rows())
+    monkeypatch.setattr(bpe, "extended", lambda *schema: None)
+    found = bpe.round_trip(None, PATH, public_tokenizers.PATTERN)
+    assert found["decoded"] == [b"plain", b"", b"x beaver y", b"", "漢字🩻".encode()]
+    assert any(len(part.decode(errors="ignore").encode()) < len(part) for part in fed)
