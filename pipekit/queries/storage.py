@@ -87,12 +87,13 @@ def json_bad_lines(table: Tables) -> DataFrame:
     """,
 )
 def csv_sampled_schema(table: Tables) -> DataFrame:
-    """Types from the first nine lines; later values that do not fit them are kept as text."""
+    """Types from the first nine lines, in a file of their own; later values that do not fit them are kept as text."""
     code = F.when(F.col("event_id") % 10 == 9, F.concat(F.lit("x"), "user_id")).otherwise(F.col("user_id").cast("string"))
     events = table("events").select(F.col("event_id"), code.alias("code"))
-    spark, path = events.sparkSession, _path(events, "csv")
-    export_files(events.repartition(1).sortWithinPartitions("event_id"), path, "csv")
-    back = read_files(spark, path, sample_rows=9, bad_rows="keep")
+    spark, path, head = events.sparkSession, _path(events, "csv"), _path(events, "head")
+    export_files(events, path, "csv")
+    export_files(events.orderBy("event_id").limit(9), head, "csv")
+    back = read_files(spark, path, schema=read_files(spark, head, sample_rows=9).schema, bad_rows="keep")
     misfit = F.regexp_extract("_corrupt_record", ",(x[0-9]+)$", 1)
     return back.select(
         F.col("event_id").cast("bigint").alias("event_id"),

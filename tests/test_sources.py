@@ -1,8 +1,10 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import plan, rows
+from pipekit.queries import storage
 from pipekit.sources import database, files
 from pipekit.sources.files import bulk_import, detect_format, read_files, require_rows, storage_uri
 
@@ -265,3 +267,13 @@ def test_spark_engine_with_parameters(spark):
 
 def test_suffix_table_is_complete():
     assert set(files.SUFFIX_FORMATS.values()) == set(files.FORMATS)
+
+
+def test_sampled_schema_is_written_by_many_tasks(spark, monkeypatch):
+    written, export = [], storage.export_files
+    monkeypatch.setattr(storage, "export_files", lambda df, *rest: (written.append(df.rdd.getNumPartitions()), export(df, *rest)))
+    code = F.when(F.col("id") % 10 == 9, 7).otherwise(F.col("id"))
+    events = spark.range(0, 100, 1, 4).select(F.col("id").alias("event_id"), code.cast("long").alias("user_id"))
+    found = storage.csv_sampled_schema(lambda name: events)
+    assert max(written) == 4
+    assert rows(found) == rows(events.selectExpr("event_id", "if(event_id % 10 = 9, null, user_id)", "if(event_id % 10 = 9, 'x7', null)"))
