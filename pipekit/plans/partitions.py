@@ -30,7 +30,8 @@ def _pattern(fmt: str) -> str:
 def _starts(bounds: DataFrame, every: str) -> DataFrame:
     """Rows `starts_at` from `first` to `last` of the one row `bounds`.
 
-    The steps come out of two short sequences, not out of one long array.
+    The steps come out of two short sequences, not out of one long array, and the second of them is
+    made by as many tasks as the session shuffles to.
     """
     number, unit = _step(every)
     # Whole units from first to last: the last one counts only if its clock has come as far.
@@ -43,6 +44,8 @@ def _starts(bounds: DataFrame, every: str) -> DataFrame:
     steps = F.greatest(F.floor(units / number), F.lit(0).cast("long"))
     steps = bounds.where("first <= last").select("first", steps.alias("steps"))
     blocks = steps.select("first", "steps", F.explode(F.sequence(F.lit(0).cast("long"), "steps", F.lit(BLOCK).cast("long"))).alias("block"))
+    # A given number, as adaptive execution would join the few bytes of the blocks into one task.
+    blocks = blocks.repartition(int(bounds.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block")
     last = F.least(F.col("block") + BLOCK - 1, F.col("steps"))
     each = blocks.select("first", F.explode(F.sequence("block", last)).alias("step"))
     past = (F.col("step") * number).cast("int")

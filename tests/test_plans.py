@@ -2,6 +2,7 @@ import datetime as dt
 import pathlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import final_plan, rows
 from pipekit import session as sessions
@@ -208,3 +209,9 @@ def test_grids_of_many_steps(spark):
     df = times(spark, "1900-01-01 00:30:00", "2100-01-01 00:00:00")
     assert partition_grid(df, "ts", "1h").count() == (dt.date(2100, 1, 1) - dt.date(1900, 1, 1)).days * 24 + 1
     assert names(make_partitions(spark, "2025-01-01 05:00:00", "2025-01-03 04:59:59")) == ["2025-01-01", "2025-01-02"]
+
+
+def test_long_grids_are_made_by_many_tasks(spark):
+    grid = make_partitions(spark, "1900-01-01", "2100-01-01", "1h")
+    tasks = grid.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(tasks) > 1 and max(r["count"] for r in tasks) < sum(r["count"] for r in tasks)
