@@ -5,7 +5,9 @@ documents is a shard with a suffix array over its words; every suffix of a test
 in it by binary search, first by its leading words, then, in the part of the order that is left, by
 the next ones. The array is sorted no deeper than the searches go. A test item's windows are its
 strings of `window` words, or the whole item if it has fewer; each occurrence of a window marks the
-document's words, and marked runs are the longest verbatim matches.
+document's words. Marked runs (`spans`) are unions of windows, which may be of several items;
+`matches` keeps item and offset with each place, and joins the places that follow each other in both
+to the longest verbatim matches.
 
 Each test item is taken once, in blocks of a bounded number of bytes, which are counted before a
 block is collected; a single larger item is a block of its own. With more than one block, the marks
@@ -14,7 +16,7 @@ found so far travel with the rows and are written between the blocks.
 Defined results: null and empty texts have no words, and neither match nor are matched; a null item
 id is the empty string; equal rows are judged alike and all returned; without test items nothing is
 contaminated; an empty table gives an empty table; other columns are ignored by `contamination` and
-passed through by `decontaminate`, whatever their names.
+`matches`, and passed through by `decontaminate`, whatever their names.
 """
 
 from __future__ import annotations
@@ -49,9 +51,9 @@ def split_words(column: pa.Array) -> list[list[bytes]]:
 
 
 class Tests:
-    """The distinct windows of a block of test items, and which items have them."""
+    """The distinct windows of a block of test items, and which items have them; `located`, also where."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int):
+    def __init__(self, items: list[tuple[str, str | None]], window: int, located: bool = False):
         self.window = window
         words = split_words(pa.array([text for _, text in items], pa.string()))
         self.number: dict[bytes, int] = {}
@@ -62,6 +64,10 @@ class Tests:
             numbers = [self.number.setdefault(w, len(self.number) + 1) for w in of]
             for start in range(max(1, len(numbers) - window + 1) if numbers else 0):
                 owners[tuple(numbers[start : start + window])].add(place[item])
+        if located:
+            self.names = [item for item, _ in items]
+            self.spots, self.n_spots = self._spots([[self.number[w] for w in of] for of in words], {w: i for i, w in enumerate(owners)})
+            self.first_spot = np.cumsum(self.n_spots) - self.n_spots
         if len(self.number) > MOST_WORDS:
             raise ValueError(f"a block has more than {MOST_WORDS} distinct words")
         self.length = np.array([len(w) for w in owners], np.int64)
@@ -76,6 +82,16 @@ class Tests:
         # The least and greatest key that begins with the window, digit by digit.
         self.low, self.high = self._digits(padded), self._digits(open_)
 
+    def _spots(self, words: list[list[int]], number: dict[tuple, int]) -> tuple[np.ndarray, np.ndarray]:
+        """The (row, offset) of all windows, dealt by window, and how many each has."""
+        found: list[tuple[int, int, int]] = []
+        for row, of in enumerate(words):
+            for start in range(max(1, len(of) - self.window + 1) if of else 0):
+                found.append((number[tuple(of[start : start + self.window])], row, start))
+        spots = np.array(found, np.int64).reshape(-1, 3)
+        sizes = np.bincount(spots[:, 0], minlength=len(number))
+        return spots[np.argsort(spots[:, 0], kind="stable"), 1:], sizes
+
     @staticmethod
     def _digits(words: np.ndarray) -> np.ndarray:
         out = np.zeros((len(words), words.shape[1] // PACKED), np.int64)
@@ -162,6 +178,26 @@ def _runs(hit: np.ndarray, bounds: np.ndarray) -> list[list[dict]]:
     return out
 
 
+def locate(column: pa.Array, tests: Tests) -> dict[str, np.ndarray]:
+    """Longest matches: the `text`, the `item` (a row of the block), where both begin, and the words."""
+    words = split_words(column)
+    counts = np.array([len(w) for w in words], np.int64)
+    bounds = np.concatenate([[0], np.cumsum(counts)])
+    numbers = np.fromiter((tests.number.get(w, 0) for of in words for w in of), np.int64, int(bounds[-1]))
+    query, place = Shard(numbers, np.repeat(bounds[1:], counts)).search(tests.low, tests.high)
+    n = tests.n_spots[query]
+    at = np.repeat(tests.first_spot[query] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    item, offset, place, length = *tests.spots[at].T, np.repeat(place, n), np.repeat(tests.length[query], n)
+    text = np.searchsorted(bounds, place, side="right") - 1
+    by = np.lexsort((place, place - offset, item, text))
+    item, offset, place, length, text = (x[by] for x in (item, offset, place, length, text))
+    same = (np.diff(text) == 0) & (np.diff(item) == 0) & (np.diff(place) == 1) & (np.diff(offset) == 1)
+    first = np.flatnonzero(np.concatenate([[True], ~same])[: len(by)])
+    last = np.concatenate([first[1:], [len(by)]])[: len(first)] - 1
+    size = place[last] + length[last] - place[first]
+    return {"text": text[first], "item": item[first], "start": place[first] - bounds[text[first]], "item_start": offset[first], "words": size}
+
+
 def examine(column: pa.Array, tests: Tests, spans: list[list[dict]] | None = None) -> dict[str, list]:
     """`n_words`, the marked `spans` (with those already known) and the `items` of each text."""
     words = split_words(column)
@@ -229,11 +265,41 @@ def contamination(
     item_text: str = "text",
     window: int = WINDOW,
 ) -> DataFrame:
-    """`key`, `n_words`, `n_hit`, `spans` (longest matches, in words) and `items` of each row."""
+    """`key`, `n_words`, `n_hit`, `spans` (runs of hit words) and `items` of each row."""
     found = _contamination(chosen(df, key=key, text=text), benchmark, item, item_text, window)
     return found.select(F.col("key").alias(key), "n_words", "n_hit", "spans", "items")
 
 
+def matches(
+    df: DataFrame,
+    benchmark: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    item: str = "item_id",
+    item_text: str = "text",
+    window: int = WINDOW,
+) -> DataFrame:
+    """The longest verbatim matches: `key`, `start` in the row's words, `item`, `item_start`, and `words`, how many."""
+    rows = chosen(df, key=key, text=text)
+    blocks, numbers = _blocks(benchmark, item, item_text)
+    found = None
+    for block in numbers:
+        own = blocks.where(F.col("block") == block).select("item", "text").toArrow().to_pydict()
+        tests = Tests(list(zip(own["item"], own["text"])), window, located=True)
+
+        def run(batches: Iterator[pa.RecordBatch], tests: Tests = tests) -> Iterator[pa.RecordBatch]:
+            for batch in sized_batches(batches, "text"):
+                at = locate(batch.column("text"), tests)
+                items = pa.array([tests.names[i] for i in at["item"].tolist()], pa.string())
+                columns = [batch.column("key").take(pa.array(at["text"])), pa.array(at["start"]), items]
+                columns += [pa.array(at["item_start"]), pa.array(at["words"])]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "start", "item", "item_start", "words"])
+
+        part = rows.mapInArrow(run, extended(rows, ["key"], "start long, item string, item_start long, words long"))
+        found = part if found is None else found.union(part)
+    return found.withColumnRenamed("key", key)
+
+
 def _contamination(rows: DataFrame, benchmark: DataFrame, item: str, item_text: str, window: int) -> DataFrame:
     schema = extended(rows, ["key"], f"text string, {FOUND}")
     blocks, numbers = _blocks(benchmark, item, item_text)
@@ -271,4 +337,4 @@ def decontaminate(
     return _contamination(rows, benchmark, item, item_text, window).where("n_hit = 0").select("key.*")
 
 
-__all__ = ["Shard", "Tests", "contamination", "decontaminate", "examine"]
+__all__ = ["Shard", "Tests", "contamination", "decontaminate", "examine", "locate", "matches"]

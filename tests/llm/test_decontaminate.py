@@ -67,3 +67,30 @@ def test_blocks_of_repeated_items_are_bounded(spark, monkeypatch):
     assert sorted((str(r) for own in found.values() for r in own)) == sorted({str((i or "", t)) for i, t in items})
     assert all(len(own) == 1 or sum(len(i) + len(t or "") for i, t in own) <= 300 for own in found.values())
     assert len(found) < 90
+
+
+@pytest.mark.parametrize("block_bytes", [8 * 1024 * 1024, 300])
+def test_longest_matches_stand_in_their_item(spark, monkeypatch, block_bytes):
+    """A match goes on as long as text and item agree, and windows of two items are two matches."""
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block_bytes)
+    items, texts = data()
+    items += [(40, "p0 p1 p2 p3 p4 p5 p6"), (41, "p5 p6 p7 p8 p9 p10")]
+    texts.append("q p0 p1 p2 p3 p4 p5 p6 p7 p8 p9 p10 q")
+    want = set()
+    for i, text in enumerate(texts):
+        words = samples.licence_words(text)
+        for item, of in items:
+            own = samples.licence_words(of)
+            for at in range(len(words)):
+                for off in range(len(own)):
+                    if words[at] == own[off] and not (at and off and words[at - 1] == own[off - 1]):
+                        n = 0
+                        while at + n < len(words) and off + n < len(own) and words[at + n] == own[off + n]:
+                            n += 1
+                        if n >= min(6, len(own)):
+                            want.add((i, at, "" if item is None else str(item), off, n))
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id int, text string")
+    found = decontaminate.matches(df, spark.createDataFrame(items, "item_id int, text string"), window=6).collect()
+    assert {tuple(r) for r in found} == want and len(found) == len(want) > 50
+    assert {tuple(r)[1:] for r in found if r.doc_id == len(texts) - 1} == {(1, "40", 0, 7), (6, "41", 0, 6)}
+    assert decontaminate.matches(df, spark.createDataFrame([], "item_id int, text string")).count() == 0
