@@ -12,6 +12,8 @@ from pipekit.llm import (
     bpe,
     decontaminate,
     licenses,
+    neighbours as neighbours_by_tree,
+    periodic,
     quality_model,
     quality_rules,
     simhash,
@@ -19,6 +21,7 @@ from pipekit.llm import (
     token_counts,
     token_shards,
     warc,
+    whitening,
 )
 from pipekit.session import fresh_path
 
@@ -215,3 +218,49 @@ def quality(table):
 @query("op10_simhash")
 def near_duplicates(table):
     return simhash.near_duplicates(table("documents"))
+
+
+WORD_GAP = r"[\x20\x09-\x0D]+"
+
+
+def planted(documents):
+    """The documents with the contract's periodic tails: of one in ten, by the checksum of its id, the
+    words from `a` on repeat the first `p` of them. Only the words of these are split and joined."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", WORD_GAP), lambda word: word != "")
+    rows = documents.select("doc_id", "text", h.alias("h")).withColumn("words", F.when(F.col("h") % 10 == 0, words))
+    rows = rows.withColumn("g", F.expr("h div 10")).withColumn("n", F.size("words"))
+    rows = rows.withColumn("a", F.expr("CASE WHEN n > 0 THEN g % n END"))
+    rows = rows.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    tail = "transform(sequence(0, n - a - 1), i -> get(words, cast(a + i % p AS int)))"
+    text = F.expr(f"array_join(concat(slice(words, 1, cast(a AS int)), {tail}), ' ')")
+    return rows.select("doc_id", F.when(F.col("n") > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def periodic_runs(table):
+    found = periodic.mark_runs(planted(table("documents")))
+    longest = F.expr("array_max(transform(runs, r -> struct(r.length AS length, -r.start AS back, -r.period AS short)))")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\\n')), '')")
+    best = found.withColumn("best", longest)
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.back")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.short")).alias("period"),
+        F.expr("1000 * best.length div -best.short").alias("exponent_milli"),
+        sha256(lines).alias("runs_sha256"),
+        sha256("collapsed").alias("collapsed_sha256"),
+    )
+
+
+@query("op13_whitening")
+def whitened(table):
+    return whitening.whiten(table("embeddings"))
+
+
+@query("op11_neighbours")
+def neighbours(table):
+    found = neighbours_by_tree.nearest(table("embeddings"))
+    return found.select(F.col("query").alias("query_id"), "rank", F.col("key").alias("vec_id"), "score")
