@@ -7,8 +7,8 @@ the last byte read remains. Its sets of guesses are the states of a deterministi
 is built for the bytes that are met. A step emits the tokens that all guesses share, so that output
 waits for a bounded number of bytes only. The table of states is dropped when it grows too large.
 
-Decoding joins the bytes of the ids and checks them with a state machine for UTF-8 that keeps its
-state between calls; a broken sequence becomes U+FFFD in `text`.
+Decoding joins the bytes of the ids and reads them with a state machine for UTF-8 that keeps its state
+between calls, so that a `Stream` takes ids in chunks; a broken sequence becomes U+FFFD in `text`.
 
 Defined results: a null or empty text has no tokens; null ids decode like an empty list; an id
 without a token is an error; other columns are ignored; equal rows are all returned; an empty table
@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 
 from pipekit.llm.arrays import chosen, extended, resident, sized_batches
 
-MAX_STATES, MAX_PIECES = 120_000, 300_000
-NO_TOKEN, GUESSES, END = -1, -1, -2
+MAX_STATES, MAX_PIECES = 200_000, 600_000
+NO_TOKEN, NO_NODE, GUESSES, END = -1, -1, -1, -2
 LONG = 4 * 1024 * 1024  # characters
 
 
@@ -53,13 +53,13 @@ class Transducer:
         self.never = max(self.token, default=0) + 1  # above all ranks
         node = {prefix: 0 for token in ranks for prefix in (token[:i] for i in range(len(token) + 1))}
         node = {prefix: i for i, prefix in enumerate(sorted(node))}
-        self.child = {node[prefix[:-1]] << 8 | prefix[-1]: i for prefix, i in node.items() if prefix}
-        self.whole = [NO_TOKEN] * len(node)
-        for token, rank in ranks.items():
-            self.whole[node[token]] = rank
-        self.longer_ones = [False] * len(node)
-        for key in self.child:
-            self.longer_ones[key >> 8] = True
+        begun = {prefix[:-1] for prefix in node if prefix}
+        # By node and byte: the next node, if longer tokens go on there, and the token that ends there.
+        self.moves = {
+            node[prefix[:-1]] << 8 | prefix[-1]: (i if prefix in begun else NO_NODE, ranks.get(prefix, NO_TOKEN))
+            for prefix, i in node.items()
+            if prefix
+        }
         self.clear()
 
     def clear(self) -> None:
@@ -117,33 +117,31 @@ class Transducer:
                 y, y_goes = next(right)
 
     def step(self, state: dict, byte: int) -> tuple[dict, tuple]:
-        guesses, child, beside, whole, longer_ones = [], self.child, self.beside, self.whole, self.longer_ones
+        moves, beside, guesses, ended = self.moves.get, self.beside, [], False
         for last, node, out in state[GUESSES]:
-            node = child.get(node << 8 | byte)
-            if node is None:
+            move = moves(node << 8 | byte)
+            if move is None:
                 continue
-            if longer_ones[node]:
+            node, token = move
+            if node >= 0:
                 guesses.append((last, node, out))
-            token = whole[node]
-            if token >= 0:
+            # The bytes so far are one sequence of tokens: a second guess cannot end here.
+            if token >= 0 and not ended:
                 key = last << 24 | token
-                fits = beside.get(key)
-                if fits is None:
-                    fits = beside[key] = self.follows(last, token)
-                if fits:
+                ended = beside.get(key)
+                if ended is None:
+                    ended = beside[key] = self.follows(last, token)
+                if ended:
                     guesses.append((token, 0, (*out, token)))
         emitted = guesses[0][2]
+        if emitted and len(guesses) > 1:
+            shared = min(len(out) for _, _, out in guesses)
+            while shared and any(out[:shared] != emitted[:shared] for _, _, out in guesses):
+                shared -= 1
+            emitted = emitted[:shared]
         if emitted:
-            if len(guesses) > 1:
-                shared = 0
-                for together in zip(*[out for _, _, out in guesses]):
-                    if together.count(together[0]) < len(together):
-                        break
-                    shared += 1
-                emitted = emitted[:shared]
-            if emitted:
-                cut = len(emitted)
-                guesses = [(last, node, out[cut:]) for last, node, out in guesses]
+            cut = len(emitted)
+            guesses = [(last, node, out[cut:]) for last, node, out in guesses]
         guesses = tuple(guesses)
         if len(beside) >= 2 * MAX_STATES:
             beside.clear()
@@ -236,6 +234,19 @@ class Utf8:
         return self.BROKEN if self.missing else b""
 
 
+class Stream:
+    """Ids that come in chunks to text: `feed` gives the characters complete so far, `close` what is left."""
+
+    def __init__(self, decoder: Decoder):
+        self.decoder, self.machine = decoder, Utf8()
+
+    def feed(self, ids: np.ndarray) -> bytes:
+        return self.machine.feed(self.decoder.bytes(np.asarray(ids, np.int64))[0].tobytes())
+
+    def close(self) -> bytes:
+        return self.machine.close()
+
+
 class Decoder:
     """Ids to bytes, and to text whose broken sequences are replaced."""
 
@@ -255,30 +266,20 @@ class Decoder:
 
     def bytes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All bytes in a row, and where those of each token end."""
-        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.size) or not self.size[ids].all()):
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.size)):
             raise ValueError("an id without a token")
         size = self.size[ids]
+        if len(ids) and not size.min():
+            raise ValueError("an id without a token")
         ends = np.cumsum(size)
         at = np.repeat(self.start[ids] - (ends - size), size)
         at += np.arange(len(at))
         return self.joined[at], ends
 
     def text(self, ids: np.ndarray) -> bytes:
-        """UTF-8; only tokens that hold parts of characters go through the machine byte by byte."""
-        data, ends = self.bytes(ids)
-        parts = np.flatnonzero(~self.whole[ids])
-        if not len(parts):
-            return data.tobytes()
-        out, at = [], 0
-        for run in np.split(parts, np.flatnonzero(np.diff(parts) > 1) + 1):
-            start, end = int(ends[run[0]] - self.size[ids[run[0]]]), int(ends[run[-1]])
-            machine = Utf8()  # whole characters stand around the run
-            cuts = [start, *ends[run].tolist()]
-            out.append(data[at:start].tobytes())
-            out += [machine.feed(data[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]  # token by token
-            out.append(machine.close())
-            at = end
-        return b"".join([*out, data[at:].tobytes()])
+        """UTF-8, from one stream."""
+        stream = Stream(self)
+        return stream.feed(ids) + stream.close()
 
 
 def _encoder(path: str, pattern: str):
@@ -306,30 +307,42 @@ def _encoder(path: str, pattern: str):
     return encode
 
 
-def _decoder(path: str):
-    """The decoder, and a function from Arrow columns of ids to columns of bytes."""
-    decoder = resident(f"decoder {path}", lambda: Decoder(load_ranks(path)))
-
-    def decode(column: pa.Array) -> pa.Array:
-        sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        data, ends = decoder.bytes(column.flatten().to_numpy())
-        ends = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])].astype(np.int64)
-        return pa.Array.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(ends), pa.py_buffer(data)])
-
-    return decoder, decode
+def _decoded(decoder: Decoder, ids: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """The bytes of each row of ids, and the same as UTF-8.
 
-
-def _shown(decoder: Decoder, ids: pa.Array, found: pa.Array) -> pa.Array:
-    """The rows of ids as UTF-8; `found`, their bytes, where all tokens are whole characters."""
+    Whole characters pass the machine unchanged, so that only the runs of tokens with parts of characters
+    are fed to it, token by token, one machine for all runs of the batch; a row is put together anew, by a
+    stream of its own, only where what comes out of a run is not what went in.
+    """
+    sizes = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     values = ids.flatten().to_numpy()
+    data, ends = decoder.bytes(values)
+    last = np.cumsum(sizes)
+    cuts = np.concatenate([[0], ends])
+    bounds = cuts[np.concatenate([[0], last])].astype(np.int64)
+    found = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).cast(pa.binary())
     parts = np.flatnonzero(~decoder.whole[values])
-    if not len(parts):
-        return found
-    ends = np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-    out = found.to_pylist()
-    for i in np.unique(np.searchsorted(ends, parts, side="right")).tolist():
-        out[i] = decoder.text(values[ends[i - 1] if i else 0 : ends[i]])
-    return pa.array(out, pa.binary())
+    row = np.searchsorted(last, parts, side="right")
+    ended = np.append((np.diff(parts) > 1) | (np.diff(row) > 0), True)[: len(parts)]
+    whole, machine, changed = data.tobytes() if len(parts) else b"", Utf8(), set()
+    feed, start, out = machine.feed, None, b""
+    for i, a, b, final in zip(row.tolist(), cuts[parts].tolist(), ends[parts].tolist(), ended.tolist()):
+        start = a if start is None else start
+        out += feed(whole[a:b])
+        if final:
+            if out + machine.close() != whole[start:b]:
+                changed.add(i)
+            machine.missing, start, out = 0, None, b""
+    if not changed:
+        return found, found
+    shown, begins = found.to_pylist(), np.concatenate([[0], last])
+    for i in changed:
+        shown[i] = decoder.text(values[begins[i] : begins[i + 1]])
+    return found, pa.array(shown, pa.binary())
+
+
+def _decoder(path: str) -> Decoder:
+    return resident(f"decoder {path}", lambda: Decoder(load_ranks(path)))
 
 
 def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -344,11 +357,11 @@ def round_trip(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text
 
 def _mapped(df: DataFrame, path: str, pattern: str, key: str, text: str, decoded: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids, (decoder, to_bytes) = _encoder(path, pattern), _decoder(path)
+        to_ids, decoder = _encoder(path, pattern), _decoder(path)
         for batch in sized_batches(batches, "text"):
             columns = {"key": batch.column("key"), "ids": to_ids(batch.column("text"))}
             if decoded:
-                columns["decoded"] = _shown(decoder, columns["ids"], to_bytes(columns["ids"]).cast(pa.binary()))
+                columns["decoded"] = _decoded(decoder, columns["ids"])[1]
             yield pa.RecordBatch.from_pydict(columns)
 
     rows = chosen(df, key=key, text=text)
@@ -360,12 +373,11 @@ def decode(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> D
     """`key`, `decoded`, the bytes of the ids, and `text`, the same as valid UTF-8."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder, to_bytes = _decoder(path)
+        decoder = _decoder(path)
         for batch in batches:
-            ids = batch.column("ids")
-            found = to_bytes(ids).cast(pa.binary())
-            shown = _shown(decoder, ids, found).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), found, shown], ["key", "decoded", "text"])
+            found, shown = _decoded(decoder, batch.column("ids"))
+            columns = [batch.column("key"), found, shown.cast(pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "decoded", "text"])
 
     rows = chosen(df, key=key, ids=ids)
     rows = rows.withColumn("ids", rows["ids"].cast("array<int>"))
@@ -373,4 +385,4 @@ def decode(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> D
     return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
-__all__ = ["Decoder", "Transducer", "Utf8", "decode", "encode", "load_ranks", "round_trip"]
+__all__ = ["Decoder", "Stream", "Transducer", "Utf8", "decode", "encode", "load_ranks", "round_trip"]
