@@ -7,16 +7,13 @@ of the 2 bytes left out, 65,536 fingerprints at most whatever the table's size;
 searched by flipping bits instead of comparing pairs. Pairs that pass are edges between distinct
 fingerprints, and components are found by alternating large and small stars.
 
-`keep_one` goes by another rule: texts are near copies if the sets of their five-word shingles have a
-Jaccard similarity of 0.8 or more. Candidates meet in the bands of a MinHash sketch, which a pair at
-0.8 misses with a probability of 9e-7, and every link is verified on the shingles. First the texts of
-a band are compared with the one that meets most others; bands in which unlinked texts are left are
-then searched for every pair that would join two components.
+`keep_one` leaves one row of each component.
 
 Defined results: null and empty texts have no words and fingerprint zero, and are linked like any
-other, in `keep_one` to each other; equal rows are all returned; a null key is never the smallest of a component unless all its
-keys are null; an empty table gives an empty table; other columns are ignored by `near_duplicates`
-and passed through by `keep_one`.
+other; a null key is never the smallest of a component unless all its keys are null; an empty table
+gives an empty table. `near_duplicates` returns equal rows, all of them, and ignores other columns.
+`keep_one` passes them through; of rows with the least key of a component it keeps the one whose text
+has the least hash, and of rows alike in key and text the first by its other columns, in their order.
 """
 
 from __future__ import annotations
@@ -31,6 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pipekit.llm.arrays import chosen, extended, sized_batches, texts
+from pipekit.operators.keys import hashable
 from pipekit.session import saved
 
 SHINGLE, SEED, BITS = 3, 42, 2
@@ -38,16 +36,14 @@ LONG = 4 * 1024 * 1024  # bytes of a text whose words are held at once
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 LEFT_OUT = list(combinations(range(8), 2))  # byte positions, 0 the lowest
 COMPARED = 128  # longer lists are searched by flips
+POSTINGS = 1_000_000  # of a task that lists fingerprints
 FLIPS = np.array([(1 << i) ^ (1 << j) if i != j else 1 << i for i in range(16) for j in range(i, 16)], np.int64)
-WORDS = 5  # of the shingles that near copies share
-BANDS, ROWS = 35, 5
-MULTIPLY, ADD = np.random.default_rng(SEED).integers(0, 2**32, (2, BANDS * ROWS), np.uint32) | np.array([[1], [0]], np.uint32)
-LIST_BYTES = 4 * 1024 * 1024  # of the shingles in half a list that is searched for all pairs
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
-def _shingle_hashes(text: bytes, size: int = SHINGLE) -> Iterator[np.ndarray]:
+def _shingle_hashes(text: bytes) -> Iterator[np.ndarray]:
     """The hashes of a text's shingles, about LONG bytes of it at a time."""
+    size = SHINGLE
     held: list[bytes] = []  # the last words, which begin shingles that go on
     start = seen = 0
     while start < len(text):
@@ -82,15 +78,15 @@ def fingerprints(column: pa.Array) -> np.ndarray:
 
 
 def fingerprinted(df: DataFrame, key: str, text: str) -> DataFrame:
-    """`key` and `print`."""
+    """`key`, `content` (a hash of the text) and `print`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sized_batches(batches, "text"):
-            columns = [batch.column("key"), pa.array(fingerprints(batch.column("text")))]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "print"])
+            columns = [batch.column("key"), batch.column("content"), pa.array(fingerprints(batch.column("text")))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "content", "print"])
 
-    rows = chosen(df, key=key, text=text)
-    return rows.mapInArrow(run, extended(rows, ["key"], "print long"))
+    rows = chosen(df, key=key, text=text).withColumn("content", F.xxhash64("text"))
+    return rows.mapInArrow(run, extended(rows, ["key", "content"], "print long"))
 
 
 def _without(slot: int) -> int:
@@ -178,137 +174,12 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
 
 
-def shingle_sets(column: pa.Array) -> list[np.ndarray]:
-    """The distinct hashes of the WORDS-word shingles of each text, in order."""
-    parts = [list(_shingle_hashes(text.lower(), WORDS)) for text in texts(column)]
-    return [np.unique(np.concatenate([np.zeros(0, np.uint64), *own])) for own in parts]
-
-
-def set_names(sets: list[np.ndarray]) -> np.ndarray:
-    """A hash of each set, the same for equal sets."""
-    return np.array([xxhash.xxh64_intdigest(own.tobytes(), SEED) for own in sets], np.uint64).view(np.int64)
-
-
-def buckets(sets: list[np.ndarray]) -> np.ndarray:
-    """For each set and band, a hash of the band's number and minima."""
-    least = np.full((len(sets), BANDS * ROWS), 2**32 - 1, np.uint32)
-    for row, own in zip(least, sets):
-        low = own.astype(np.uint32)[:, None]
-        for start in range(0, len(low), 256):
-            np.minimum(row, (low[start : start + 256] * MULTIPLY + ADD).min(axis=0), out=row)
-    minima = least.reshape(-1, BANDS, ROWS).astype(np.uint64)
-    out = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), minima.shape[:2])
-    for i in range(ROWS):
-        out = (out ^ minima[:, :, i]) * np.uint64(0x9E3779B97F4A7C15)
-        out = out ^ (out >> np.uint64(29))
-    return out.view(np.int64)
-
-
-def _sketched(df: DataFrame, key: str, text: str) -> DataFrame:
-    """`key`, `content`, and of the text's shingles the name (`print`), the number `n` and the `buckets`."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sized_batches(batches, "text"):
-            sets = shingle_sets(batch.column("text"))
-            sizes, found = pa.array([len(own) for own in sets], pa.int32()), buckets(sets)
-            ends = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS)
-            found = pa.ListArray.from_arrays(ends, pa.array(found.reshape(-1)))
-            columns = [batch.column("key"), batch.column("content"), pa.array(set_names(sets)), sizes, found]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "content", "print", "n", "buckets"])
-
-    rows = chosen(df, key=key, text=text).withColumn("content", F.xxhash64("text"))
-    return rows.mapInArrow(run, extended(rows, ["key", "content"], "print long, n int, buckets array<long>"))
-
-
-def _joining(prints: np.ndarray, roots: np.ndarray, shingles: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
-    """Near copies that join different roots; pairs of texts that earlier ones have joined are left out."""
-    n, ends = len(prints), np.cumsum(sizes)
-    _, shingle = np.unique(shingles, return_inverse=True)
-    by = np.argsort(shingle, kind="stable")
-    holders = np.repeat(np.arange(n), sizes)[by]
-    counts = np.bincount(shingle)
-    heads = np.cumsum(counts) - counts
-    _, group = np.unique(roots, return_inverse=True)
-    out: list[tuple[int, int]] = []
-    for i in np.flatnonzero(group != np.bincount(group).argmax()):
-        own = shingle[ends[i] - sizes[i] : ends[i]]
-        many = counts[own]
-        at = np.arange(int(many.sum())) + np.repeat(heads[own] - (np.cumsum(many) - many), many)
-        common = np.bincount(holders[at], minlength=n)
-        for j in np.flatnonzero((9 * common >= 4 * (sizes + sizes[i])) & (group != group[i])):
-            if group[j] != group[i]:
-                out.append((int(prints[i]), int(prints[j])))
-                group[group == group[j]] = group[i]
-    return out
-
-
-def _sets(df: DataFrame, text: str, contents: DataFrame) -> DataFrame:
-    """`print` and `shingles` of the texts whose hash is in `contents`."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sized_batches(batches, "text"):
-            sets = shingle_sets(batch.column("text"))
-            ends = np.concatenate([[0], np.cumsum([len(own) for own in sets])]).astype(np.int32)
-            values = pa.array(np.concatenate(sets).view(np.int64))
-            columns = [pa.array(set_names(sets)), pa.ListArray.from_arrays(pa.array(ends), values)]
-            yield pa.RecordBatch.from_arrays(columns, ["print", "shingles"])
-
-    rows = chosen(df, text=text).withColumn("content", F.xxhash64("text"))
-    rows = rows.join(contents, "content", "left_semi").dropDuplicates(["content"])
-    return rows.select("text").mapInArrow(run, "print long, shingles array<long>")
-
-
-def near_copies(rows: DataFrame, df: DataFrame, text: str) -> DataFrame:
-    """Pairs (`a`, `b`) of `print`s that have the components of all near copies; `rows` is a sketch of `df`."""
-    sketches = rows.where("n > 0").groupBy("print")
-    sketches = sketches.agg(F.first("n").alias("n"), F.min("content").alias("content"), F.first("buckets").alias("buckets"))
-    postings = sketches.select("print", "n", "content", F.explode("buckets").alias("bucket"))
-    sizes = postings.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    met = saved(postings.join(sizes, "bucket"), "met")
-    # Written, short sides have a known size, and long texts and sets need not travel to meet them.
-    contents = saved(met.select("content").distinct(), "contents")
-    sets = saved(_sets(df, text, contents), "sets")
-
-    # Each text with the text of its bucket that meets most others.
-    degrees = met.groupBy("print").agg(F.sum("m").alias("degree"))
-    centres = met.join(degrees, "print").groupBy("bucket").agg(F.max(F.struct("degree", "print", "n")).alias("centre"))
-    pairs = met.join(centres, "bucket").where("print <> centre.print AND 5 * least(n, centre.n) >= 4 * greatest(n, centre.n)")
-    pairs = saved(pairs.select(F.col("print").alias("a"), F.col("centre.print").alias("b")).distinct(), "pairs")
-    one, other = (sets.toDF(name, name + "_set") for name in "ab")
-    near = F.expr("9 * size(array_intersect(a_set, b_set)) >= 4 * (size(a_set) + size(b_set))")
-    stars = components(pairs.join(one, "a").join(other, "b").where(near).select("a", "b"))
-
-    # In buckets of three and more, all pairs of texts that are not joined yet; buckets of the same texts once.
-    placed = met.where("m > 2").join(stars.withColumnRenamed("node", "print"), "print", "left")
-    placed = placed.withColumn("root", F.coalesce("root", "print"))
-    parts = F.ceil(F.sum("n") * 8 / LIST_BYTES).alias("parts")
-    mixed = placed.groupBy("bucket").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), parts, F.first("m").alias("m"), F.bit_xor(F.xxhash64("print")).alias("texts")
-    )
-    mixed = mixed.where("low < high").groupBy("m", "texts").agg(F.min("bucket").alias("bucket"), F.first("parts").alias("parts"))
-    # A long list is dealt into parts, and any two of them meet.
-    part = F.pmod(F.xxhash64("print"), "parts")
-    dealt = placed.join(mixed.select("bucket", "parts"), "bucket").select("bucket", "print", "root", "parts", part.alias("part"))
-    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    dealt = dealt.where("with <> part OR parts = 1").withColumn("low", F.least("part", "with")).withColumn("high", F.greatest("part", "with"))
-    lists = dealt.join(sets, "print").groupBy("bucket", "low", "high").agg(F.collect_list(F.struct("print", "root", "shingles")).alias("texts"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: list[tuple[int, int]] = []
-            for own in (batch.column("texts").slice(i, 1).flatten() for i in range(batch.num_rows)):
-                prints, roots, shingles = own.flatten()
-                found += _joining(*map(np.asarray, (prints, roots, shingles.flatten())), np.asarray(shingles.value_lengths()).astype(np.int64))
-            a, b = zip(*found) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    joined = lists.select("texts").mapInArrow(run, "a long, b long")
-    return stars.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(joined)
-
-
-def _grouped(rows: DataFrame, smallest: Column, edges: DataFrame) -> DataFrame:
+def _grouped(rows: DataFrame, smallest: Column) -> DataFrame:
     """`print` and the least `smallest` of its component."""
-    rooted = components(edges)
+    prints = rows.select("print").distinct()
+    # A print is listed 28 times: as many tasks as these postings need, not as the prints do.
+    tasks = max(1, rows.count() * len(LEFT_OUT) // POSTINGS)
+    rooted = components(links(prints.repartition(tasks, "print")))
     own = rows.groupBy("print").agg(smallest.alias("own"))
     named = own.join(rooted.withColumnRenamed("node", "print"), "print", "left")
     named = named.withColumn("root", F.coalesce("root", "print"))
@@ -319,25 +190,22 @@ def _grouped(rows: DataFrame, smallest: Column, edges: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`key`, `fingerprint` (16 hex digits) and `component_id`, the smallest key of the component."""
     rows = saved(fingerprinted(df, key, text), "prints")
-    found = rows.join(_grouped(rows, F.min("key"), links(rows.select("print").distinct())), "print")
+    found = rows.join(_grouped(rows, F.min("key")), "print")
     digits = F.lower(F.lpad(F.hex("print"), 16, "0"))
     return found.select(F.col("key").alias(key), digits.alias("fingerprint"), F.col("first").alias("component_id"))
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component of near copies, that with the smallest key (null keys last), with all its columns.
-
-    Rows alike in key and text count as one.
-    """
-    rows = saved(_sketched(df, key, text), "sketches")
+    """One row of each component, that with the smallest key (null keys last), with all its columns."""
+    rows = saved(fingerprinted(df, key, text), "prints")
     own = F.struct(F.col("key").isNull().alias("absent"), "key", "content")
-    kept = _grouped(rows, F.min(own), near_copies(rows, df, text)).select("first.key", "first.content").distinct()
-    kept = saved(kept, "kept")
-    named = df.select(F.struct("*").alias("row"))
-    named = named.withColumn("id", F.col("row").getField(key)).withColumn("hash", F.xxhash64(F.col("row").getField(text)))
-    stays = named.join(kept, F.col("id").eqNullSafe(F.col("key")) & (F.col("hash") == F.col("content")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("id", "hash").orderBy("id", "hash"))
+    kept = saved(_grouped(rows, F.min(own)).select("first.key", "first.content").distinct(), "kept")
+    whole = df.select(F.struct("*").alias("row"))
+    whole = whole.withColumn("id", F.col("row").getField(key)).withColumn("hash", F.xxhash64(F.col("row").getField(text)))
+    stays = whole.join(kept, F.col("id").eqNullSafe(F.col("key")) & (F.col("hash") == F.col("content")), "left_semi")
+    others = [F.col("row").getField(f.name) for f in df.schema if f.name not in (key, text) and hashable(f.dataType)]
+    first = F.row_number().over(Window.partitionBy("id", "hash").orderBy(F.col("row").getField(text), *others))
     return stays.withColumn("n", first).where("n = 1").select("row.*")
 
 
-__all__ = ["components", "fingerprints", "keep_one", "links", "near_copies", "near_duplicates"]
+__all__ = ["components", "fingerprints", "keep_one", "links", "near_duplicates"]
