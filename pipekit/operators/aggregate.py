@@ -9,8 +9,10 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pipekit.functions.metrics import metric
+from pipekit.functions.order import has_order_key
 from pipekit.operators.keys import largest_group, match, named, require
 from pipekit.operators.ordering import rank_rows
+from pipekit.operators.selection import at_ranks
 
 Metrics = Mapping[str, Mapping[str, Any]]
 
@@ -26,8 +28,8 @@ def aggregate(
     Null group keys form a group. All metrics but `median` keep a fixed-size state per group
     and are combined before the shuffle (`count_distinct` after removing duplicates). An exact
     median must see every value of its group. Where groups may be very large, `max_group_rows`
-    asks to count them first, in a job of its own; if one has more rows, medians come from the
-    middle ranks of a distributed sort, with the same type.
+    asks to count them first, in a job of its own; if one has more rows, medians are found by
+    counting rows by their leading bits, in three passes, with the same result and type.
     """
     if not metrics:
         raise ValueError("aggregate needs at least one metric")
@@ -47,13 +49,19 @@ def aggregate(
 def _with_spread_median(result: DataFrame, df: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
     """Add to the aggregate `result` the mean of the one or two middle values of each group."""
     groups = [named(k) for k in keys]
-    values = df.select(*groups, named(column).alias("__value")).filter("__value is not null")
-    places = rank_rows(values, ["__value"], keys, rank_col="__place", max_group_rows=0)
-    counts = places.groupBy(*groups).agg(F.max("__place").alias("__n"))
-    sized = match(places, counts, keys) if keys else places.withColumn("__n", counts.scalar())
-    middle = F.col("__place").between(F.expr("(__n + 1) div 2"), F.expr("__n div 2 + 1"))
     kind = df.select(F.median(named(column)).alias("m")).schema["m"].dataType
-    medians = sized.filter(middle).groupBy(*groups).agg(F.avg("__value").cast(kind).alias(name))
+    if has_order_key(df.schema[column].dataType):
+        middle = F.array_distinct(F.expr("array((__n + 1) div 2, __n div 2 + 1)"))
+        values = at_ranks(df, keys, column, middle).withColumn("value", F.col("value").cast("double"))
+        mean = F.expr("if(count(1) = 1, min(value), sum(0.5D * value))")  # as Spark's median does it
+    else:  # numbers of more than 64 bits
+        known = df.select(*groups, named(column).alias("__value")).filter("__value is not null")
+        places = rank_rows(known, ["__value"], keys, rank_col="__place", max_group_rows=0)
+        counts = places.groupBy(*groups).agg(F.max("__place").alias("__n"))
+        sized = match(places, counts, keys) if keys else places.withColumn("__n", counts.scalar())
+        values = sized.filter(F.col("__place").between(F.expr("(__n + 1) div 2"), F.expr("__n div 2 + 1")))
+        mean = F.avg("__value")
+    medians = values.groupBy(*groups).agg(mean.cast(kind).alias(name))
     return match(result, medians, keys, "left_outer") if keys else result.withColumn(name, medians.scalar())
 
 

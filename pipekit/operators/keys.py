@@ -41,7 +41,7 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
 
 
 def match(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join `other`, unique on `keys`, to `df`; null keys match each other."""
+    """Join `other` to `df`; null keys match each other."""
     renamed = other.withColumnsRenamed({k: f"__match_{k}" for k in keys})
     pairs = [named(k).eqNullSafe(named(f"__match_{k}")) for k in keys]
     joined = df.join(renamed, reduce(Column.__and__, pairs), how)

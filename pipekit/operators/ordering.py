@@ -1,21 +1,18 @@
 """Sorting, ranking and top-N.
 
 A rank within groups is a window, which hands each group to one task. A rank of the whole table, and
-one of groups that are known or counted to be very large, is a range sort instead: each sorted
-partition numbers its own rows, and one row per partition says what comes before it.
+one of groups that are known or counted to be very large, is a range sort instead, written once: a
+row's place is its index in its file and the rows of the files before.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pipekit.operators.keys import first_rows, largest_group, named, require, row_hash
-from pipekit.session import saved
+from pipekit.operators.keys import first_rows, largest_group, match, named, require, row_hash
+from pipekit.session import fresh_path
 
 RANK_METHODS = {"row_number": F.row_number, "rank": F.rank, "dense_rank": F.dense_rank}
 
@@ -97,107 +94,63 @@ def _window_rank(df: DataFrame, order_by: Sequence[Order], partition_by: Sequenc
     return RANK_METHODS[method]().over(window).cast("bigint")
 
 
-def _identity(columns: Sequence[str], seed: int) -> Column:
-    """A hash by which neighbours of a sort are told apart; nulls count by their place."""
-    parts = [part for c in columns for part in (named(c).isNull(), named(c))]
-    return F.xxhash64(F.lit(seed), *parts)
-
-
-# What a sorted partition (slot) knows of each of its rows: hashes of group and order key, the number
-# of the row, of its tie and of its order key within the group's part of the slot, and whether the
-# group and the tie are the first of the slot.
-LOCAL = (
-    "slot int, place long, group_one long, group_two long, tie_one long, tie_two long, "
-    "row_number long, rank long, dense_rank long, first_group boolean, first_tie boolean"
-)
-
-
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    slot, place = TaskContext.get().partitionId(), 0
-    last = None  # hashes of the row before; then where its group and tie began, and its dense rank
-    group_at = tie_at = dense = 0
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        keys = np.stack([np.asarray(batch.column(c)) for c in ("group_one", "group_two", "tie_one", "tie_two")])
-        before = np.concatenate([keys[:, :1] if last is None else last[:, None], keys[:, :-1]], axis=1)
-        new_group = (keys[:2] != before[:2]).any(axis=0)
-        new_group[0] |= last is None
-        new_tie = new_group | (keys[2:] != before[2:]).any(axis=0)
-        at = place + np.arange(n)
-        groups = np.maximum(np.maximum.accumulate(np.where(new_group, at, 0)), group_at)
-        ties = np.maximum(np.maximum.accumulate(np.where(new_tie, at, 0)), tie_at)
-        # Order keys so far, less those before the group.
-        seen = dense + np.cumsum(new_tie)
-        opened = np.maximum.accumulate(np.where(new_group, seen - 1, 0))
-        ranks = seen - opened
-        columns = {
-            "row": batch.column("row"),
-            "slot": pa.array(np.full(n, slot, np.int32)),
-            "place": pa.array(at),
-            **{c: batch.column(c) for c in ("group_one", "group_two", "tie_one", "tie_two")},
-            "row_number": pa.array(at - groups + 1),
-            "rank": pa.array(ties - groups + 1),
-            "dense_rank": pa.array(ranks),
-            "first_group": pa.array(groups == 0),
-            "first_tie": pa.array(ties == 0),
-        }
-        yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-        place, last = place + n, keys[:, -1]
-        group_at, tie_at, dense = int(groups[-1]), int(ties[-1]), int(ranks[-1])
+def numbered(df: DataFrame, keys: Sequence[Column], weight: str | None = None) -> DataFrame:
+    """The rows with `__place`, their number from 0 in the order of `keys`; with `weight`, with
+    `__before` too, the sum of that column over all rows before.
+
+    The table is range-sorted and written once, when this is called. Each file is one range, so a
+    row's place is its index in the file, which Spark tells, and the rows of the files before.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, "sorted")
+    _spread_sort(df, keys).write.parquet(path)
+    at = F.col("_metadata")
+    slot = F.regexp_extract(at["file_name"], r"^part-(\d+)", 1).cast("int")
+    rows = spark.read.schema(df.schema).parquet(path)
+    rows = rows.select("*", slot.alias("__slot"), at["row_index"].alias("__row"))
+    weights = F.sum(named(weight)) if weight else F.lit(0)
+    sizes = rows.groupBy("__slot").agg(F.count(F.lit(1)).alias("n"), weights.cast("long").alias("w"))
+    # One row for each file.
+    found, places, before = sorted((r["__slot"], r["n"], r["w"]) for r in sizes.collect()), 0, 0
+    starts = []
+    for number, n, w in found:
+        starts.append((number, places, before))
+        places, before = places + n, before + w
+    offsets = F.broadcast(spark.createDataFrame(starts, "__slot int, __first long, __sum long"))
+    rows = rows.join(offsets, "__slot").withColumn("__place", F.col("__first") + F.col("__row"))
+    if weight:
+        earlier = Window.partitionBy("__slot").orderBy("__row").rowsBetween(Window.unboundedPreceding, -1)
+        inside = F.coalesce(F.sum(named(weight)).over(earlier), F.lit(0))
+        rows = rows.withColumn("__before", F.col("__sum") + inside)
+    return rows.drop("__slot", "__row", "__first", "__sum")
 
 
 def _spread_rank(
     df: DataFrame, order_by: Sequence[Order], partition_by: list[str], method: str, rank_col: str
 ) -> DataFrame:
-    """Ranks from a range sort by group and order, written once and read twice.
+    """Ranks from places in a range sort by group and order.
 
-    Groups and ties lie in one piece, so a slot has to learn only about its first group and tie.
+    A row number is a row's place after the first of its group. Ties need no sorted rows: their
+    different values are counted, these counts sorted, and each row gets the rank of its values.
     """
     names = [name for name, _ in order_columns(order_by)]
-    groups = [named(p).asc_nulls_last() for p in partition_by]
-    ordered = _spread_sort(df, [*groups, *sort_keys(order_by)]).select(
-        F.struct("*").alias("row"),
-        *[_identity(partition_by, seed).alias(f"group_{word}") for seed, word in ((1, "one"), (2, "two"))],
-        *[_identity(names, seed).alias(f"tie_{word}") for seed, word in ((3, "one"), (4, "two"))],
-    )
-    schema = T.StructType([ordered.schema["row"], *T.StructType.fromDDL(LOCAL).fields])
-    local = saved(ordered.mapInArrow(_numbered, schema), "ordered")
-
-    facts = F.struct("group_one", "group_two", "tie_one", "tie_two", "row_number", "rank", "dense_rank", "first_group")
-    slots = local.groupBy("slot").agg(F.min_by(facts, "place").alias("first"), F.max_by(facts, "place").alias("last"))
-    # Each slot tells of its last group, and asks about its first one. Two rows for each slot.
-    nothing = F.lit(0).cast("long")
-    asked = slots.select("slot", F.lit(False).alias("tells"), "first.*").withColumns({"row_number": nothing, "dense_rank": nothing})
-    told = slots.select("slot", F.lit(True).alias("tells"), "last.*")
-    rows = asked.drop("rank", "first_group").unionByName(told, allowMissingColumns=True)
-    by_group = Window.partitionBy("group_one", "group_two").orderBy("slot", "tells")
-    so_far = by_group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    same_tie = (F.lag("tie_one").over(by_group) == F.col("tie_one")) & (F.lag("tie_two").over(by_group) == F.col("tie_two"))
-    goes_on = F.coalesce(same_tie, F.lit(False)) & ~F.col("tells")
-    # A tie that goes on in the next slot is one order key.
-    rows = rows.withColumn("dense_rank", F.col("dense_rank") - goes_on.cast("long")).withColumn("goes_on", goes_on)
-    rows = rows.withColumns({"rows": F.sum("row_number").over(so_far), "keys": F.sum("dense_rank").over(so_far)})
-    # Where the tie began: in the slot that tells of it first, after what came before that slot.
-    carried = F.when(F.col("first_group"), F.col("rows") - F.col("row_number")).otherwise(0)
-    rows = rows.withColumn("start", F.when(F.col("tells"), F.col("rank") + carried))
-    by_tie = Window.partitionBy("group_one", "group_two", "tie_one", "tie_two")
-    rows = rows.withColumn("start", F.min("start").over(by_tie))
-    carry = rows.where(~F.col("tells")).select(
-        "slot", "rows", "keys", F.when(F.col("goes_on"), F.col("start")).alias("start")
-    )
-
-    placed = local.join(F.broadcast(carry), "slot")
-    more = {
-        "row_number": F.col("row_number") + F.when(F.col("first_group"), F.col("rows")).otherwise(0),
-        "dense_rank": F.col("dense_rank") + F.when(F.col("first_group"), F.col("keys")).otherwise(0),
-        "rank": F.coalesce(
-            F.when(F.col("first_tie"), F.col("start")),
-            F.col("rank") + F.when(F.col("first_group"), F.col("rows")).otherwise(0),
-        ),
-    }
-    return placed.select(*[F.col("row").getField(c).alias(c) for c in df.columns], more[method].alias(rank_col))
+    groups, keys = [named(p).asc_nulls_last() for p in partition_by], sort_keys(order_by)
+    if method == "row_number":
+        rows, counted = numbered(df, [*groups, *keys]), "__place"
+    else:
+        values = [*partition_by, *[n for n in dict.fromkeys(names) if n not in partition_by]]
+        ties = df.groupBy(*[named(v) for v in values]).agg(F.count(F.lit(1)).alias("__rows"))
+        weight, counted = ("__rows", "__before") if method == "rank" else (None, "__place")
+        rows = numbered(ties, [*groups, *keys], weight).select(*[named(v) for v in values], counted)
+    rank = F.col(counted) + 1
+    if partition_by:
+        first = rows.groupBy(*[named(p) for p in partition_by]).agg(F.min(counted).alias("__start"))
+        rows = match(rows, first, partition_by)
+        rank = rank - F.col("__start")
+    rows = rows.withColumn("__rank", rank)
+    if method != "row_number":
+        rows = match(df, rows.select(*[named(v) for v in values], "__rank"), values)
+    return rows.select(*[named(c) for c in df.columns], F.col("__rank").alias(rank_col))
 
 
 def top_n(
