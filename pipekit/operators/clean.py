@@ -8,7 +8,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Observation, Window, functions as F, types as T
 
 from pipekit.functions.text import TEXT_OPS, strip, title_case
-from pipekit.operators.keys import group_keys, hashable, named, require
+from pipekit.operators.digests import distinct_count, repeats, without_copies
+from pipekit.operators.keys import hashable, named, require
 
 # Columns the default job title-cases, and its text for missing values.
 STANDARD_COLUMNS = ("email", "city", "department")
@@ -64,16 +65,28 @@ def deduplicate_counted(
     return rows, counts
 
 
-def drop_duplicates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Remove rows that repeat another one in all columns (or keep any one row per `columns`)."""
-    return df.dropDuplicates(list(columns)) if columns else df.dropDuplicates()
+def drop_duplicates(df: DataFrame, columns: Sequence[str] | None = None, by_digest: bool = False) -> DataFrame:
+    """Remove rows that repeat another one in all columns (or keep any one row per `columns`).
+
+    `by_digest` counts digests of the rows first, when this is called, so that only rows whose digest
+    stands several times are shuffled: for wide tables with few copies.
+    """
+    require(df, columns or [])
+    columns = list(columns) if columns else df.columns
+    if not by_digest:
+        return without_copies(df, columns)
+    found = repeats(df, columns)
+    return found.single.unionByName(without_copies(found.candidates, columns))
 
 
 def duplicate_counts(df: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
-    """One row `(input_rows, kept, removed)` for removing duplicates on `keys` (default: all)."""
-    groups = df.groupBy(*group_keys(df, keys or df.columns)).agg(F.count(F.lit(1)).alias("n"))
-    total, kept = F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))
-    return groups.agg(total.alias("input_rows"), kept.alias("kept"), (total - kept).alias("removed"))
+    """One row `(input_rows, kept, removed)` for removing duplicates on `keys` (default: all).
+
+    Wide rows are counted by their digests, when this is called, and compared in full only where a
+    digest stands several times.
+    """
+    counts = distinct_count(df, list(keys) if keys else df.columns)
+    return counts.withColumn("removed", F.col("input_rows") - F.col("kept"))
 
 
 def drop_nulls(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -11,7 +11,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pipekit.operators.keys import first_rows, largest_group, match, named, require, row_hash
+from pipekit.functions.types import as_text
+from pipekit.operators.keys import first_rows, hashable, largest_group, match, named, require, row_hash
+from pipekit.operators.selection import at_ranks
 from pipekit.session import fresh_path
 
 RANK_METHODS = {"row_number": F.row_number, "rank": F.rank, "dense_rank": F.dense_rank}
@@ -207,3 +209,42 @@ def head(df: DataFrame, n: int) -> DataFrame:
 def sample(df: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
     """An unbiased random sample of about `fraction` of the rows."""
     return df.sample(fraction=fraction, seed=seed)
+
+
+def sample_rows(df: DataFrame, n: int, strata: Sequence[str] = (), seed: int = 0) -> DataFrame:
+    """A random sample of exactly `n` rows, or of `n` from each group of `strata`; all, if there are no more.
+
+    The rows with the least hashes, the same for a seed however the table is partitioned. A small
+    sample is cut in every task; for a large one, or one by strata, the n-th hash of each group is found by
+    counting, when this is called, and rows up to it are kept where they are.
+    """
+    if n < 0:
+        raise ValueError(f"n must not be negative, but is {n}")
+    require(df, strata)
+    known = [f.name for f in df.schema if hashable(f.dataType)]
+    parts = [part for c in known for part in (named(c).isNull(), named(c))]
+    # Maps and variants have no hash; rows alike in all other columns are told apart by them as text.
+    parts += [F.expr(as_text(f.name, f.dataType)) for f in df.schema if f.name not in known]
+    tagged = df.withColumns({f"__hash{i}": F.xxhash64(F.lit(seed), F.lit(i), *parts) for i in (0, 1)})
+    if not strata and n <= GATHERED_TOP_N:
+        return tagged.orderBy("__hash0", "__hash1").limit(n).drop("__hash0", "__hash1")
+    groups = [named(g) for g in strata]
+    limits = at_ranks(tagged, strata, "__hash0", F.array(F.least(F.col("__n"), F.lit(max(n, 1)))))
+    limits = limits.select(*groups, F.col("value").alias("__last"), F.col("inside").alias("__more"))
+    if n == 0 or limits.isEmpty():
+        return df.limit(0)
+    if strata:
+        placed = match(tagged, limits, strata)
+    else:
+        last = limits.first()
+        placed = tagged.withColumns({"__last": F.lit(last["__last"]), "__more": F.lit(last["__more"])})
+    below = placed.where("__hash0 < __last").select(*[named(c) for c in df.columns])
+    # Rows of the last hash are copies of one row, as a rule: counted, and as many given out as are due.
+    row = F.struct(*[named(c) for c in df.columns]).alias("__row")
+    equal = placed.where("__hash0 = __last").groupBy(*groups, "__hash1")
+    equal = equal.agg(F.first(row).alias("__row"), F.first("__more").alias("__more"), F.count(F.lit(1)).alias("__copies"))
+    before = Window.partitionBy(*groups).orderBy("__hash1").rowsBetween(Window.unboundedPreceding, -1)
+    due = F.col("__more") - F.coalesce(F.sum("__copies").over(before), F.lit(0))
+    equal = equal.withColumn("__due", F.least(due, F.col("__copies"))).where("__due > 0")
+    equal = equal.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__due"))))
+    return below.unionByName(equal.select("__row.*"))

@@ -6,9 +6,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from pipekit.functions.types import as_text, guessed_type, present, quoted, text_literal
+from pipekit.functions.types import as_text, guessed_type, is_nested, present, quoted, text_literal
 from pipekit.operators.clean import duplicate_counts
-from pipekit.operators.keys import column_rows, first_rows, group_keys, hashable
+from pipekit.operators.keys import column_rows, hashable
+from pipekit.operators.ordering import sample_rows
 
 STATS = (
     "dtype",
@@ -40,22 +41,34 @@ def profile_columns(
 
     Empty text counts as null, and nested values are profiled as JSON text. Lengths are for
     text only. `unique_count` is approximate unless `exact_distinct`, which shuffles the values
-    of every column. `sample` profiles any so many rows instead of all. `sample_values` are up
+    of every column. `sample` profiles a random sample of so many rows instead of all. `sample_values` are up
     to so many different values of the whole column, sorted; there is one if there is any value.
     """
     unknown = [s for s in stats if s not in STATS]
     if unknown:
         raise ValueError(f"unknown stats {unknown}; known: {list(STATS)}")
-    source = df if sample is None else first_rows(df, sample)
+    source = df if sample is None else sample_rows(df, sample)
     facts = []
-    for field in df.schema:
-        known = _stats(field, exact_distinct, sample_values)
+    for i, field in enumerate(df.schema):
+        known = _stats(field, i, exact_distinct, sample_values)
         facts.append({name: known[name] for name in stats})
-    return column_rows(source, df.schema.fields, facts)
+    return column_rows(_dealt(source, stats), df.schema.fields, facts)
+
+
+def _dealt(df: DataFrame, stats: Sequence[str]) -> DataFrame:
+    """With the part that each value is dealt to, where samples are wanted."""
+    if "sample_values" not in stats:
+        return df
+    parts = {}
+    for i, field in enumerate(df.schema):
+        value = quoted(field.name) if hashable(field.dataType) else as_text(field.name, field.dataType)
+        dealt = f"CASE WHEN {present(field.name, field.dataType)} THEN pmod(xxhash64({value}), {SAMPLE_PARTS}) END"
+        parts[f"__part{i}"] = F.expr(dealt)
+    return df.withColumns(parts)
 
 
-def _stats(field: T.StructField, exact_distinct: bool, sample_values: int, copies: str | None = None) -> dict[str, str]:
-    """Aggregates by name; `copies` is a column that says how often a row counts."""
+def _stats(field: T.StructField, ordinal: int, exact_distinct: bool, sample_values: int) -> dict[str, str]:
+    """Aggregates by name, over the rows of `_dealt`."""
     name, dtype = field.name, field.dataType
     there, text = present(name, dtype), as_text(name, dtype)
     value = quoted(name) if hashable(dtype) else text
@@ -63,13 +76,11 @@ def _stats(field: T.StructField, exact_distinct: bool, sample_values: int, copie
     longest = f"max(length({text})) FILTER (WHERE {there})" if is_text else "CAST(NULL AS INT)"
     rows, some = "count(1)", f"count_if({there})"
     average = f"avg(length({text})) FILTER (WHERE {there})" if is_text else "CAST(NULL AS DOUBLE)"
-    if copies:
-        rows, some = f"coalesce(sum({copies}), 0L)", f"coalesce(sum({copies}) FILTER (WHERE {there}), 0L)"
-        if is_text:
-            average = f"try_divide(sum({copies} * length({text})) FILTER (WHERE {there}), {some})"
     distinct = "count(DISTINCT {})" if exact_distinct else "approx_count_distinct({})"
-    part = f"pmod(xxhash64({text}), {SAMPLE_PARTS})"
-    samples = ", ".join(f"min({text}) FILTER (WHERE {there} AND {part} = {i})" for i in range(SAMPLE_PARTS))
+    # The least value of each part; what is no nested value becomes text only afterwards.
+    plain = hashable(dtype) and not is_nested(dtype)
+    least = f"min(if(__part{ordinal} = {{}}, {quoted(name) if plain else text}, NULL))"
+    samples = ", ".join(f"CAST({least.format(i)} AS STRING)" for i in range(SAMPLE_PARTS))
     return {
         "dtype": text_literal(dtype.simpleString()),
         "guessed_type": guessed_type(name, dtype),
@@ -85,22 +96,14 @@ def _stats(field: T.StructField, exact_distinct: bool, sample_values: int, copie
 
 def profile_table(df: DataFrame, sample: int | None = None, stats: Sequence[str] = STATS) -> DataFrame:
     """One row: the facts of `profile_dataset`, and `columns`, an array with those of
-    `profile_columns`, from one pass.
-
-    Copies of a row are counted together, and everything else is taken from the distinct rows.
-    """
-    source = df if sample is None else first_rows(df, sample)
-    distinct = source.groupBy(*group_keys(source, source.columns)).agg(F.count(F.lit(1)).alias("__copies"))
+    `profile_columns`, from one pass, beside that over the digests of the rows."""
+    source = df if sample is None else sample_rows(df, sample)
     structs = []
     for i, field in enumerate(df.schema):
-        known = _stats(field, False, 5, "__copies")
-        if not hashable(field.dataType):  # it is JSON text now
-            known = _stats(T.StructField(field.name, T.StringType()), False, 5, "__copies")
-            known |= {"dtype": text_literal(field.dataType.simpleString()), "guessed_type": "'string'"}
-            known |= {"max_length": "CAST(NULL AS INT)", "avg_length": "CAST(NULL AS DOUBLE)"}
+        known = _stats(field, i, False, 5)
         facts = {"column": text_literal(field.name), "ordinal": str(i)} | {name: known[name] for name in stats}
         structs.append(F.expr("struct(" + ", ".join(f"{sql} AS {quoted(n)}" for n, sql in facts.items()) + ")"))
-    return _dataset_facts(distinct, df.schema, [F.array(*structs).alias("columns")])
+    return _dataset_facts(source, _dealt(source, stats), [F.array(*structs).alias("columns")])
 
 
 def profile_dataset(df: DataFrame, sample: int | None = None) -> DataFrame:
@@ -108,33 +111,25 @@ def profile_dataset(df: DataFrame, sample: int | None = None) -> DataFrame:
     quality_score, null_counts`.
 
     Completeness is `100 * (1 - nulls / cells)`, 100 for an empty table; the quality score is
-    the same number. Copies of a row are counted together before the shuffle, and the nulls
-    are summed over the distinct rows, so one pass gives both.
+    the same number. Repeated rows are counted by digest, when this is called; the rest is one pass.
     """
-    source = df if sample is None else first_rows(df, sample)
-    distinct = source.groupBy(*group_keys(source, source.columns)).agg(F.count(F.lit(1)).alias("__copies"))
-    return _dataset_facts(distinct, df.schema, [])
+    source = df if sample is None else sample_rows(df, sample)
+    return _dataset_facts(source, source, [])
 
 
-def _dataset_facts(distinct: DataFrame, schema: T.StructType, more: Sequence[Column]) -> DataFrame:
+def _dataset_facts(source: DataFrame, dealt: DataFrame, more: Sequence[Column]) -> DataFrame:
+    schema = source.schema
     width, extra = len(schema), [F.col("columns")] * bool(more)
-    rows = F.coalesce(F.sum("__copies"), F.lit(0))
-    nulls = [
-        F.expr(f"coalesce(sum(__copies) FILTER (WHERE NOT {present(f.name, f.dataType)}), 0)") for f in schema
-    ]
-    facts = distinct.agg(
-        rows.alias("row_count"),
-        (rows - F.count(F.lit(1))).alias("duplicate_rows"),
-        F.array(*nulls).alias("nulls"),
-        *more,
-    ).withColumn("total_nulls", F.aggregate("nulls", F.lit(0).cast("bigint"), lambda total, n: total + n))
+    nulls = [F.expr(f"count_if(NOT {present(f.name, f.dataType)})") for f in schema]
+    facts = dealt.agg(F.count(F.lit(1)).alias("row_count"), F.array(*nulls).alias("nulls"), *more)
+    facts = facts.withColumn("total_nulls", F.aggregate("nulls", F.lit(0).cast("bigint"), lambda total, n: total + n))
     cells = F.col("row_count") * width
     score = F.when(cells == 0, F.lit(100.0)).otherwise(100 * (1 - F.col("total_nulls") / cells))
     return facts.select(
         "row_count",
         F.lit(width).alias("column_count"),
         "total_nulls",
-        "duplicate_rows",
+        duplicate_counts(source).select("removed").scalar().alias("duplicate_rows"),
         score.alias("completeness_score"),
         score.alias("quality_score"),
         F.map_from_arrays(F.array(*[F.lit(c) for c in schema.names]), "nulls").alias("null_counts"),

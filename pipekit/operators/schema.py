@@ -8,17 +8,18 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from pipekit.functions.times import local_clock, month, truncated
 from pipekit.functions.types import GUESS_TYPES, converted, guessed_type, present, quoted, text_literal
-from pipekit.operators.keys import column_rows, first_rows, match, named, require
+from pipekit.operators import ordering
+from pipekit.operators.keys import column_rows, match, named, require
 
 
 def guess_types(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
     """One row `(column, ordinal, guessed_type)` per column.
 
     A text column is the narrowest of integer, number, boolean and string that fits all its
-    non-empty values; one aggregate covers every column. `sample_rows` looks at any so many
-    rows only.
+    non-empty values; one aggregate covers every column. `sample_rows` looks at a random sample
+    of so many rows only.
     """
-    source = df if sample_rows is None else first_rows(df, sample_rows)
+    source = df if sample_rows is None else ordering.sample_rows(df, sample_rows)
     facts = [{"guessed_type": guessed_type(f.name, f.dataType)} for f in df.schema]
     return column_rows(source, df.schema.fields, facts)
 
@@ -29,7 +30,7 @@ def infer_schema(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
     Text columns get the Spark type their values allow, others keep theirs; `nullable` says
     whether a value is missing (null or empty).
     """
-    source = df if sample_rows is None else first_rows(df, sample_rows)
+    source = df if sample_rows is None else ordering.sample_rows(df, sample_rows)
     named_types = ", ".join(f"'{guess}', '{name}'" for guess, name in GUESS_TYPES.items())
     facts = []
     for f in df.schema:

@@ -24,7 +24,8 @@ FEW = 1_000_000
 
 
 def at_ranks(df: DataFrame, keys: Sequence[str], column: str, ranks: Column) -> DataFrame:
-    """`keys` and `value`, a row for each of the group's `ranks`.
+    """`keys`, `rank`, `value` and `inside`, a row for each of the group's `ranks`; `inside` is the rank
+    among the rows with that value.
 
     `ranks` is an array of different numbers from 1, made from `__n`, the group's known values; ranks
     beyond them are left out. Each pass is a job, three at most, which leaves a small table: a row for
@@ -61,4 +62,4 @@ def at_ranks(df: DataFrame, keys: Sequence[str], column: str, ranks: Column) ->
         found = saved(step, "ranks")
         wanted = found.drop("value", "__rows")
         few = left > 0 and (found.agg(F.max("__rows")).first()[0] or 0) <= FEW
-    return found.select(*groups, F.col("__which").alias("rank"), "value")
+    return found.select(*groups, F.col("__which").alias("rank"), "value", F.col("__rank").alias("inside"))

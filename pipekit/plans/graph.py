@@ -1,14 +1,15 @@
-"""Jobs written as a list of named nodes."""
+"""Jobs written as named nodes and the edges between them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Collection, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 from pipekit.operators import aggregate, clean, joins, ordering, quality, schema
 from pipekit.plans import audit, partitions
+from pipekit.session import saved
 from pipekit.sinks import database as database_sink, files as file_sink
 from pipekit.sources import database, files
 
@@ -82,24 +83,83 @@ NODES: dict[str, Callable[..., DataFrame | None]] = {
 }
 
 
-def run_graph(spark: SparkSession, nodes: list[Params], **inputs: DataFrame) -> dict[str, DataFrame | None]:
-    """Run nodes `{"id", "op", "params"}` in the order given; returns the table of each id.
+def ordered_nodes(nodes: Sequence[Params], edges: Sequence[tuple[str, str]], inputs: Collection[str]) -> list[tuple[Params, list[str]]]:
+    """The nodes so that each comes after those it reads or follows, each with the tables it reads.
 
-    A node names its input in `params["from"]` (joins: `left` and `right`): an earlier node or
-    one of `inputs`. Tables stay lazy, so everything up to a sink is one plan.
+    A node reads what its parameters name, or else the nodes with an edge to it, in the order of the
+    edges; other edges only say what comes first. Nodes that could come next keep their given order.
     """
-    tables: dict[str, DataFrame | None] = dict(inputs)
+    by_id: dict[str, Params] = {}
     for node in nodes:
         if node["op"] not in NODES:
             raise ValueError(f"unknown node type {node['op']!r}; known: {sorted(NODES)}")
-        if node["id"] in tables:
+        if node["id"] in by_id or node["id"] in inputs:
             raise ValueError(f"two tables are called {node['id']!r}")
-        params = dict(node.get("params", {}))
-        sources = [params.pop(key) for key in INPUTS if key in params]
-        unknown = [s for s in sources if s not in tables]
+        by_id[node["id"]] = node
+    odd = sorted({end for edge in edges for end in edge if end not in by_id and end not in inputs})
+    if odd:
+        raise ValueError(f"edges lead to or from {odd}, which are no nodes")
+    into = sorted({end for _, end in edges if end in inputs})
+    if into:
+        raise ValueError(f"edges lead to {into}, which are given")
+    reads: dict[str, list[str]] = {}
+    after: dict[str, set[str]] = {}
+    for name, node in by_id.items():
+        params = node.get("params", {})
+        before = [start for start, end in edges if end == name]
+        reads[name] = [params[key] for key in INPUTS if key in params] or list(dict.fromkeys(before))
+        unknown = [s for s in reads[name] if s not in by_id and s not in inputs]
         if unknown:
-            raise ValueError(f"node {node['id']!r} reads {unknown}, which no earlier node made")
+            raise ValueError(f"node {name!r} reads {unknown}, which no node makes")
+        after[name] = {s for s in (*reads[name], *before) if s in by_id}
+    done: list[str] = []
+    while len(done) < len(by_id):
+        ready = [name for name in by_id if name not in done and after[name] <= set(done)]
+        if not ready:
+            raise ValueError(f"nodes wait for each other: {sorted(set(by_id) - set(done))}")
+        done.append(ready[0])
+    return [(by_id[name], reads[name]) for name in done]
+
+
+def _shared(order: Sequence[tuple[Params, list[str]]]) -> set[str]:
+    """Tables that several branches with a sink of their own read."""
+    sinks: dict[str, set[str]] = {}
+    branches: dict[str, list[set[str]]] = {}
+    for node, reads in reversed(order):
+        own = set().union(*branches.get(node["id"], []))
+        sinks[node["id"]] = own | ({node["id"]} if node["op"].startswith("Sink.") else set())
+        for name in reads:
+            branches.setdefault(name, []).append(sinks[node["id"]])
+    return {
+        name
+        for name, own in branches.items()
+        if len([b for b in own if b]) > 1 and len(set().union(*own)) > 1
+    }
+
+
+def run_graph(
+    spark: SparkSession, nodes: Sequence[Params], edges: Sequence[tuple[str, str]] = (), **inputs: DataFrame
+) -> dict[str, DataFrame | None]:
+    """Run nodes `{"id", "op", "params"}`; returns the table of each id.
+
+    A node names its input in `params["from"]` (joins: `left` and `right`), another node or one of
+    `inputs`, or is given it by an edge `(from, to)`; edges between nodes that read nothing of each
+    other only order them. Nodes run after all they wait for, whatever their order here; nodes that wait
+    for each other, and names of no node, are errors before anything runs. Tables stay lazy, so
+    everything up to a sink is one plan; but a table that leads to several sinks by several ways is
+    written once, in the shared folder, and read by each.
+    """
+    order = ordered_nodes(nodes, edges, inputs)
+    tables: dict[str, DataFrame | None] = dict(inputs)
+    shared = _shared(order)
+    for name in shared & set(inputs):
+        tables[name] = saved(tables[name], "shared")
+    for node, reads in order:
+        params = {k: v for k, v in node.get("params", {}).items() if k not in INPUTS}
         arguments = {RENAMED.get(k, k): v for k, v in params.items()}
-        upstream = [tables[s] for s in sources] or [None]
-        tables[node["id"]] = NODES[node["op"]](spark, *upstream, **arguments)
+        upstream = [tables[s] for s in reads] or [None]
+        if node["op"] != "Transform.Join":  # a node that reads one table may wait for several
+            upstream = upstream[:1]
+        made = NODES[node["op"]](spark, *upstream, **arguments)
+        tables[node["id"]] = saved(made, "shared") if node["id"] in shared and made is not None else made
     return tables

@@ -98,6 +98,28 @@ def duplicate_counts(table: Tables) -> DataFrame:
     return clean.duplicate_counts(table("lineitem"), ["l_orderkey", "l_linenumber"])
 
 
+DISTINCT_DOCUMENTS = "SELECT DISTINCT text, lang, n_chars FROM documents"
+
+
+@query("drop_duplicates_digest", DISTINCT_DOCUMENTS)
+def drop_duplicates_digest(table: Tables) -> DataFrame:
+    """Whole texts, of which only those with a repeated digest are shuffled."""
+    return clean.drop_duplicates(table("documents").select("text", "lang", "n_chars"), by_digest=True)
+
+
+@query(
+    "duplicate_counts_digest",
+    f"""
+    SELECT count(*) AS input_rows, (SELECT count(*) FROM ({DISTINCT_DOCUMENTS})) AS kept,
+           count(*) - (SELECT count(*) FROM ({DISTINCT_DOCUMENTS})) AS removed FROM documents
+    """,
+)
+def duplicate_counts_digest(table: Tables) -> DataFrame:
+    """Whole texts beside a map, which has no order and no hash."""
+    documents = table("documents").select("text", "lang", "n_chars")
+    return clean.duplicate_counts(documents.withColumn("facts", F.create_map(F.lit("n"), "n_chars")))
+
+
 # --- nulls ---------------------------------------------------------------------------------
 
 

@@ -382,3 +382,35 @@ def node_graph(table: Tables) -> DataFrame:
         {"id": "out", "op": "Type.Cast", "params": {"from": "best", "casts": {"total": "Float64"}}},
     ]
     return run_graph(orders.sparkSession, nodes, orders=orders, customer=table("customer"))["out"]
+
+
+@query(
+    "node_graph_edges",
+    """
+    WITH t AS (SELECT * FROM orders WHERE o_orderstatus <> 'P')
+    SELECT 'lines' AS sink, o_orderpriority, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total
+    FROM t GROUP BY ALL
+    UNION ALL
+    SELECT 'totals', o_orderpriority, count(*), CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE)
+    FROM t WHERE o_orderkey % 2 = 0 GROUP BY ALL
+    """,
+)
+def node_graph_edges(table: Tables) -> DataFrame:
+    """Nodes in no order, tied by edges; two sinks read what their common node made, written once."""
+    orders = table("orders")
+    spark = orders.sparkSession
+    lines, totals = _path(orders, "lines"), _path(orders, "totals")
+    metrics = {"n": {"op": "count"}, "total": {"op": "sum", "col": "o_totalprice"}}
+    nodes = [
+        {"id": "totals", "op": "Sink.DataLake", "params": {"path": totals, "format": "parquet"}},
+        {"id": "sums", "op": "Transform.Aggregate", "params": {"group_by": ["o_orderpriority"], "metrics": metrics}},
+        {"id": "even", "op": "Transform.Filter", "params": {"condition": "o_orderkey % 2 = 0"}},
+        {"id": "lines", "op": "Sink.DataLake", "params": {"path": lines, "format": "parquet"}},
+        {"id": "typed", "op": "Type.Cast", "params": {"casts": {"o_totalprice": "Decimal(18,2)"}}},
+        {"id": "open", "op": "Transform.Filter", "params": {"condition": "o_orderstatus <> 'P'"}},
+    ]
+    edges = [("orders", "open"), ("open", "typed"), ("typed", "lines"), ("typed", "even"), ("even", "sums"), ("sums", "totals")]
+    run_graph(spark, nodes, edges, orders=orders)
+    whole = aggregate(spark.read.parquet(lines), ["o_orderpriority"], metrics).withColumn("sink", F.lit("lines"))
+    both = whole.unionByName(spark.read.parquet(totals).withColumn("sink", F.lit("totals")))
+    return both.select("sink", "o_orderpriority", "n", F.col("total").cast("double").alias("total"))

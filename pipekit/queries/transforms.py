@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pipekit.operators.aggregate import aggregate, pivot
 from pipekit.operators.joins import join_tables
-from pipekit.operators.ordering import head, rank_rows, sample, sort_rank, sort_rows, top_n
+from pipekit.operators.ordering import head, rank_rows, sample, sample_rows, sort_rank, sort_rows, top_n
 from pipekit.queries.registry import Tables, query
 
 
@@ -510,3 +510,25 @@ def sample_fraction(table: Tables) -> DataFrame:
     picked = sample(events, 0.1, seed=7).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_type").alias("kinds"))
     total = events.agg(F.count(F.lit(1)).alias("total")).scalar()
     return picked.select(F.col("n").between(total * 0.05, total * 0.15).alias("fair"), "kinds")
+
+
+@query(
+    "sample_exact",
+    """
+    SELECT 'all' AS kind, least(count(*), 5000) AS n, least(count(*), 5000) AS kinds, TRUE AS fair FROM events
+    UNION ALL SELECT event_type, least(count(*), 300), 1, TRUE FROM events GROUP BY event_type
+    """,
+)
+def sample_exact(table: Tables) -> DataFrame:
+    """So many rows, all different as in the table, and so many of each kind; means close to the table's."""
+    events = table("events")
+    whole, spread = events.agg(F.avg("user_id").alias("m"), F.stddev("user_id").alias("s")).first()
+    rows = sample_rows(events, 5000, seed=3).agg(
+        F.lit("all").alias("kind"),
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct("event_id").alias("kinds"),
+        (F.abs(F.avg("user_id") - whole) < spread / 10).alias("fair"),
+    )
+    each = sample_rows(events, 300, ["event_type"], seed=3).groupBy(F.col("event_type").alias("kind"))
+    near = F.abs(F.avg("user_id") - whole) < spread / 2
+    return rows.unionByName(each.agg(F.count(F.lit(1)).alias("n"), F.lit(1).cast("long").alias("kinds"), near.alias("fair")))

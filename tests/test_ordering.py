@@ -157,6 +157,26 @@ def test_spread_ranks_over_many_sorted_parts(spark, method, groups):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+@pytest.mark.parametrize("gathered", [ordering.GATHERED_TOP_N, 0])
+def test_samples_of_exact_size(spark, monkeypatch, gathered):
+    """The same rows for a seed, whatever the partitions; copies, nulls and maps."""
+    monkeypatch.setattr(ordering, "GATHERED_TOP_N", gathered)
+    df = spark.range(3000).selectExpr(
+        "if(id < 1000, NULL, id) AS a", "if(id < 1000, 'hot', CAST(id % 3 AS STRING)) AS g", "map('k', id div 1001) AS m"
+    )
+    text = lambda found: sorted(str(r) for r in found.collect())
+    for n in (0, 1, 500, 2999, 3000, 4000):
+        one = ordering.sample_rows(df.repartition(3), n, seed=5)
+        assert one.dtypes == df.dtypes and one.count() == min(n, 3000)
+        assert text(one) == text(ordering.sample_rows(df.repartition(8, "a"), n, seed=5))
+    each = ordering.sample_rows(df, 700, ["g"], seed=5)
+    sizes = {"hot": 700, **{str(i): 667 for i in range(3)}}
+    assert {r.g: r["count"] for r in each.groupBy("g").count().collect()} == {**sizes, "0": 666, "1": 667, "2": 667}
+    known = [r.a for r in ordering.sample_rows(df, 600, seed=5).collect() if r.a is not None]
+    assert len(set(known)) == len(known) and known != [r.a for r in ordering.sample_rows(df, 600, seed=6).collect() if r.a]
+    assert ordering.sample_rows(df.limit(0), 10, ["g"]).count() == 0
+
+
 def test_heads_are_bounded(table):
     with pytest.raises(ValueError, match="too many"):
         ordering.head(table("events"), 2_000_000)

@@ -4,7 +4,7 @@ import pathlib
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import final_plan, rows
+from conftest import final_plan, plan, rows
 from pipekit import session as sessions
 from pipekit.plans import audit
 from pipekit.plans.analyze import analyze_file
@@ -140,6 +140,44 @@ def test_graph_over_views(spark, people):
     assert {r.column: r.null_count for r in tables["p"].collect()}["email"] == 2
 
 
+def test_edges_order_nodes_and_share_what_several_sinks_read(spark, people, tmp_path):
+    people.write.parquet(f"{tmp_path}/source")
+    nodes = [
+        {"id": "log", "op": "Audit.Log", "params": {"path": f"{tmp_path}/audit", "pipeline": "p", "run_id": "1"}},
+        {"id": "two", "op": "Sink.Files", "params": {"path": f"{tmp_path}/two", "format": "json"}},
+        {"id": "one", "op": "Sink.DataLake", "params": {"path": f"{tmp_path}/one", "format": "parquet"}},
+        {"id": "old", "op": "Transform.Filter", "params": {"condition": "age > 40"}},
+        {"id": "known", "op": "Clean.Nulls", "params": {"strategy": {"mode": "drop", "columns": ["age"]}}},
+        {"id": "both", "op": "Transform.Join", "params": {"on": ["id"], "how": "inner"}},
+        {"id": "source", "op": "Source.FileRead", "params": {"path": f"{tmp_path}/source"}},
+        {"id": "start", "op": "Orch.Trigger"},
+    ]
+    edges = [("start", "source"), ("source", "known"), ("known", "one"), ("known", "old"), ("old", "two")]
+    edges += [("one", "log"), ("two", "log"), ("known", "both"), ("old", "both")]
+    tables = run_graph(spark, nodes, edges)
+    assert spark.read.parquet(f"{tmp_path}/one").count() == 5 and spark.read.json(f"{tmp_path}/two").count() == 2
+    assert tables["both"].count() == 1 and "id" in tables["both"].columns
+    assert audit.read_events(spark, f"{tmp_path}/audit").first().metrics == {"rows": 5}
+    # What both sinks read was written once: no plan after it reads the source.
+    assert f"{tmp_path}/source" in plan(tables["source"])
+    assert all(f"{tmp_path}/source" not in plan(tables[name]) for name in ("known", "old", "both"))
+
+
+@pytest.mark.parametrize(
+    "edges, said",
+    [
+        ([("a", "b"), ("b", "c"), ("c", "a")], "wait for each other"),
+        ([("a", "a")], "wait for each other"),
+        ([("people", "a"), ("z", "b")], "no nodes"),
+        ([("a", "people")], "given"),
+    ],
+)
+def test_edges_that_cannot_be(spark, people, edges, said):
+    nodes = [{"id": name, "op": "Orch.Trigger"} for name in "abc"]
+    with pytest.raises(ValueError, match=said):
+        run_graph(spark, nodes, edges, people=people)
+
+
 def test_graph_errors(spark, people):
     for nodes in (
         [{"id": "a", "op": "AI.Report"}],

@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import final_plan, plan, rows
-from pipekit.operators import quality
+from pipekit.operators import digests, quality
+from pipekit.operators.clean import drop_duplicates, duplicate_counts
 from pipekit.operators.quality import profile_columns, profile_dataset, quality_issues
 
 
@@ -81,10 +82,33 @@ def test_one_pass(table):
     assert text.count("FileScan") == 1 and text.count("Exchange") == 1 and "SinglePartition" in text
 
 
-def test_duplicates_are_counted_before_the_shuffle(table):
-    lines = plan(profile_dataset(table("documents"))).splitlines()
-    shuffle = next(i for i, line in enumerate(lines) if "Exchange hashpartitioning" in line)
-    assert "partial_count(1)" in lines[shuffle + 1]
+def test_only_repeated_digests_are_shuffled_in_full(table):
+    """Rows meet the few repeated digests in a broadcast; what is grouped by whole rows comes after it."""
+    documents = table("documents")
+    for text in (plan(duplicate_counts(documents.drop("doc_id"))), plan(drop_duplicates(documents.drop("doc_id"), by_digest=True))):
+        lines = text.splitlines()
+        shuffles = [i for i, line in enumerate(lines) if "Exchange hashpartitioning" in line]
+        assert shuffles and all("HashAggregate" in lines[i + 1] for i in shuffles)
+        assert all(any("BroadcastHashJoin" in line and "LeftSemi" in line for line in lines[i:]) for i in shuffles)
+
+
+def test_digests_compare_rows(spark, monkeypatch):
+    """Nulls in other places, maps, zeros of either sign, NaN, and digests that clash."""
+    nan = float("nan")
+    data = [(1, None, {"a": 1}, 0.0), (None, 1, {"a": 1}, 0.0), (1, None, {"a": 1}, -0.0), (1, None, {"a": 2}, 0.0)]
+    data += [(2, 2, None, nan)] * 40 + [(3, None, {}, None), (3, None, None, None)]
+    df = spark.createDataFrame(data, "a int, b int, m map<string,int>, d double").repartition(5)
+    assert tuple(duplicate_counts(df).first()) == (46, 6, 40)
+    assert drop_duplicates(df, by_digest=True).count() == drop_duplicates(df).count() == 6
+    assert tuple(duplicate_counts(df.limit(0)).first()) == (0, 0, 0)
+    assert drop_duplicates(df.limit(0), by_digest=True).schema == df.schema
+    assert tuple(duplicate_counts(df.where("a = 3")).first()) == (2, 2, 0)
+    assert rows(drop_duplicates(df, ["a", "b"], by_digest=True), "a", "b") == [(None, 1), (1, None), (2, 2), (3, None)]
+    monkeypatch.setattr(digests, "MOST_BROADCAST", 0)
+    assert drop_duplicates(df, by_digest=True).count() == 6
+    monkeypatch.setattr(digests, "digest", lambda df, columns: {"__digest0": F.lit(1), "__digest1": F.lit(2)})
+    assert tuple(duplicate_counts(df).first()) == (46, 6, 40)
+    assert drop_duplicates(df, by_digest=True).count() == 6
 
 
 def test_issues(people):
