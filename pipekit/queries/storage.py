@@ -14,7 +14,7 @@ from pipekit.plans.graph import run_graph
 from pipekit.plans.partitions import partition_counts, partition_grid
 from pipekit.queries.registry import Tables, query
 from pipekit.session import fresh_path
-from pipekit.sinks.files import export_files, stage, write_checked, write_datalake
+from pipekit.sinks.files import export_files, stage, stage_buckets, write_checked, write_datalake
 from pipekit.sources.database import aggregate_in_engine, read_query, read_table
 from pipekit.sources.files import bulk_import, read_files, require_rows
 
@@ -146,6 +146,33 @@ def parquet_stage(table: Tables) -> DataFrame:
     return aggregate(staged, metrics=metrics)
 
 
+@query(
+    "staged_buckets",
+    """
+    SELECT o_orderpriority, count(*) AS orders, sum(n) AS lines, sum(late) AS late
+    FROM orders
+    JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) a ON o_orderkey = a.l_orderkey
+    JOIN (SELECT l_orderkey, count(*) FILTER (l_shipdate > TIMESTAMP '2023-01-01') AS late FROM lineitem GROUP BY 1) b
+      ON o_orderkey = b.l_orderkey
+    GROUP BY ALL
+    """,
+)
+def staged_buckets(table: Tables) -> DataFrame:
+    """Two joins and two aggregates on one key, of tables that were dealt out by it once."""
+    joined = bucketed_join(table("orders"), table("lineitem"))
+    return joined.groupBy("o_orderpriority").agg(
+        F.count(F.lit(1)).alias("orders"), F.sum("n").alias("lines"), F.sum("late").alias("late")
+    )
+
+
+def bucketed_join(orders: DataFrame, lines: DataFrame) -> DataFrame:
+    orders = stage_buckets(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority"), ["l_orderkey"], 8)
+    lines = stage_buckets(lines.select("l_orderkey", "l_shipdate"), ["l_orderkey"], 8)
+    late = F.count_if(F.col("l_shipdate") > F.lit("2023-01-01").cast("timestamp_ntz")).alias("late")
+    counts = lines.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    return orders.join(counts, "l_orderkey").join(lines.groupBy("l_orderkey").agg(late), "l_orderkey")
+
+
 @query(
     "sink_roundtrip_partitioned",
     """

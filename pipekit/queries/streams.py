@@ -10,7 +10,10 @@ from pipekit.queries.registry import ORACLES, QUERIES, Query
 from pipekit.session import fresh_path, tune
 from pipekit.streaming.tables import (
     batch_folders,
+    drop_old_parts,
+    latest_parts,
     read_stream,
+    replace_parts,
     replace_table,
     stream_aggregate,
     stream_deduplicate,
@@ -102,3 +105,22 @@ def stream_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "stream")
     stream_to(events, batch_folders(path), fresh_path(spark, "checkpoint")).awaitTermination()
     return spark.read.parquet(path).drop("batch_id")
+
+
+@_register(
+    "stream_daily_update",
+    """
+    SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, max(value) AS hi FROM events GROUP BY ALL
+    """,
+)
+def stream_daily_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each batch hands over the windows it changes, and only their days are written again."""
+    events = _events(spark, sf_dir)
+    metrics = {"n": {"op": "count"}, "hi": {"op": "max", "col": "value"}}
+    daily = stream_aggregate(events, "ts", "1 day", metrics, ["event_type"], delay="60 days")
+    path = fresh_path(spark, "stream")
+    write = replace_parts(path, ["window_start", "event_type"], lambda b: F.date_format("window_start", "yyyy-MM-dd"))
+    stream_to(daily, write, fresh_path(spark, "checkpoint"), "update").awaitTermination()
+    drop_old_parts(spark, path)
+    start = F.col("window_start").cast("timestamp_ntz").alias("window_start")
+    return latest_parts(spark, path).select(start, "event_type", "n", "hi")

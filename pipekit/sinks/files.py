@@ -8,7 +8,8 @@ from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, functions as F
 
-from pipekit.session import saved
+from pipekit.operators.keys import named
+from pipekit.session import fresh_path, saved
 from pipekit.sources.files import storage_uri
 
 MODES = ("append", "overwrite", "error", "ignore")
@@ -107,3 +108,18 @@ def write_checked(write: Callable[[Observation], None], read: Callable[[], DataF
 def stage(df: DataFrame) -> DataFrame:
     """Write the table once to the shared folder and go on from there."""
     return saved(df, "stage")
+
+
+def stage_buckets(df: DataFrame, by: Sequence[str], buckets: int) -> DataFrame:
+    """Write the table once to the shared folder, dealt out and sorted by `by`, and go on from there.
+
+    Joins and aggregates on `by` between tables with the same number of buckets need no shuffle. A
+    bucket is one file and one task, so that `buckets` should follow the size of the table, and a key
+    with a large part of all rows is better joined without them.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, "buckets")
+    name = "staged_" + path.rsplit("-", 1)[-1]
+    dealt = df.repartition(buckets, *[named(c) for c in by])
+    dealt.write.bucketBy(buckets, *by).sortBy(*by).option("path", path).saveAsTable(name)
+    return spark.table(name)

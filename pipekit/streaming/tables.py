@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from pipekit.functions.metrics import metric
 from pipekit.operators.keys import named, require
+from pipekit.session import saved
 
 FILE_FORMATS = ("csv", "json", "parquet")
 
@@ -142,3 +144,59 @@ def replace_table(path: str) -> Callable[[DataFrame, int], None]:
 def batch_folders(path: str) -> Callable[[DataFrame, int], None]:
     """For `stream_to` in append mode: each batch has its own folder, replaced if it comes again."""
     return lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+
+# Folder columns of a table that is replaced by parts: the part, and the batch that wrote it last.
+PART, BATCH = "part", "batch"
+
+
+def latest_parts(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """The rows of a table written by `replace_parts`: of each part what its last batch wrote.
+
+    `before` leaves out that batch and later ones.
+    """
+    rows = spark.read.option("basePath", path).parquet(path).withColumn(PART, F.col(PART).cast("string"))
+    rows = rows.withColumn(BATCH, F.col(BATCH).cast("long"))
+    if before is not None:
+        rows = rows.where(F.col(BATCH) < before)
+    last = rows.groupBy(PART).agg(F.max(BATCH).alias(BATCH))
+    return rows.join(last, [PART, BATCH], "left_semi").drop(BATCH)
+
+
+def replace_parts(path: str, keys: Sequence[str], part: Callable[[DataFrame], Column]) -> Callable[[DataFrame, int], None]:
+    """For `stream_to` in update mode: a table of the latest values by `keys`, in parts.
+
+    Only parts that a batch changes are written, each to a folder of that batch, with the rows of its
+    keys that did not change; other files stay as they are. A batch that comes again starts from what
+    earlier ones left and replaces its own folders, so that a lost batch does no harm. `part` gives
+    each row's part as text; rows of a key must stay in one part. `latest_parts` reads the table, and
+    `drop_old_parts` deletes what later batches have replaced.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        changed = saved(batch.withColumn(PART, part(batch)), "batch")
+        whole = changed
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if files.exists(target) and any(f.getPath().getName().startswith(f"{PART}=") for f in files.listStatus(target)):
+            old = latest_parts(spark, path, batch_id).join(changed.select(PART).distinct(), PART, "left_semi")
+            renamed = changed.select(*[named(k).alias(f"__{k}") for k in keys])
+            same = [named(k).eqNullSafe(named(f"__{k}")) for k in keys]
+            whole = changed.unionByName(old.join(renamed, reduce(Column.__and__, same), "left_anti"))
+        writer = whole.withColumn(BATCH, F.lit(batch_id)).repartition(PART).write.mode("overwrite")
+        writer.option("partitionOverwriteMode", "dynamic").partitionBy(PART, BATCH).parquet(path)
+
+    return write
+
+
+def drop_old_parts(spark: SparkSession, path: str) -> int:
+    """Delete the folders that a later batch has replaced; returns how many. Call it while nothing reads the table."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    gone = 0
+    for folder in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(target, f"{PART}=*")):
+        batches = [f.getPath() for f in files.listStatus(folder.getPath()) if f.getPath().getName().startswith(f"{BATCH}=")]
+        for old in sorted(batches, key=lambda p: int(p.getName().split("=")[1]))[:-1]:
+            gone += bool(files.delete(old, True))
+    return gone

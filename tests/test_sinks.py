@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import final_plan, rows
+from pipekit.queries.storage import bucketed_join
 from pipekit.sinks import database
 from pipekit.sinks.files import export_files, stage, write_checked, write_datalake
 from pipekit.sources.files import read_files
@@ -163,3 +164,17 @@ def test_database_write_options(monkeypatch):
     assert (writer.seen["truncate"], writer.seen["batchsize"], writer.seen["user"]) == ("true", "10", "me")
     with pytest.raises(ValueError):
         database.write_table(writer, "postgres", "t", "u", mode="merge")
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, table):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = bucketed_join(table("orders"), table("lineitem"))
+        text = final_plan(joined)
+        assert text.count("SortMergeJoin") == 2 and text.count("HashAggregate") >= 2 and "Exchange" not in text
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    lines = table("lineitem").groupBy("l_orderkey").count()
+    plain = table("orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    assert rows(joined, "l_orderkey", "n") == rows(plain, "l_orderkey", "count")

@@ -8,6 +8,9 @@ from pipekit.operators.aggregate import aggregate
 from pipekit.operators.clean import add_batch_columns, fill_nulls, normalize_text, standardize_text
 from pipekit.operators.schema import cast_types, parse_time
 from pipekit.streaming.tables import (
+    drop_old_parts,
+    latest_parts,
+    replace_parts,
     batch_folders,
     read_stream,
     replace_table,
@@ -156,3 +159,34 @@ def test_rejections(spark, late):
         read_stream(spark, "xlsx", "/tmp", SCHEMA)
     with pytest.raises(ValueError):
         stream_aggregate(late(), "ts", "1 hour", {"m": {"op": "median", "col": "user_id"}})
+
+
+def test_only_changed_parts_are_written_again(spark, tmp_path):
+    """Untouched files keep their times, a batch that comes again changes nothing, and old folders go."""
+    path = f"{tmp_path}/table"
+    write = replace_parts(path, ["k"], lambda b: F.col("day"))
+    batch = lambda *data: spark.createDataFrame(list(data), "k int, day string, v int")
+    files = lambda: {f: f.stat().st_mtime_ns for f in (tmp_path / "table").rglob("*.parquet")}
+    write(batch((1, "mon", 1), (2, "mon", 2), (3, "tue", 3), (None, "wed", 9)), 0)
+    first = files()
+    for _ in range(2):  # as after a lost batch
+        write(batch((2, "mon", 20), (4, "mon", 4), (None, "wed", 10)), 1)
+        want = [(None, "wed", 10), (1, "mon", 1), (2, "mon", 20), (3, "tue", 3), (4, "mon", 4)]
+        assert rows(latest_parts(spark, path), "k", "day", "v") == want
+    assert all(files()[f] == first[f] for f in first)
+    assert len({f.parent for f in files()}) == 5
+    assert drop_old_parts(spark, path) == 2 and drop_old_parts(spark, path) == 0
+    assert rows(latest_parts(spark, path), "k", "day", "v") == want
+
+
+def test_updates_of_a_stream_over_restarts(spark, tmp_path):
+    source, path, checkpoint = (f"{tmp_path}/{name}" for name in ("in", "out", "checkpoint"))
+    events = spark.range(200).selectExpr("timestamp_seconds(id * 3000) AS ts", "id % 3 AS kind", "id AS v")
+    for i in range(4):
+        events.where(f"id % 4 = {i}").write.mode("append").parquet(source)
+        stream = read_stream(spark, "parquet", source, events.schema)
+        daily = stream_aggregate(stream, "ts", "1 day", {"n": {"op": "count"}}, ["kind"], "30 days")
+        write = replace_parts(path, ["window_start", "kind"], lambda b: F.date_format("window_start", "yyyy-MM-dd"))
+        stream_to(daily, write, checkpoint, "update").awaitTermination()
+    want = events.groupBy(F.window("ts", "1 day").start.alias("window_start"), "kind").count()
+    assert rows(latest_parts(spark, path), "window_start", "kind", "n") == rows(want)
