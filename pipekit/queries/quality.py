@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from pipekit.operators import quality
+from pipekit.operators import carried, quality
 from pipekit.plans.analyze import analyze_file
 from pipekit.queries.cleaning import EVENTS_WITH_NULLS, events_with_nulls
 from pipekit.queries.registry import Tables, query
-from pipekit.session import fresh_path
+from pipekit.session import fresh_path, saved
 from pipekit.sinks.files import export_files
 
 
@@ -209,3 +209,38 @@ def analyze_csv(table: Tables) -> DataFrame:
     whole, columns = analyze_file(orders.sparkSession, path, stats=stats)
     facts = {c: whole.select(c).scalar() for c in ("duplicate_rows", "total_nulls")}
     return columns.withColumns(facts)
+
+
+@query(
+    "profile_carried",
+    _profile_sql(
+        EVENTS_WITH_NULLS,
+        [("grp", "bigint", "x"), ("event_type", "string", "x", True), ("value", "double", "x")],
+    ).replace("SELECT '", "SELECT TRUE AS unique_close, TRUE AS median_close, '")
+    .replace(", 'x' AS guessed_type", "")
+    .replace("count(DISTINCT grp) FILTER (grp IS NOT NULL) AS unique_count,", "")
+    .replace("count(DISTINCT value) FILTER (value IS NOT NULL) AS unique_count,", "")
+    .replace("count(DISTINCT event_type) FILTER (event_type IS NOT NULL AND event_type <> '') AS unique_count,", ""),
+)
+def profile_carried(table: Tables) -> DataFrame:
+    """The states of three parts, kept in a table, merge to the profile of all rows: equal counts,
+    distinct values within 5 %, medians within 2 % of the ranks."""
+    events = events_with_nulls(table)
+    columns = events.select("grp", "event_type", "value")
+    part = F.col("event_id") % 3
+    parts = [carried.profile_states(events.where(part == i).select(columns.columns)) for i in range(3)]
+    kept = saved(parts[0].unionByName(parts[1]).unionByName(parts[2]), "states")
+    found = carried.carried_profile(kept, at=[0.5])
+    whole = columns.agg(*[F.count_distinct(F.nullif(F.col(c).cast("string"), F.lit(""))).alias(c) for c in columns.columns])
+    truth = whole.unpivot([], columns.columns, "column", "truth")
+    medians = {r["column"]: r["quantiles"][0] for r in found.where("quantiles IS NOT NULL").collect()}
+    below = [F.avg((F.col(c) <= m).cast("int")).alias(c) for c, m in medians.items()]
+    above = [F.avg((F.col(c) < m).cast("int")).alias(c) for c, m in medians.items()]
+    upto = columns.agg(*below).unpivot([], list(medians), "column", "upto")
+    under = columns.agg(*above).unpivot([], list(medians), "column", "under")
+    close = F.abs(F.col("unique_count") / F.col("truth") - 1) < 0.05
+    median = F.coalesce((F.col("under") <= 0.52) & (F.col("upto") >= 0.48), F.lit(True))
+    facts = found.join(truth, "column").join(upto, "column", "left").join(under, "column", "left")
+    exact = ("column", "dtype", "row_count", "null_count", "null_percentage", "max_length", "avg_length")
+    ordinal = F.col("ordinal")
+    return facts.select(*exact, ordinal, close.alias("unique_close"), median.alias("median_close"))
