@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pipekit.operators.clean import add_batch_columns, fill_nulls, normalize_text
 from pipekit.operators.schema import cast_types, parse_time
+from pipekit.plans.audit import log_stream, observed, read_stream_log
 from pipekit.queries.registry import ORACLES, QUERIES, Query
 from pipekit.session import fresh_path, tune
 from pipekit.streaming.tables import (
@@ -124,3 +125,22 @@ def stream_daily_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     drop_old_parts(spark, path)
     start = F.col("window_start").cast("timestamp_ntz").alias("window_start")
     return latest_parts(spark, path).select(start, "event_type", "n", "hi")
+
+
+@_register(
+    "stream_audit",
+    """
+    SELECT 'events' AS pipeline, count(*) AS rows_in, count(*) FILTER (event_type = 'error') AS rows_out, 0 AS rows_late
+    FROM events
+    """,
+)
+def stream_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each batch read and passed on, logged twice and there once."""
+    errors = observed(_events(spark, sf_dir).where("event_type = 'error'"))
+    path = fresh_path(spark, "audit")
+    query = write_stream(errors, fresh_path(spark, "stream"), fresh_path(spark, "checkpoint"))
+    query.awaitTermination()
+    for _ in range(2):
+        log_stream(spark, query, path, "events")
+    counts = [F.sum(c).alias(c) for c in ("rows_in", "rows_out", "rows_late")]
+    return read_stream_log(spark, path).groupBy("pipeline").agg(*counts)

@@ -7,6 +7,7 @@ from conftest import rows
 from pipekit.operators.aggregate import aggregate
 from pipekit.operators.clean import add_batch_columns, fill_nulls, normalize_text, standardize_text
 from pipekit.operators.schema import cast_types, parse_time
+from pipekit.plans.audit import log_stream, observed, read_stream_log
 from pipekit.streaming.tables import (
     drop_old_parts,
     latest_parts,
@@ -190,3 +191,23 @@ def test_updates_of_a_stream_over_restarts(spark, tmp_path):
         stream_to(daily, write, checkpoint, "update").awaitTermination()
     want = events.groupBy(F.window("ts", "1 day").start.alias("window_start"), "kind").count()
     assert rows(latest_parts(spark, path), "window_start", "kind", "n") == rows(want)
+
+
+def test_audit_of_late_rows_by_batch(spark, tmp_path):
+    source, log = f"{tmp_path}/in", f"{tmp_path}/log"
+    events = spark.range(100).selectExpr("timestamp_seconds(id * 3600) AS ts", "id AS v")
+    checkpoint = f"{tmp_path}/checkpoint"
+    seen = []
+    for part in ("id >= 50", "id < 50", "id = 99"):
+        events.where(part.replace("id", "v")).write.mode("append").parquet(source)
+        stream = read_stream(spark, "parquet", source, events.schema)
+        hourly = observed(stream_aggregate(stream, "ts", "1 hour", {"n": {"op": "count"}}, delay="1 hour"))
+        query = write_stream(hourly, f"{tmp_path}/out", checkpoint)
+        query.awaitTermination()
+        assert log_stream(spark, query, log, "late") >= 1
+        seen.append(read_stream_log(spark, log).agg(F.sum("rows_in"), F.sum("rows_out"), F.sum("rows_late")).first())
+    assert [r[0] for r in seen] == [50, 100, 101]
+    assert seen[-1][2] == 50  # all of the second batch, each an hour of its own
+    assert seen[-1][1] == spark.read.parquet(f"{tmp_path}/out").count()
+    batches = read_stream_log(spark, log).select("batch_id").collect()
+    assert len(batches) == len(set(batches))
