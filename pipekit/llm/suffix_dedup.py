@@ -11,7 +11,11 @@ of its GRAM-byte substrings, and equal windows name the same place in themselves
    one class are the repeated ones. Groups of more than MOST_KINDS kinds are instead dealt out by
    the whole windows, through an ordinary distributed aggregate.
 
-Texts travel once, in shards of bounded size; anchors are found again where they are needed.
+Texts that stand in several rows are found first, by counted digests. Every window of theirs is
+repeated, so these rows lose all bytes if they have a window at all, and only one row for each such
+text takes part in the passes, as two, so that other texts with windows of it lose them. However
+many copies there are, none of them lie in a shard. The other texts travel once, in shards of
+bounded size; anchors are found again where they are needed.
 
 Defined results: a null or empty text has no bytes and loses none; equal rows repeat each other, so
 windows of theirs are removed from all of them; an empty table gives an empty table; `drop_repeats`
@@ -27,9 +31,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pipekit.llm.arrays import chosen, covered, extended, flat, sized_batches
+from pipekit.llm.arrays import covered, extended, flat, sized_batches
+from pipekit.operators import digests
 from pipekit.session import saved
 
 WIDTH, GRAM = 200, 100
@@ -140,12 +146,14 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sized_batches(batches, "text", 4 * BLOCK):
         data, offsets = flat(batch.column("text"))
         found = finder.anchors(data, offsets)
-        shard = np.asarray(batch.column("shard"))[np.searchsorted(offsets, found.at, side="right") - 1]
+        row = np.searchsorted(offsets, found.at, side="right") - 1
+        shard = np.asarray(batch.column("shard"))[row]
         order = np.lexsort((shard, found.kind, found.gram))
         gram, kind, shard = found.gram[order], found.kind[order], shard[order]
+        rows = np.where(batch.column("copied").to_numpy(zero_copy_only=False)[row[order]], 2, 1)
         new = np.concatenate([[True], (np.diff(gram) != 0) | (np.diff(kind) != 0) | (np.diff(shard) != 0)])[: len(gram)]
         first = np.flatnonzero(new)
-        n = np.diff(np.concatenate([first, [len(gram)]]))
+        n = np.add.reduceat(rows, first) if len(first) else first
         yield pa.RecordBatch.from_pydict({"gram": gram[first], "kind": kind[first], "shard": shard[first], "n": n})
 
 
@@ -323,6 +331,7 @@ def _cut(text: str, characters: bool):
 
     def run(rows: pa.Table, told: pa.Table) -> pa.Table:
         finder, out = Finder(), []
+        rows = rows.filter(pc.invert(rows.column("copied")))
         told = told.combine_chunks()
         gram, kind = (told.column(c).to_numpy() for c in ("gram", "kind"))
         listed = told.column("before")
@@ -385,10 +394,20 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", characters:
 
     `key` only spreads the rows. With `characters`, bytes of `kept` that are no UTF-8 are left out.
     """
-    named = chosen(df, key=key, text=text)
-    size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    inner = F.col("row")
+    packed = df.select(F.struct("*").alias("row")).withColumn("text", inner.getField(text))
+    size = packed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = math.ceil(size / SHARD_BYTES) or 1
-    placed = named.select("text", _spread(F.col("key"), F.col("text"), shards).alias("shard"))
+    found = digests.repeats(packed, ["text"])
+    single = found.single if found.repeated <= digests.MOST_BROADCAST else saved(found.single, "single")
+    has_window = F.octet_length("text") >= WIDTH
+    copied = saved(found.candidates.where(has_window).select("text").distinct(), "copied")
+
+    rows = single.select("row", F.lit(False).alias("copied"))
+    alone = [(F.col("text") if f.name == text else F.lit(None).cast(f.dataType)).alias(f.name) for f in df.schema]
+    rows = rows.union(copied.select(F.struct(*alone).alias("row"), F.lit(True).alias("copied")))
+    rows = rows.withColumn("shard", _spread(inner.getField(key), inner.getField(text), shards))
+    placed = rows.select(inner.getField(text).alias("text"), "shard", "copied")
     anchors = placed.mapInArrow(_find, "gram long, kind long, shard int, n long")
     again = anchors.groupBy("gram").agg(F.sum("n").alias("total")).where("total > 1").select("gram")
     anchors = saved(anchors.join(again, "gram"), "anchors")
@@ -397,9 +416,6 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", characters:
     several = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     most = several.agg(F.max("kinds")).first()[0] or 0
 
-    rows = df.select(F.struct("*").alias("row"))
-    inner = F.col("row")
-    rows = rows.select("row", _spread(inner.getField(key), inner.getField(text), shards).alias("shard"))
     by_shard = rows.groupBy("shard")
     wanted = kinds.join(several, "gram")
     contexts = by_shard.cogroup(wanted.groupBy("shard")).applyInArrow(_contexts(text), CONTEXT)
@@ -417,7 +433,16 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", characters:
     verdict = verdict.select("gram", "kind", F.when(~F.col("whole"), F.col("before")).alias("before"))
     told = anchors.select("shard", "gram", "kind").join(verdict, ["gram", "kind"])
     schema = extended(rows, ["row"], "n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
-    return by_shard.cogroup(told.groupBy("shard")).applyInArrow(_cut(text, characters), schema)
+    cut = by_shard.cogroup(told.groupBy("shard")).applyInArrow(_cut(text, characters), schema)
+    n = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), n.alias("end")))
+    gone = found.candidates.select(
+        "row",
+        n.alias("n_bytes"),
+        F.when(has_window, whole).otherwise(F.array().cast("array<struct<start: long, end: long>>")).alias("spans"),
+        F.when(has_window, F.lit("")).otherwise(F.coalesce("text", F.lit(""))).cast("binary").alias("kept"),
+    )
+    return cut.union(gone)
 
 
 def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = None) -> DataFrame:

@@ -1,13 +1,15 @@
 """Suffix dedup against every window."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 import samples
 from conftest import rows
+from pyspark.sql import functions as F
 
 from pipekit.llm import suffix_dedup
+from pipekit.operators import digests
 
 
 def expected(texts, width=200):
@@ -74,3 +76,33 @@ def test_cut_texts(spark):
     want = [(0, "on" + shared[80:] + " two", 26), (1, "thre four", 9), (2, None, 3)]
     assert rows(cut, "doc_id", "text", "n_chars") == want
     assert suffix_dedup.drop_repeats(df.limit(0)).count() == 0
+
+
+def test_many_copies_of_a_row(spark, monkeypatch):
+    """Ten thousand equal rows, and other texts with windows of theirs, against all windows of a few copies."""
+    r = random.Random(5)
+    said = "".join(r.choice("abcdefgh ") for _ in range(900))
+    others = [said[100:450] + "!" * 20, "?" + said[:199], said[700:] + said[:150], "short", None, ""]
+    rows = [(7, said)] * 10_000 + [(8, "short")] * 300 + [(9, None)] * 300 + list(enumerate(others, 100))
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 100_000)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    df = df.withColumns({"__digest0": F.lit(1), "copied": F.lit(2), "shard": F.lit(3)})
+    found = suffix_dedup.repeats(df)
+    want = expected([said, said, *others])
+    seen = Counter((r.row.doc_id, r.n_bytes, r.n_bytes - len(r.kept), bytes(r.kept)) for r in found.collect())
+    assert seen[7, 900, 900, b""] == 10_000 and seen[8, 5, 0, b"short"] == seen[9, 0, 0, b""] == 300
+    for i, w in enumerate(want[2:], 100):
+        assert seen[i, *w] == 1
+    assert seen.total() == len(rows)
+    assert [r.text for r in suffix_dedup.drop_repeats(df).where("doc_id >= 100").sort("doc_id").collect()] == [
+        None if t is None else w[2].decode() for t, w in zip(others, want[2:])
+    ]
+
+
+@pytest.mark.parametrize("most_broadcast", [500_000, 0])
+def test_copies_joined_by_a_shuffle(spark, monkeypatch, most_broadcast):
+    monkeypatch.setattr(digests, "MOST_BROADCAST", most_broadcast)
+    of = [t for t in texts() for _ in range(2)]
+    found = suffix_dedup.repeats(spark.createDataFrame(list(enumerate(of)), "doc_id long, text string"))
+    want = expected(of)
+    assert all(bytes(r.kept) == want[r.row.doc_id][2] for r in found.collect())
