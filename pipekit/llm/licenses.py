@@ -1,10 +1,12 @@
 """License scan by ordered signature rules, in DataFrame expressions only.
 
 A text's words are runs of digits, letters and characters above 0x7F, with A-Z in lower case. Rules
-are regular expressions over a fixed number of words. A text is looked at only if it contains one of
-GATES, and a place only if a rule begins with its word; there the longest rule wins, among equals
-the one listed first. A detection that lies within another one is suppressed. All of this is done in
-the row itself, in time proportional to its words: no shuffle, and no group to outgrow a task.
+are written expressions over a bounded number of words, in kinds of falling priority: identifiers,
+sentences of license texts, notices, names with a version, names, hints. A text is looked at only if
+it contains one of GATES, and a place only if a rule begins with its word; there the rule of highest
+priority wins, among equals the longest, then the one listed first. A detection that lies within
+another one of the same or a higher priority is suppressed. All of this is done in the row itself,
+in time proportional to its words: no shuffle, and no group to outgrow a task.
 
 Base places, where one of BASE stands, are reported apart and never suppressed.
 
@@ -16,11 +18,12 @@ from __future__ import annotations
 
 import re
 from functools import reduce
-from itertools import product
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pipekit.llm.arrays import chosen
+from pipekit.llm.license_rules import BODIES, HEADERS, HINTS, NAMES, SPDX, VERSIONED
 
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -30,192 +33,93 @@ BASE = {"mit license": "mit", "apache license": "apache", "general public licens
 
 # Every rule's words contain one of these.
 GATES = ("licen", "gpl", "commons", "spdx", "bsd", "copyleft", "redistribution", "permission", "wtfpl", "cc0", "domain")
-GATES += ("mozilla", "apache", "warranty", "dedication")
-
-# Names of licenses without a version, as words; each is taken with "license" or "licence".
-NAMES = {
-    "mit": ["mit", "expat", "mit x11", "x11"],
-    "apache": ["apache", "apache software", "asf"],
-    "gpl": ["general public", "gnu general public", "gnu gpl"],
-    "lgpl": ["lesser general public", "gnu lesser general public", "library general public", "gnu library general public"],
-    "agpl": ["affero general public", "gnu affero general public"],
-    "fdl": ["free documentation", "gnu free documentation"],
-    "bsd": ["bsd", "berkeley software distribution"],
-    "mpl": ["mozilla public"],
-    "epl": ["eclipse public"],
-    "eupl": ["european union public"],
-    "cddl": ["common development and distribution"],
-    "cpl": ["common public"],
-    "ipl": ["ibm public"],
-    "artistic": ["artistic", "perl artistic"],
-    "isc": ["isc", "internet systems consortium"],
-    "zlib": ["zlib", "zlib libpng"],
-    "boost": ["boost software"],
-    "python": ["python", "python software foundation"],
-    "php": ["php"],
-    "ofl": ["sil open font", "open font"],
-    "osl": ["open software"],
-    "afl": ["academic free"],
-    "odbl": ["open database", "open data commons open database"],
-    "ms-pl": ["microsoft public"],
-    "ms-rl": ["microsoft reciprocal"],
-    "ncsa": ["university of illinois ncsa open source"],
-    "postgresql": ["postgresql"],
-    "openssl": ["openssl"],
-    "wtfpl": ["do what the fuck you want to public"],
-    "vim": ["vim"],
-    "ruby": ["ruby"],
-    "cecill": ["cecill"],
-}
-
-# Versions of a license, with the words that name it before a version.
-VERSIONS = {
-    "gpl": (["general public licen[cs]e", "gnu gpl", "gpl"], ["1", "2", "3"]),
-    "lgpl": (["lesser general public licen[cs]e", "library general public licen[cs]e", "gnu lgpl", "lgpl"], ["2", "2.1", "3"]),
-    "agpl": (["affero general public licen[cs]e", "gnu agpl", "agpl"], ["1", "3"]),
-    "apache": (["apache licen[cs]e", "apache software licen[cs]e"], ["1.0", "1.1", "2.0"]),
-    "mpl": (["mozilla public licen[cs]e"], ["1.0", "1.1", "2.0"]),
-    "epl": (["eclipse public licen[cs]e"], ["1.0", "2.0"]),
-    "eupl": (["european union public licen[cs]e"], ["1.0", "1.1", "1.2"]),
-    "artistic": (["artistic licen[cs]e"], ["1.0", "2.0"]),
-    "cddl": (["common development and distribution licen[cs]e"], ["1.0", "1.1"]),
-    "fdl": (["free documentation licen[cs]e"], ["1.1", "1.2", "1.3"]),
-    "ofl": (["open font licen[cs]e"], ["1.0", "1.1"]),
-    "afl": (["academic free licen[cs]e"], ["2.1", "3.0"]),
-    "osl": (["open software licen[cs]e"], ["2.1", "3.0"]),
-    "boost": (["boost software licen[cs]e"], ["1.0"]),
-}
-
-# Creative Commons: short and long names of the conditions.
-CREATIVE = {
-    "by": "attribution",
-    "by-sa": "attribution share ?alike",
-    "by-nd": "attribution no ?derivatives",
-    "by-nc": "attribution non ?commercial",
-    "by-nc-sa": "attribution non ?commercial share ?alike",
-    "by-nc-nd": "attribution non ?commercial no ?derivatives",
-}
-CREATIVE_VERSIONS = ["1.0", "2.0", "2.5", "3.0", "4.0"]
-
-# Sentences and marks of one license.
-PHRASES = [
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification"),
-    ("bsd-2-clause", "(?:simplified|freebsd) bsd licen[cs]e"),
-    ("bsd-2-clause", "bsd 2 clause"),
-    ("bsd-3-clause", "(?:new|modified|revised) bsd licen[cs]e"),
-    ("bsd-3-clause", "bsd 3 clause"),
-    ("bsd-4-clause", "(?:original|old) bsd licen[cs]e"),
-    ("bsd-4-clause", "bsd 4 clause"),
-    ("bsd", "bsd style licen[cs]e"),
-    ("gpl", "gplv1|gplv2|gplv3"),
-    ("lgpl", "lgplv2|lgplv3"),
-    ("agpl", "agplv3"),
-    ("gpl-2.0-or-later", "gpl version 2 or later"),
-    ("gpl-3.0-or-later", "gpl version 3 or later"),
-    ("cc0-1.0", "cc0 1 0 universal"),
-    ("cc0-1.0", "creative commons zero"),
-    ("cc0-1.0", "public domain dedication"),
-    ("public-domain", "released into the public domain"),
-    ("public-domain", "dedicated to the public domain"),
-    ("public-domain", "unlicense"),
-    ("creative-commons", "creative commons licen[cs]e"),
-    ("copyleft", "copyleft licen[cs]e"),
-    ("proprietary", "proprietary licen[cs]e"),
-    ("proprietary", "commercial licen[cs]e"),
-    ("proprietary", "end user licen[cs]e agreement"),
-    ("no-warranty", "provided as is without warranty of any kind"),
-    ("wtfpl", "wtfpl"),
-]
-
-# Identifiers after "SPDX-License-Identifier:".
-SPDX = """MIT MIT-0 Apache-1.1 Apache-2.0 BSD-2-Clause BSD-3-Clause BSD-4-Clause 0BSD GPL-1.0-only GPL-2.0-only GPL-2.0-or-later
-GPL-3.0-only GPL-3.0-or-later LGPL-2.0-only LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only
-AGPL-3.0-or-later MPL-1.1 MPL-2.0 EPL-1.0 EPL-2.0 EUPL-1.2 CDDL-1.0 Artistic-2.0 ISC Zlib BSL-1.0 PSF-2.0 PHP-3.01 OFL-1.1
-Unlicense WTFPL CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 ODbL-1.0 MS-PL NCSA PostgreSQL OpenSSL Vim Ruby CECILL-2.1""".split()
-
-
-def _spoken(version: str) -> list[str]:
-    """The words of a version: 2.0 is two words, and its zero may be left out."""
-    return [version.replace(".", " ")] + [version.removesuffix(".0")] * version.endswith(".0")
-
-
-def rules() -> list[tuple[str, str]]:
-    """All (label, pattern), the more telling ones first; words of a pattern are apart by a space."""
-    out = [(name.lower(), f"spdx licen[cs]e identifier {' '.join(re.findall('[a-z0-9]+', name.lower()))}") for name in SPDX]
-    for short, long in CREATIVE.items():
-        for version, said in [(v, s) for v in reversed(CREATIVE_VERSIONS) for s in _spoken(v)]:
-            words = short.replace("-", " ")
-            spelled = [f"cc {words} {said} licen[cs]e", f"creativecommons org licen[cs]es {words} {said}", f"creative commons {long} {said}"]
-            out += [(f"cc-{short}-{version}", pattern) for pattern in spelled]
-        out += [(f"cc-{short}", f"cc {short.replace('-', ' ')} licen[cs]e"), (f"cc-{short}", f"creative commons {long}")]
-    for label, (names, versions) in VERSIONS.items():
-        for name, version, link in product(names, versions, ("version ", "v ", "v", "")):
-            out += [(f"{label}-{version}", f"{name} {link}{said}") for said in _spoken(version)]
-    out += PHRASES
-    for label, names in NAMES.items():
-        out += [(label, f"{name} licen[cs]e") for name in names]
-    return _fixed_words(out)
-
-
-def _fixed_words(patterns: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    """Optional spaces written out, so that each pattern has a fixed number of words; no copies."""
-    out: dict[tuple[str, str], None] = {}
-    for label, pattern in patterns:
-        parts = pattern.split(" ?")
-        for gaps in product(("", " "), repeat=len(parts) - 1):
-            out[label, "".join(p + g for p, g in zip(parts, [*gaps, ""]))] = None
-    return list(out)
-
-
-def _first_words(pattern: str) -> list[str]:
-    """The words that a pattern can begin with."""
-    first = pattern.split(" ")[0] if "|" not in pattern or pattern.startswith("(?:") else pattern
-    options = first.removeprefix("(?:").removesuffix(")").split("|")
-    return [o.replace("[cs]", c) for o in options for c in (("c", "s") if "[cs]" in o else ("",))]
+GATES += ("mozilla", "apache", "warranty", "dedication", "gnu", "copyright", "openssl", "neither")
+# Further words of sentences without a word of this kind.
+GATES += ("advertising", "carry prominent", "convey", "derivative", "prominently", "constitutes", "altered", "package")
+GATES += ("anyone", "fuck", "deed", "unencumbered", "retain", "evil", "redistribute", "opensource")
+
+# Words of a detection at most.
+LONGEST = 32
+
+# The end of a pattern's words, and the version that they have before their last words.
+END = "(?![^ ])"
+VERSION = "([0-9])(?: ([0-9]+))?(?: [a-z ]+)?$"
+
+
+class Rule(NamedTuple):
+    priority: int
+    label: str
+    pattern: str
+
+
+def rules() -> list[Rule]:
+    """All rules, kind by kind."""
+    spdx = [(name.lower(), f"spdx licen[cs]e identifier {' '.join(re.findall('[a-z0-9]+', name.lower()))}") for name in SPDX]
+    kinds = [spdx, BODIES, HEADERS, VERSIONED, NAMES, HINTS]
+    return [Rule(len(kinds) - i, label, pattern) for i, kind in enumerate(kinds) for label, pattern in kind]
+
+
+def first_words(pattern: str) -> list[str]:
+    """The words that a pattern can begin with: an optional group may precede the first one."""
+    token, rest = re.match(r"(\(\?:[^()]*\)\??|[^ (]+) ?(.*)", pattern).groups()
+    if token.endswith(")?"):
+        return [*first_words(token[3:-2].strip()), *first_words(rest)]
+    options = token[3:-1].split("|") if token.startswith("(?:") else [token]
+    found = []
+    for option in options:
+        spelled = [""]
+        for part in re.findall(r"\[[^]]*\]|[^[]", option.split(" ")[0]):
+            many = {"[cs]": "cs", "[0-9]": "0123456789"}.get(part, part)
+            spelled = [s[:-1] if many == "?" else s + c for s in spelled for c in many] + (spelled if many == "?" else [])
+        found += spelled
+    return found
+
+
+def by_first_word() -> dict[str, list[tuple[int, Rule]]]:
+    """The rules that can begin with each word, with their places in the order."""
+    out: dict[str, list[tuple[int, Rule]]] = {}
+    for order, rule in enumerate(rules()):
+        for word in dict.fromkeys(first_words(rule.pattern)):
+            out.setdefault(word, []).append((order, rule))
+    return out
+
+
+def _met(order: int, rule: Rule) -> str:
+    """SQL: what a rule finds at the place `p`, or null."""
+    words = f"regexp_extract(p.context, r'^(?:{rule.pattern}){END}', 0)"
+    label = f"'{rule.label}'"
+    if rule.label.endswith("-*"):
+        part = lambda i: f"regexp_extract({words}, r'{VERSION}', {i})"
+        later = f"if({words} RLIKE r' (later|newer)( |$)', '-or-later', '')"
+        version = f"concat('-', {part(1)}, '.', coalesce(nullif({part(2)}, ''), '0'), {later})"
+        label = f"concat('{rule.label[:-2]}', {version})"
+    fields = f"'priority', {rule.priority}, 'words', size(split({words}, ' ')), 'rank', {-order}, 'label', {label}"
+    return f"CASE WHEN p.context RLIKE r'^(?:{rule.pattern}){END}' THEN named_struct({fields}) END"
+
+
+def _detections(of: dict[str, list[tuple[int, Rule]]]) -> str:
+    """SQL: the detection at each of `places`; as one text, because thousands of columns cost seconds to build."""
+    cases = [f"WHEN '{word}' THEN array_max(array({', '.join(_met(*r) for r in own)}))" for word, own in of.items()]
+    best = f"CASE p.word {' '.join(cases)} END"
+    return f"filter(transform(places, p -> named_struct('start', p.at, 'best', {best})), d -> d.best IS NOT NULL)"
 
 
 def _any(conditions: list[Column]) -> Column:
     return reduce(Column.__or__, conditions)
 
 
-def _one_of(parts: dict[str, list], word: Column, otherwise: Column) -> Column:
-    """A case on the word, each with its value."""
-    out = None
-    for first, value in parts.items():
-        out = F.when(word == first, value) if out is None else out.when(word == first, value)
-    return out.otherwise(otherwise)
-
-
 def license_scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`key`, `n_words`, `base` (places of base phrases, with label) and `found` (detections with
-    start and end in words, label and weight) of each row."""
-    known = rules()
-    longest = max(pattern.count(" ") + 1 for _, pattern in known)
-    by_word: dict[str, list[tuple[int, str, str]]] = {}
-    for order, (label, pattern) in enumerate(known):
-        for first in _first_words(pattern):
-            by_word.setdefault(first, []).append((order, label, pattern))
+    start and end in words, label, priority and weight) of each row."""
+    of = by_first_word()
+    starting = [*of, *(phrase.split(" ")[0] for phrase in BASE)]
 
     def place(i: Column, words: Column) -> Column:
-        context = F.array_join(F.slice(words, i + 1, F.lit(longest)), " ")
+        context = F.array_join(F.slice(words, i + 1, F.lit(LONGEST)), " ")
         return F.struct(i.alias("at"), F.get(words, i).alias("word"), context.alias("context"))
 
-    def detection(p: Column) -> Column:
-        context, kind = p["context"], "struct<words: int, rank: int, label: string>"
-
-        def tried(order: int, label: str, pattern: str) -> Column:
-            size = F.lit(pattern.count(" ") + 1)
-            value = F.struct(size.alias("words"), F.lit(-order).alias("rank"), F.lit(label).alias("label"))
-            return F.when(context.rlike(f"^(?:{pattern})(?: |$)"), value)
-
-        best = {first: F.array_max(F.array(*[tried(*r) for r in own])) for first, own in by_word.items()}
-        best = _one_of(best, p["word"], F.lit(None).cast(kind))
-        return F.struct(p["at"].alias("start"), best.alias("best"))
-
     def base_at(p: Column) -> Column:
-        labels = [F.when(p["context"].rlike(f"^{phrase}(?: |$)"), label) for phrase, label in BASE.items()]
+        labels = [F.when(p["context"].rlike(f"^{phrase}{END}"), label) for phrase, label in BASE.items()]
         return F.struct(p["at"].alias("start"), F.coalesce(*labels).alias("label"))
 
     rows = chosen(df, key=key, text=text).withColumn("text", F.coalesce("text", F.lit("")))
@@ -228,17 +132,18 @@ def license_scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         F.size(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).cast("long").alias("n_words"),
         F.when(F.col("gate"), cut).otherwise(none).alias("words"),
     )
-    begins = F.transform("words", lambda w, i: F.when(w.isin(*by_word), i))
+    begins = F.transform("words", lambda w, i: F.when(w.isin(*dict.fromkeys(starting)), i))
     rows = rows.withColumn("places", F.filter(begins, lambda i: i.isNotNull()))
     rows = rows.withColumn("places", F.transform("places", lambda i: place(i, F.col("words"))))
     rows = rows.withColumn("base", F.filter(F.transform("places", base_at), lambda b: b["label"].isNotNull()))
-    rows = rows.withColumn("found", F.filter(F.transform("places", detection), lambda d: d["best"].isNotNull()))
+    rows = rows.withColumn("found", F.expr(_detections(of)))
     spans = F.transform(
         "found",
         lambda d: F.struct(
             d["start"].cast("long").alias("start"),
             (d["start"] + d["best"]["words"]).cast("long").alias("end"),
             d["best"]["label"].alias("label"),
+            d["best"]["priority"].alias("priority"),
             (1 - F.pow(F.lit(2.0), -d["best"]["words"])).alias("weight"),
         ),
     )
@@ -246,10 +151,10 @@ def license_scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     def outside(d: Column, i: Column) -> Column:
         # One detection for each start, so those that can hold this one are the few before it.
-        before = F.slice(F.col("found"), F.greatest(i - longest + 2, F.lit(1)), F.least(i, F.lit(longest - 1)))
-        return ~F.exists(before, lambda e: e["end"] >= d["end"])
+        before = F.slice(F.col("found"), F.greatest(i - LONGEST + 2, F.lit(1)), F.least(i, F.lit(LONGEST - 1)))
+        return ~F.exists(before, lambda e: (e["end"] >= d["end"]) & (e["priority"] >= d["priority"]))
 
     return rows.select(F.col("key").alias(key), "n_words", "base", F.filter("found", outside).alias("found"))
 
 
-__all__ = ["BASE", "GATES", "license_scan", "rules"]
+__all__ = ["BASE", "GATES", "Rule", "first_words", "license_scan", "rules"]
