@@ -35,7 +35,7 @@ BASE = {"mit license": "mit", "apache license": "apache", "general public licens
 GATES = ("licen", "gpl", "commons", "spdx", "bsd", "copyleft", "redistribution", "permission", "wtfpl", "cc0", "domain")
 GATES += ("mozilla", "apache", "warranty", "dedication", "gnu", "copyright", "openssl", "neither")
 # Further words of sentences without a word of this kind.
-GATES += ("advertising", "carry prominent", "convey", "derivative", "prominently", "constitutes", "altered", "package")
+GATES += ("advertising", "prominent", "convey", "derivative", "applicable", "constitutes", "verbatim", "eclipse", "ofl", "altered", "package")
 GATES += ("anyone", "fuck", "deed", "unencumbered", "retain", "evil", "redistribute", "opensource")
 
 # Words of a detection at most.
