@@ -21,16 +21,18 @@ import base64
 import gc
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from pipekit.llm.arrays import chosen, extended, resident, sized_batches
+from pipekit.llm.arrays import chosen, extended, flat, resident, sized_batches
 
 MAX_STATES, MAX_PIECES = 200_000, 600_000
-NO_TOKEN, NO_NODE, GUESSES, END = -1, -1, -1, -2
+NO_TOKEN, NO_NODE, GUESSES = -1, -1, -1
+ID = array("i").itemsize
 LONG = 4 * 1024 * 1024  # characters
 
 
@@ -50,27 +52,30 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
+        self.packed = {rank: array("i", [rank]).tobytes() for rank in self.token}
         self.never = max(self.token, default=0) + 1  # above all ranks
         node = {prefix: 0 for token in ranks for prefix in (token[:i] for i in range(len(token) + 1))}
         node = {prefix: i for i, prefix in enumerate(sorted(node))}
         begun = {prefix[:-1] for prefix in node if prefix}
+        # Keys count through the first part: numbers that share their low bits would collide in a dict.
+        self.width = len(node)
         # By node and byte: the next node, if longer tokens go on there, and the token that ends there.
         self.moves = {
-            node[prefix[:-1]] << 8 | prefix[-1]: (i if prefix in begun else NO_NODE, ranks.get(prefix, NO_TOKEN))
+            prefix[-1] * self.width + node[prefix[:-1]]: (i if prefix in begun else NO_NODE, ranks.get(prefix, NO_TOKEN))
             for prefix, i in node.items()
             if prefix
         }
         self.clear()
 
     def clear(self) -> None:
-        # A state is a dict: next state and output by byte; GUESSES has its guesses and, once asked
-        # for, END what remains to be emitted if the piece ends here. States hold each other.
+        # A state is a dict: next state and output by byte; GUESSES has its guesses. States hold each other.
         for state in getattr(self, "states", {}).values():
             state.clear()
+        gc.unfreeze()  # what `_encoder` kept from the collector may go
         self.states: dict[tuple, dict] = {}
         self.beside: dict[int, bool] = {}
         self.ends: tuple[dict, dict] = ({}, {})
-        guesses = ((NO_TOKEN, 0, ()),)
+        guesses = ((NO_TOKEN, 0, b""),)
         self.start = self.states[guesses] = {GUESSES: guesses}
 
     def spine(self, token: int, right: bool) -> list[tuple[bytes, int]]:
@@ -116,28 +121,31 @@ class Transducer:
             else:
                 y, y_goes = next(right)
 
-    def step(self, state: dict, byte: int) -> tuple[dict, tuple]:
-        moves, beside, guesses, ended = self.moves.get, self.beside, [], False
+    def step(self, state: dict, byte: int) -> tuple[dict, bytes]:
+        moves, beside, guesses, ended = self.moves.get, self.beside, [], None
+        first = byte * self.width
         for last, node, out in state[GUESSES]:
-            move = moves(node << 8 | byte)
+            move = moves(first + node)
             if move is None:
                 continue
             node, token = move
             if node >= 0:
                 guesses.append((last, node, out))
             # The bytes so far are one sequence of tokens: a second guess cannot end here.
-            if token >= 0 and not ended:
-                key = last << 24 | token
-                ended = beside.get(key)
-                if ended is None:
-                    ended = beside[key] = self.follows(last, token)
-                if ended:
-                    guesses.append((token, 0, (*out, token)))
+            if token >= 0 and ended is None:
+                key = token * (self.never + 1) + last
+                fits = beside.get(key)
+                if fits is None:
+                    fits = beside[key] = self.follows(last, token)
+                if fits:
+                    ended = token, 0, out + self.packed[token]
+        if ended is not None:
+            guesses.append(ended)
         emitted = guesses[0][2]
         if emitted and len(guesses) > 1:
-            shared = min(len(out) for _, _, out in guesses)
-            while shared and any(out[:shared] != emitted[:shared] for _, _, out in guesses):
-                shared -= 1
+            shared = min([len(out) for _, _, out in guesses])
+            while shared and any([out[:shared] != emitted[:shared] for _, _, out in guesses]):
+                shared -= ID
             emitted = emitted[:shared]
         if emitted:
             cut = len(emitted)
@@ -153,10 +161,11 @@ class Transducer:
         found = state[byte] = reached, emitted
         return found
 
-    def encode(self, piece: bytes) -> tuple[int, ...]:
+    def ids(self, piece: bytes) -> bytes:
+        """The token ids, as 32-bit numbers."""
         whole = self.ranks.get(piece)
         if whole is not None:  # a token of its own, whether or not merges reach it
-            return (whole,)
+            return self.packed[whole]
         state, out = self.start, []
         for byte in piece:
             found = state.get(byte)
@@ -164,11 +173,12 @@ class Transducer:
                 found = self.step(state, byte)
             state, emitted = found
             if emitted:
-                out += emitted
-        end = state.get(END)
-        if end is None:
-            end = state[END] = next(rest for _, begun, rest in state[GUESSES] if not begun)
-        return (*out, *end)
+                out.append(emitted)
+        out.append(next(rest for _, begun, rest in reversed(state[GUESSES]) if not begun))
+        return b"".join(out)
+
+    def encode(self, piece: bytes) -> tuple[int, ...]:
+        return tuple(array("i", self.ids(piece)))
 
 
 class Pieces(dict):
@@ -180,7 +190,7 @@ class Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
-            ids = array("i", self.transducer.encode(piece.encode())).tobytes()
+            ids = self.transducer.ids(piece.encode())
         if len(piece) <= 64:
             if len(self) >= MAX_PIECES // 2:
                 self.older = dict(self)
@@ -188,6 +198,19 @@ class Pieces(dict):
             self[piece] = ids
         return ids
 
+    def ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces in a row, and how many each piece has; equal pieces are looked up once."""
+        coded = pa.array(pieces, pa.large_string()).dictionary_encode()
+        codes = coded.indices.to_numpy()
+        first = np.flatnonzero(np.diff(np.maximum.accumulate(codes), prepend=-1))  # codes count up as pieces appear
+        pieces = [pieces[i] for i in first.tolist()]
+        ids = [*map(self.get, pieces)]
+        # New ones in order: neighbours go through the same states while these are near.
+        for i in sorted((i for i, known in enumerate(ids) if known is None), key=pieces.__getitem__):
+            ids[i] = self[pieces[i]]
+        data, offsets = flat(pa.array(ids, pa.large_binary()).take(coded.indices))
+        return data.view(np.int32), np.diff(offsets) // ID
+
 
 class Utf8:
     """Incremental UTF-8: `feed` returns the complete characters so far."""
@@ -254,9 +277,8 @@ class Decoder:
         tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             tokens[rank] = token
-        self.joined = np.frombuffer(b"".join(tokens), np.uint8)
-        self.size = np.array([len(t) for t in tokens], np.int64)
-        self.start = np.cumsum(self.size) - self.size
+        self.tokens = pa.array(tokens, pa.large_binary())
+        self.known = np.array([len(t) > 0 for t in tokens], bool)
         self.whole = np.array([self.complete(t) for t in tokens], bool)
 
     @staticmethod
@@ -266,15 +288,10 @@ class Decoder:
 
     def bytes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All bytes in a row, and where those of each token end."""
-        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.size)):
-            raise ValueError("an id without a token")
-        size = self.size[ids]
-        if len(ids) and not size.min():
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.known) or not self.known[ids].all()):
             raise ValueError("an id without a token")
-        ends = np.cumsum(size)
-        at = np.repeat(self.start[ids] - (ends - size), size)
-        at += np.arange(len(at))
-        return self.joined[at], ends
+        data, offsets = flat(self.tokens.take(pa.array(ids)))
+        return data, offsets[1:]
 
     def text(self, ids: np.ndarray) -> bytes:
         """UTF-8, from one stream."""
@@ -287,22 +304,35 @@ def _encoder(path: str, pattern: str):
     pieces = resident(f"pieces {path}", lambda: Pieces(Transducer(load_ranks(path))))
     compiled = regex.compile(pattern)
 
-    def of(text: str) -> bytes:
+    def blocks(text: str) -> Iterator[list[str]]:
         if len(text) < LONG:
-            return b"".join(map(pieces.__getitem__, compiled.findall(text)))
-        out = bytearray()  # never all pieces of a long text at once
-        for piece in compiled.finditer(text):
-            out += pieces[piece[0]]
-        return bytes(out)
+            yield compiled.findall(text)
+            return
+        found = (piece[0] for piece in compiled.finditer(text))  # never all pieces of a long text at once
+        while block := list(islice(found, LONG // 8)):
+            yield block
 
     def encode(column: pa.Array) -> pa.Array:
-        gc.disable()  # or it looks through all states again and again
+        held, counts, done = [], [0], []
+        gc.disable()
         try:
-            ids = [of(text or "") for text in column.to_pylist()]
+            for text in column.to_pylist():
+                counts.append(0)
+                for block in blocks(text or ""):
+                    counts[-1] += len(block)
+                    held += block
+                    if len(held) >= LONG // 8:
+                        done.append(pieces.ids(held))
+                        held = []
+            done.append(pieces.ids(held))
         finally:
+            gc.collect(1)
+            gc.freeze()  # or the collector looks through all states again and again
             gc.enable()
-        offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+        ids, sizes = map(np.concatenate, zip(*done))
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        offsets = ends[np.cumsum(counts)].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
 
     return encode
 

@@ -1,5 +1,6 @@
 """Byte-level BPE against the library that reads the same ranks, and round trips."""
 
+import gc
 import random
 
 import numpy as np
@@ -41,6 +42,27 @@ def test_encode(library, monkeypatch, limit):
     assert found == library.encode_ordinary_batch(texts)
 
 
+def test_pieces_of_a_batch_are_looked_up_once(library, monkeypatch):
+    """Also those too long to be remembered, new ones in order; no state is left to the collector."""
+    met = []
+
+    class Counted(bpe.Pieces):
+        def __missing__(self, piece):
+            met.append(piece)
+            return super().__missing__(piece)
+
+    pieces = Counted(bpe.Transducer(bpe.load_ranks(PATH)))
+    monkeypatch.setattr(bpe, "resident", lambda name, make: pieces)
+    texts = ["zebra " + "qwvx" * 30, None, "", " abc qwvx", "zebra"] * 3
+    found = bpe._encoder(PATH, public_tokenizers.PATTERN)(pa.array(texts)).to_pylist()
+    assert found == library.encode_ordinary_batch([t or "" for t in texts])
+    assert met == [" abc", " qwvx", " " + "qwvx" * 30, "zebra"]
+    watched = {id(x) for x in gc.get_objects()}
+    assert not any(id(state) in watched for state in pieces.transducer.states.values())
+    pieces.transducer.clear()
+    assert gc.get_freeze_count() == 0
+
+
 def test_small_vocabulary_with_ties():
     """Equal merges are applied from the left, and a token that merges don't make is only a whole piece."""
     ranks = {bytes([b]): b for b in range(256)} | {b"aa": 300, b"aaa": 301, b"ab": 302, b"xyz": 303}
